@@ -46,39 +46,54 @@ def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 _MAP = "array<struct<virtual_slot:int,shard:int>>"
+_BLOCK = 128
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _lightest(loads: Column) -> Column:
+    return F.array_position(loads, F.array_min(loads)).cast("int") - 1
 
 
 def new_map(sizes: DataFrame, shards: int) -> DataFrame:
-    """Version 1: in rounds of ``shards`` slots, heaviest first, the heavier slot goes to the lighter shard."""
+    """Version 1: slots, heaviest first, each to the shard with the fewest bytes so far."""
     slots = F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("negative"), "virtual_slot")))
-    rounds = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("slots") - 1) / shards).cast("int")), lambda r: F.slice("slots", r * shards + 1, shards)
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("slots") - 1) / _BLOCK).cast("int")), lambda b: F.slice("slots", b * _BLOCK + 1, _BLOCK)
     )
-    empty = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(F.lit(0).cast("long").alias("load"), s.alias("shard")))
-    start = F.struct(empty.alias("shards"), F.array().cast(_MAP).alias("map"))
+    no_loads, no_map = F.array_repeat(F.lit(0).cast("long"), shards), F.array().cast(_MAP)
 
-    def place(state: Column, slots: Column) -> Column:
-        after = F.zip_with(
-            state["shards"], slots, lambda s, x: F.struct((s["load"] - F.coalesce(x["negative"], F.lit(0))).alias("load"), s["shard"].alias("shard"))
-        )
-        entries = F.zip_with(slots, state["shards"], lambda x, s: F.struct(x["virtual_slot"].alias("virtual_slot"), s["shard"].alias("shard")))
-        return F.struct(F.array_sort(after).alias("shards"), F.concat(state["map"], F.slice(entries, F.lit(1), F.size(slots))).alias("map"))
+    def put(state: Column, slot: Column) -> Column:
+        def into(to: Column) -> Column:
+            loads = F.transform(state["loads"], lambda x, i: F.when(i == to, x - slot["negative"]).otherwise(x))
+            entry = F.struct(slot["virtual_slot"].alias("virtual_slot"), to.alias("shard"))
+            return F.struct(loads.alias("loads"), F.concat(state["map"], F.array(entry)).alias("map"))
+
+        return _once(_lightest(state["loads"]), into)
+
+    def put_block(state: Column, block: Column) -> Column:  # so that only short maps are copied slot by slot
+        own = F.aggregate(block, F.struct(state["loads"].alias("loads"), no_map.alias("map")), put)
+        return _once(own, lambda s: F.struct(s["loads"].alias("loads"), F.concat(state["map"], s["map"]).alias("map")))
 
-    placed = sizes.agg(slots.alias("slots")).select(F.aggregate(rounds, start, place)["map"].alias("map"))
+    start = F.struct(no_loads.alias("loads"), no_map.alias("map"))
+    placed = sizes.agg(slots.alias("slots")).select(F.aggregate(blocks, start, put_block)["map"].alias("map"))
     return placed.select(F.inline("map")).withColumn("version", F.lit(1))
 
 
 def rebalanced_map(old: DataFrame, sizes: DataFrame, shards: int, tolerance: float = 0.02) -> DataFrame:
     """The next version: slots leave shards that are over the mean by more than ``tolerance``, and no others.
 
-    From each such shard the smallest slots move until it is within bounds, each
-    to the shard with the fewest bytes.  ``shards`` may be larger than before;
+    From each such shard the heaviest slots move that keep the lightest shard within
+    bounds, until the shard is within bounds itself.  ``shards`` may be larger than before;
     slots of shards beyond ``shards`` all move.
     """
     now = old.select("virtual_slot", "shard", "version").join(sizes, "virtual_slot")
     state = now.agg(
         F.max("version").alias("version"), (F.sum("bytes") / F.lit(shards) * F.lit(1 + tolerance)).alias("target"),
-        F.array_sort(F.collect_list(F.struct("bytes", "virtual_slot", "shard"))).alias("slots"),
+        F.sort_array(F.collect_list(F.struct("bytes", "virtual_slot", "shard")), asc=False).alias("slots"),
     )
     loads = F.transform(
         F.sequence(F.lit(0), F.lit(shards - 1)),
@@ -89,8 +104,9 @@ def rebalanced_map(old: DataFrame, sizes: DataFrame, shards: int, tolerance: flo
     def move(acc: Column, slot: Column) -> Column:
         own = F.get(acc["loads"], slot["shard"])  # null for a shard that is gone
         lightest = F.array_min(acc["loads"])
-        to = F.array_position(acc["loads"], lightest).cast("int") - 1
-        moves = (slot["shard"] >= shards) | F.coalesce((own > F.col("target")) & (lightest + slot["bytes"] < own), F.lit(False))
+        to = _lightest(acc["loads"])
+        fits = (lightest + slot["bytes"] <= F.col("target")) & (slot["bytes"] > 0)
+        moves = (slot["shard"] >= shards) | F.coalesce((own > F.col("target")) & fits, F.lit(False))
         after = F.transform(
             acc["loads"], lambda x, i: F.when(i == to, x + slot["bytes"]).when(i == slot["shard"], x - slot["bytes"]).otherwise(x)
         )
