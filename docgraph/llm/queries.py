@@ -10,6 +10,12 @@ from .exact_dedup import exact_groups
 from .packing import pack_documents
 from .shared import documents
 from .sharding import shard_documents
+from .simhash import simhash_components
+from .suffix_dedup import repeated_spans
+
+
+def op1_simhash_golay_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
 
 
 def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +30,19 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op9_prefix_free_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir)).digests()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_virtual_slot_sharding, op5_msd_radix_exact_dedup, op6_sum_of_squares_packing)
+    f.__name__: f
+    for f in (
+        op1_simhash_golay_near_dedup,
+        op3_virtual_slot_sharding,
+        op5_msd_radix_exact_dedup,
+        op6_sum_of_squares_packing,
+        op9_prefix_free_suffix_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
