@@ -1,19 +1,21 @@
-"""Byte-level BPE ids with a bounded cache of space-separated parts.
+"""Byte-level BPE ids with a bounded cache of the parts between spaces and line ends.
 
-A space whose neighbours are not white space always begins a pre-token, so a text
-is encoded part by part and repeated parts are looked up.  Texts where a
-space touches other white space are encoded in one go, and texts that hold a
-special token's string go through ``tokenizers`` itself.
+A single space always begins a pre-token, and a single line end (or two of them
+before other text) is one of its own, so a text is encoded part by part and
+repeated parts are looked up.  Texts with longer runs of white space are encoded
+in one go, and texts that hold a special token's string go through ``tokenizers``
+itself.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
 
-CACHED_PARTS = 400_000
+CACHED_PARTS = 1_000_000
 LONGEST_PART = 64
-_TOUCHING = re.compile(r" \s|\s ")
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUNS = re.compile(r"[^\S\n]\s|\s[^\S\n]|\n\n\n|\n\n\Z")
 
 
 class ByteBpe:
@@ -40,29 +42,35 @@ class ByteBpe:
             if piece not in added
         }
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids of ``text`` as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
-            return self.whole.encode(text, add_special_tokens=False).ids
-        if _TOUCHING.search(text):
-            return self.fast.encode_ordinary(text)
-        first, *rest = text.split(" ")
-        out = self.fast.encode_ordinary(first)
-        parts = self.parts
-        try:
-            out.extend(chain.from_iterable([parts[p] for p in rest]))
-        except KeyError:
-            for p in rest:
-                ids = parts.get(p)
-                if ids is None:
-                    ids = self.fast.encode_ordinary(" " + p)
-                    if len(p) <= LONGEST_PART:
-                        if len(parts) >= CACHED_PARTS:
-                            parts.clear()
-                        parts[p] = ids
-                out.extend(ids)
-        return out
+            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
+        if not _single_spaced(text):
+            return _packed(self.fast.encode_ordinary(text))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        found = list(map(self.parts.get, rest))
+        if None in found:
+            found = [ids or self._encode_part(p) for ids, p in zip(found, rest)]
+        return _packed(self.fast.encode_ordinary(first)) + b"".join(found)
+
+    def _encode_part(self, part: str) -> bytes:
+        ids = _packed(self.fast.encode_ordinary(part if part[:1] == "\n" else " " + part))
+        if len(part) <= LONGEST_PART and len(self.parts) < CACHED_PARTS:
+            self.parts[part] = ids
+        return ids
+
+
+def _single_spaced(text: str) -> bool:
+    if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n"):
+        return False
+    return not (_OTHER_SPACE.search(text) and _RUNS.search(text))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 def _byte_letters() -> dict[int, str]:

@@ -89,6 +89,7 @@ def _packer(tokenizer: str | None, capacity: int, separator: int, with_ids: bool
         encoder = ByteBpe.of(tokenizer)
         sequence = TaskContext.get().partitionId() << 40
         packer = SumOfSquares(capacity)
+        end = np.array([separator], "<u4").tobytes()
         out: list[tuple] = []
         id_type = None
 
@@ -110,9 +111,7 @@ def _packer(tokenizer: str | None, capacity: int, separator: int, with_ids: bool
         for batch in batches:
             id_type = batch.column(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text or "")
-                ids.append(separator)
-                ids = np.array(ids, "<u4")
+                ids = np.frombuffer(encoder.encode(text or "") + end, "<u4")
                 whole = len(ids) - len(ids) % capacity
                 for start in range(0, whole, capacity):
                     close([(start, ids[start : start + capacity], key, len(ids))])
