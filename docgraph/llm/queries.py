@@ -61,6 +61,12 @@ def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(captures, url_filter.page_list(spark, captures))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_piece_lattice,
         op9_prefix_free_suffix_dedup,
         op10_temporal_url_filter,
+        pipeline,
     )
 }
 
