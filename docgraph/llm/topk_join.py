@@ -27,7 +27,7 @@ SAMPLE = 4096
 PIVOTS = 64
 GROUP_QUERIES = 2048
 BLOCK_VECTORS = 16_384
-_NO_ID = np.iinfo(np.int64).max
+_NO_ID = (1 << 63) - 1  # stands for a null id while vectors are compared
 
 
 def _quantise(scale: float):
@@ -111,7 +111,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     columns are not read.  Scores must fit a long.
     """
     spark = df.sparkSession
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(is_query, F.lit(False)).alias("query"), F.col(vector_col).cast("array<double>").alias("v"))
+    source = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(is_query, F.lit(False)).alias("query"), F.col(vector_col).cast("array<double>").alias("v"))
     vectors = save(source.mapInArrow(_quantise(scale), "id long, row long, query boolean, v binary, dim int"), "vectors")
     result = "query_id long, rank int, vec_id long, score long"
     dim, total, queries = vectors.agg(F.max("dim"), F.count("*"), F.count_if("query")).first()
@@ -163,7 +163,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         if not len(q) or not len(x):
             return pd.DataFrame({c: pd.Series(dtype="Int64") for c in ("row", "query_id", "vec_id", "score", "vec_row")})
         a, b = _matrix(q.v, width), _matrix(x.v, width)
-        ids, rows = x.id.fillna(_NO_ID).to_numpy(np.int64), x.row.to_numpy(np.int64)
+        ids, rows = x.id.to_numpy(np.int64), x.row.to_numpy(np.int64)
         exact = np.abs(a).max() * np.abs(b).max() * width < 2.0**53
         if not exact:
             a, b = _matrix(q.v, width, object), _matrix(x.v, width, object)
@@ -181,11 +181,10 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                 value = np.array([int(s) for s in line[near]], np.int64)
                 order = np.lexsort((rows[near], ids[near], -value))[:k]
                 out += [(own, q.id.iat[at + i], ids[near[o]], value[o], rows[near[o]]) for o in order]
-        frame = pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score", "vec_row"]).astype("Int64")
-        frame.loc[frame.vec_id == _NO_ID, "vec_id"] = pd.NA
-        return frame
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score", "vec_row"]).astype("Int64")
 
     local = asked.cogroup(needed).applyInPandas(solve, "row long, query_id long, vec_id long, score long, vec_row long")
-    best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "vec_row")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "vec_row")
     ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    id_or_null = F.when(F.col("vec_id") != _NO_ID, F.col("vec_id"))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), id_or_null.alias("vec_id"), "score")
