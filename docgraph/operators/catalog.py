@@ -1,6 +1,6 @@
 """A catalog of collections: databases are folders, collections Parquet tables, metadata one small JSON object.
 
-``<root>/<db>/_catalog.json`` names each collection's kind, indexes and current version;
+``<root>/<db>/catalog.json`` names each collection's kind, indexes and current version;
 ``<root>/<db>/<collection>/v<N>`` holds its rows.  A load writes a new version and
 then swaps the metadata, so readers see whole loads only and a failed load leaves
 no trace.
@@ -35,17 +35,17 @@ class Database:
     # Metadata
 
     def _meta(self) -> dict:
-        path = f"{self.folder}/_catalog.json"
+        path = f"{self.folder}/catalog.json"
         if not exists(self.spark, path):
             return {"collections": {}, "views": {}, "graphs": {}}
         return json.loads(get(self.spark, path))
 
     def _store(self, meta: dict) -> None:
-        put(self.spark, f"{self.folder}/_catalog.json", json.dumps(meta, indent=2, sort_keys=True).encode())
+        put(self.spark, f"{self.folder}/catalog.json", json.dumps(meta, indent=2, sort_keys=True).encode())
 
     def create(self) -> None:
         """Idempotent."""
-        if not exists(self.spark, f"{self.folder}/_catalog.json"):
+        if not exists(self.spark, f"{self.folder}/catalog.json"):
             self._store(self._meta())
 
     def drop(self) -> None:

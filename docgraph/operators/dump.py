@@ -7,10 +7,10 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.cells import json_string
 from .catalog import Database, complete_views
-from .export import MANIFEST_VERSION, delete, encode_parts, exists, get, put, read_parts, relative
+from .export import MANIFEST_VERSION, delete, encode_parts, exists, get, put, read_parts, relative, store_parts
 
 MARKER = 2300
 CLAIM, MANIFEST = "dump.in-progress.json", "dump.manifest.json"
@@ -35,6 +35,17 @@ def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
+def with_reserved(df: DataFrame) -> DataFrame:
+    """Documents that say their own key and ends: what a row's columns hold and its text lacks is put in front."""
+    for name in ("_to", "_from", "_key"):
+        if name in df.columns:
+            rest = F.substring("doc", F.lit(2), F.length("doc"))
+            comma = F.when(rest.rlike(r"\A\s*\}"), "").otherwise(",")
+            named = F.concat(F.lit(f'{{"{name}":'), json_string(F.col(name)), comma, rest)
+            df = df.withColumn("doc", F.when(F.get_json_object("doc", f"$.{name}").isNull() & F.col(name).isNotNull(), named).otherwise(F.col("doc")))
+    return df
+
+
 def enveloped(df: DataFrame) -> DataFrame:
     return df.withColumn("doc", F.concat(F.lit(f'{{"type":{MARKER},"data":'), F.col("doc"), F.lit("}")))
 
@@ -54,10 +65,9 @@ def dump_database(db: Database, folder: str, prefix: str = "", database: str | N
         path = f"{prefix}{row.name}.structure.json"
         put(spark, f"{folder}/{path}", json.dumps(structure, indent=2).encode())
         artifacts.append({"kind": "structure", "path": path, "collection": row.name, "encryption": "none", **tag})
-        rows = enveloped(db.read(row.name)).select(F.xxhash64("_key").alias("h"), "_key", "doc")
-        rows = rows.select(F.struct("h", "_key").alias("ordinal"), "doc").withColumn("ordinal", F.to_json("ordinal"))
+        rows = enveloped(with_reserved(db.read(row.name))).select(F.col("_key").alias("ordinal"), "doc")
         parts = encode_parts(rows, f"{prefix}{row.name}.data", codec=codec)
-        artifacts += [{**a, "collection": row.name, **tag} for a in _stored(spark, parts, folder, f"{prefix}{row.name}.data", codec)]
+        artifacts += [{**a, "collection": row.name, **tag} for a in _stored(parts, folder)]
         done.append(row.name)
     views = db.views()
     if views:
@@ -70,29 +80,11 @@ def dump_database(db: Database, folder: str, prefix: str = "", database: str | N
     return artifacts
 
 
-def _stored(spark: SparkSession, parts: DataFrame, folder: str, base: str, codec: str | None) -> list[dict]:
+def _stored(parts: DataFrame, folder: str) -> list[dict]:
     """Writes parts and describes them, in order; no rows is no data artifact."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as fs
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-                target = f"{root}/{path}"
-                system.create_dir(target.rpartition("/")[0])
-                with system.open_output_stream(target) as out:
-                    out.write(content)
-            yield batch.drop(columns="content")
-
-    schema = T.StructType([f for f in parts.schema if f.name != "content"])
-    rows = parts.mapInPandas(store, schema).orderBy("part").collect()
     return [
-        {"kind": "data", "path": r.path, "format": r.format, "compression": r.compression, "part": r.part, "byte_size": r.byte_size, "encryption": "none", "checksum": {"algorithm": "sha256", "value": r.sha256}}
-        for r in rows
+        {"kind": "data", **{k: r[k] for k in ("path", "format", "compression", "part", "byte_size")}, "encryption": "none", "checksum": {"algorithm": "sha256", "value": r["sha256"]}}
+        for r in store_parts(parts, folder)
     ]
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,35 +22,23 @@ SUFFIX = {None: "", "gzip": ".gz", "zstd": ".zst"}
 MANIFEST_VERSION = 1
 
 
-def json_cells(df: DataFrame, fields: list[str], doc_col: str = "doc") -> DataFrame:
-    """A cell column per top-level field of each JSON document; an absent field is null."""
-    value = F.try_parse_json(doc_col)
-    out = []
-    for name in fields:
-        member = F.try_variant_get(value, f"$['{name}']", "variant")
-        kind = F.schema_of_variant(member)
-        tag = F.when(F.is_variant_null(member), "null").when(kind == "STRING", "str").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int").when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "float").otherwise("str")
-        text = F.when(tag == "str", F.when(kind == "STRING", F.try_variant_get(value, f"$['{name}']", "string")).otherwise(F.to_json(member))).otherwise(F.to_json(member))
-        out.append(F.when(member.isNotNull(), F.struct(tag.alias("t"), text.alias("s"))).alias(name))
-    return df.select(*out)
-
-
 def csv_lines(df: DataFrame, fields: list[str], doc_col: str = "doc", order: str | None = None) -> DataFrame:
     """(doc) one CSV record of each document, guarded and quoted; ``order`` is carried along."""
     if not fields:
         raise OptionError("csv export needs a list of fields")
     carried = df.select(*([F.col(order)] if order else []), F.col(doc_col))
-    value = [c for c in json_cells_columns(fields, doc_col)]
-    record = F.concat_ws(",", *[_quoted(cells.csv_cell(c)) for c in value])
+    record = F.concat_ws(",", *[_quoted(cells.csv_cell(c)) for c in json_cells(fields, doc_col)])
     return carried.select(*([order] if order else []), record.alias("doc"))
 
 
-def json_cells_columns(fields: list[str], doc_col: str):
+def json_cells(fields: list[str], doc_col: str = "doc") -> Iterator[Column]:
+    """A cell per top-level field of a JSON document; an absent field is null."""
     value = F.try_parse_json(doc_col)
     for name in fields:
         member = F.try_variant_get(value, f"$['{name}']", "variant")
         kind = F.schema_of_variant(member)
-        tag = F.when(F.is_variant_null(member), "null").when(kind == "STRING", "str").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int").when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "float").otherwise("str")
+        number = F.when(kind == "BIGINT", "int").when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "float")
+        tag = F.when(F.is_variant_null(member), "null").when(kind == "BOOLEAN", "bool").otherwise(F.coalesce(number, F.lit("str")))
         text = F.when(kind == "STRING", F.try_variant_get(value, f"$['{name}']", "string")).otherwise(F.to_json(member))
         yield F.when(member.isNotNull(), F.struct(tag.alias("t"), text.alias("s")))
 
@@ -109,18 +97,7 @@ def write_parts(df: DataFrame, folder: str, base: str, database: str | None = No
     spark = df.sparkSession
     parts = encode_parts(df, base, **options)
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as fs
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-                system.create_dir(root)
-                with system.open_output_stream(f"{root}/{path}") as out:
-                    out.write(content)
-            yield batch.drop(columns="content")
-
-    rows = [r.asDict() for r in parts.mapInPandas(store, PARTS).orderBy("part").collect()]
+    rows = store_parts(parts, folder)
     if not rows:
         kind, codec = options.get("kind", "jsonl"), options.get("codec")
         content = part_bytes_of([], kind, options.get("fields"), codec)
@@ -135,6 +112,24 @@ def write_parts(df: DataFrame, folder: str, base: str, database: str | None = No
     return manifest
 
 
+def store_parts(parts: DataFrame, folder: str) -> list[dict]:
+    """Each task writes its own parts; what describes them comes back, in order."""
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = f"{root}/{path}"
+                system.create_dir(target.rpartition("/")[0])
+                with system.open_output_stream(target, compression=None) as out:
+                    out.write(content)
+            yield batch.drop(columns="content")
+
+    return [r.asDict() for r in parts.mapInPandas(store, PARTS).orderBy("part").collect()]
+
+
 def put(spark: SparkSession, path: str, content: bytes, overwrite: bool = True) -> bool:
     """Store one small object through Hadoop's file systems; False if it exists and may not be overwritten."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
