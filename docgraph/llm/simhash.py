@@ -7,7 +7,9 @@ fingerprints that differ in at most two bits agree wholly on one segment
 the segment and each word one bit away decode to.  Two words at most two bits
 apart have a word between them that is one bit from either, so they share an
 index.  A key is therefore (which segment, its bits, an index of the next segment),
-some 16 keys of 33 bits for a fingerprint.
+some 16 keys of 33 bits for a fingerprint.  For three to five differing bits, at
+least two segments differ in at most two (pigeonhole again), and a key is (which
+two segments, an index of either): some 84 keys of 24 bits.
 
 Keys are joined in sorted partitions and verified on all 64 bits; of each key's
 links only a spanning forest is emitted, so output grows with the rows, not with
@@ -109,37 +111,58 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
     return (words ^ leaders[parity[words >> 11] ^ (words & 0x7FF)]) >> 11
 
 
-def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _indices(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, codeword index) of every index of every segment value."""
+    flips = np.array([0, *(1 << k for k in range(bits))], np.int64)
+    near = np.sort(codeword_index(words[:, None] ^ flips), axis=1)
+    first = np.ones(near.shape, bool)
+    first[:, 1:] = near[:, 1:] != near[:, :-1]
+    rows, cols = np.nonzero(first)
+    return rows, near[rows, cols]
+
+
+def golay_keys(prints: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(position of the fingerprint, key) of every key of every fingerprint."""
     segments = [((prints >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.int64) for low, bits in SEGMENTS]
+    indices = [_indices(words, bits) for words, (_, bits) in zip(segments, SEGMENTS)]
     at, keys = [], []
-    for exact, (_, _) in enumerate(SEGMENTS):
-        fuzzy = (exact + 1) % len(SEGMENTS)
-        flips = np.array([0, *(1 << k for k in range(SEGMENTS[fuzzy][1]))], np.int64)
-        near = np.sort(codeword_index(segments[fuzzy][:, None] ^ flips), axis=1)
-        first = np.ones(near.shape, bool)
-        first[:, 1:] = near[:, 1:] != near[:, :-1]
-        rows, cols = np.nonzero(first)
-        at.append(rows)
-        keys.append((exact << 34) | (segments[exact][rows] << 12) | near[rows, cols])
+    for one in range(len(SEGMENTS)):
+        other = (one + 1) % len(SEGMENTS)
+        rows, near = indices[other]
+        if max_bits <= 2:
+            at.append(rows)
+            keys.append((one << 34) | (segments[one][rows] << 12) | near)
+            continue
+        own_rows, own = indices[one]
+        count = np.bincount(own_rows, minlength=len(prints))
+        begin = np.cumsum(count) - count
+        repeat = count[rows]  # each index of the other segment meets every index of this one
+        place = np.repeat(begin[rows] - np.cumsum(repeat) + repeat, repeat) + np.arange(repeat.sum())
+        at.append(np.repeat(rows, repeat))
+        keys.append((one << 34) | (own[place] << 12) | np.repeat(near, repeat))
     return np.concatenate(at), np.concatenate(keys)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for start in range(0, len(prints), 4096):
-            block = prints[start : start + 4096]
-            at, keys = golay_keys(block)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(block[at].view(np.int64))], names=["key", "fp"])
+def _keys(max_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for start in range(0, len(prints), 4096):
+                block = prints[start : start + 4096]
+                at, keys = golay_keys(block, max_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(block[at].view(np.int64))], names=["key", "fp"])
+
+    return run
 
 
 # Verification
 
 
 def _forest(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the fingerprints at most two bits apart."""
+    """Edges of a spanning forest of the fingerprints at most ``max_bits`` apart."""
     size = len(prints)
+    if max_bits > 2:
+        return _spread(prints, max_bits)
     if size <= SMALL_BUCKET or max_bits != 2:
         a, b = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints) <= max_bits, 1))
     else:  # two words at most two bits apart are both within one bit of some word, and the converse
@@ -163,6 +186,22 @@ def _forest(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _spread(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """The forest, found from one fingerprint to all near it that are not reached yet, and on from those."""
+    left, edges, reached = np.arange(len(prints)), [], []
+    while len(left):
+        if not reached:
+            reached.append(int(left[0]))
+            left = left[1:]
+        node = reached.pop()
+        near = np.bitwise_count(prints[left] ^ prints[node]) <= max_bits
+        new = left[near].tolist()
+        edges += [(node, x) for x in new]
+        reached += new
+        left = left[~near]
+    return edges
+
+
 def _verify(max_bits: int):
     def links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
@@ -203,10 +242,10 @@ def _verify(max_bits: int):
 
 
 def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that connect exactly what lies within two bits."""
-    if not 0 <= max_bits <= 2:
-        raise ValueError("the Golay keys find fingerprints at most two bits apart")
-    keyed = prints.select("fp").mapInArrow(_keys, "key long, fp long")
+    """Edges (a, b) between distinct fingerprints ``fp`` that connect exactly what lies within ``max_bits``."""
+    if not 0 <= max_bits <= 5:
+        raise ValueError("the Golay keys find fingerprints at most five bits apart")
+    keyed = prints.select("fp").mapInArrow(_keys(max_bits), "key long, fp long")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verify(max_bits), "a long, b long")
 
