@@ -92,14 +92,15 @@ class Database:
         return self.read(name).count()
 
     def load(self, name: str, rows: DataFrame, mode: str = "error", order: list[str] | None = None, overwrite: bool = False, complete: bool = False) -> dict:
-        """Load rows (the collection's columns, and ``order``); returns created, updated, ignored and errors.
+        """Load rows (the collection's columns, and ``order``: by default ``ordinal``, if there is one, else the text).
 
+        Returns created, updated, ignored and errors.
         ``overwrite`` empties the collection once, before the load; ``complete`` refuses
         the whole load if it has errors.
         """
         entry = self._entry(name)
         kind = entry["kind"]
-        order = order or ["doc"]
+        order = order or (["ordinal"] if "ordinal" in rows.columns else ["doc"])
         stored = self.spark.createDataFrame([], SCHEMAS[kind]) if overwrite else self.read(name)
         key = F.coalesce(F.col("_key"), F.sha2(F.col("doc"), 256)) if "_key" in rows.columns else F.sha2(F.col("doc"), 256)
         rows = rows.withColumn("_key", key)
@@ -107,7 +108,7 @@ class Database:
         if complete and counts["errors"]:
             raise CatalogError(f"{counts['errors']} rows have a key that exists; nothing was loaded")
         version = entry["version"] + 1
-        upsert(stored, rows, ["_key"], [c for c in order if c in stored.columns] or ["doc"], mode).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
+        upsert(stored, rows, ["_key"], order, mode).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
         meta = self._meta()
         meta["collections"][name]["version"] = version
         self._store(meta)

@@ -39,11 +39,12 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], order: list[s
     """
     if mode not in MODES:
         raise ValueError(f"unknown duplicate mode '{mode}'; known: {', '.join(MODES)}")
-    incoming = incoming.select(*stored.columns)
+    incoming = incoming.select(*stored.columns, *[c for c in order if c not in stored.columns])
     if mode in ("error", "ignore"):
-        return stored.unionByName(first_of_key(incoming.join(stored, key, "left_anti"), key, order))
+        new = first_of_key(incoming.join(stored.select(*key), key, "left_anti"), key, order)
+        return stored.unionByName(new.select(*stored.columns))
     if mode == "replace":
-        new = last_of_key(incoming, key, order)
+        new = last_of_key(incoming, key, order).select(*stored.columns)
         return stored.join(new, key, "left_anti").unionByName(new)
     patch = patch_of_key(incoming, key, order)
     attributes = [c for c in stored.columns if c not in key]
