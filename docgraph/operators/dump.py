@@ -159,19 +159,19 @@ def restore(spark: SparkSession, root: str, folder: str, database: str | None =
         if checkpoint:
             put(spark, checkpoint, json.dumps(state).encode())
 
-    def views(kind: str) -> None:
+    def views(alias: bool) -> None:
         for a in manifest["artifacts"]:
             unit = unit_id(name_of(a), a.get("view", ""), view=True)
             if a["kind"] == "view" and unit not in state["done"]:
                 body = json.loads(get(spark, f"{folder}/{relative(a['path'])}"))
-                if (body.get("type") == "search-alias") == (kind == "search-alias"):
+                if (body.get("type") == "search-alias") == alias:
                     Database(spark, root, name_of(a)).create_view(a["view"], body)
                     finish(unit)
 
     pending = [u for u in units if unit_id(u.database, u.collection) not in state["done"]]
     for u in pending:
         Database(spark, root, u.database).ensure_collection(u.collection, "edge" if u.is_edge else "document")
-    views("arangosearch")
+    views(alias=False)
     for u in pending:
         db = Database(spark, root, u.database)
         data = [a for a in manifest["artifacts"] if a["kind"] == "data" and name_of(a) == u.database and a["collection"] == u.collection]
@@ -182,5 +182,5 @@ def restore(spark: SparkSession, root: str, folder: str, database: str | None =
             if index.get("type") not in ("primary", "edge"):
                 db.create_index(u.collection, index)
         finish(unit_id(u.database, u.collection))
-    views("search-alias")
+    views(alias=True)
     return restored

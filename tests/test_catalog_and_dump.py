@@ -117,9 +117,9 @@ def database(spark, root):
     db.load("knows", link)
     db.create_index("docs", {"type": "primary"})
     db.create_index("docs", {"type": "persistent", "fields": ["s"]})
-    db.create_view("v", {"type": "arangosearch", "links": {"docs": {}}, "id": "1"})
+    db.create_view("v", {"type": "search", "links": {"docs": {}}, "id": "1"})
     db.create_view("alias", {"type": "search-alias", "indexes": [{"collection": "docs"}]})
-    db.create_view("orphan", {"type": "arangosearch", "links": {"gone": {}}})
+    db.create_view("orphan", {"type": "search", "links": {"gone": {}}})
     return db
 
 
