@@ -38,7 +38,7 @@ def read_documents(spark: SparkSession, path: str, kind: str | None, options: Re
         return read_jsonl(spark, path)
     if kind == "json":
         return read_json_array(spark, path).select("doc")
-    return to_documents(typed_cells(read_delimited(spark, path, "\t" if kind == "tsv" else ","), options))
+    return to_documents(typed_cells(read_delimited(spark, path, "\t" if kind == "tsv" else ",", exact=True), options))
 
 
 def import_documents(spark: SparkSession, db: Database, a: argparse.Namespace) -> dict:

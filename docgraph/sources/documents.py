@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -61,10 +64,25 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(elements, "ordinal long, doc string")
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """Text columns named by the header line; a short row's missing cells and an empty cell are both null or empty text.
+def _ragged(width: int, separator: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["value"]:
+                records = csv.reader(io.StringIO(text, newline=""), delimiter=separator)
+                next(records, None)
+                while chunk := list(islice((r for r in records if r), 10_000)):
+                    cells = [[*r[:width], *[None] * (width - len(r))] for r in chunk]
+                    yield pd.DataFrame(cells, columns=[f"c{i}" for i in range(width)], dtype=object)
+
+    return run
+
+
+def read_delimited(spark: SparkSession, path: str, separator: str = ",", exact: bool = False) -> DataFrame:
+    """Text columns named by the header line; duplicate header names keep the last column.
 
-    Duplicate header names keep the last column.  Files of one read share their header.
+    Files of one read share their header.  Spark's splittable reader gives null for an
+    empty cell and for a cell that a short row lacks; ``exact`` reads each file whole, and
+    tells the first (empty text) from the second (null).
     """
     header = spark.read.csv(path, sep=separator, quote='"', escape='"', multiLine=True, header=False, inferSchema=False).limit(1).collect()
     if not header:
@@ -73,4 +91,6 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> Data
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     rows = spark.read.schema(schema).csv(path, sep=separator, quote='"', escape='"', multiLine=True, header=True, enforceSchema=True, mode="PERMISSIVE", nullValue="\0none", emptyValue="")
     last = {name: i for i, name in enumerate(names)}
+    if exact:
+        rows = spark.read.text(path, wholetext=True).mapInPandas(_ragged(len(names), separator), schema)
     return rows.select(*[F.col(f"c{i}").alias(name) for name, i in last.items()])

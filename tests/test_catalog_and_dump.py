@@ -46,6 +46,8 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name,note,name\n"a,b","line1\nline2",x\nq"q,,y,extra\nshort\n')
     got = [r.asDict() for r in read_delimited(spark, str(tmp_path / "a.csv")).collect()]
     assert got[0] == {"name": "x", "note": "line1\nline2"} and got[1]["note"] in ("", None) and len(got) == 3
+    exact = [r.asDict() for r in read_delimited(spark, str(tmp_path / "a.csv"), exact=True).collect()]
+    assert exact == [{"name": "x", "note": "line1\nline2"}, {"name": "y", "note": ""}, {"name": None, "note": None}]
     (tmp_path / "a.tsv").write_text("a\tb\n1\t2\n")
     assert read_delimited(spark, str(tmp_path / "a.tsv"), "\t").first().asDict() == {"a": "1", "b": "2"}
 
