@@ -22,10 +22,6 @@ def texts():
     return out
 
 
-def reference_ids(text):
-    return Tokenizer.from_file(public.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids
-
-
 def test_ids_equal_the_tokenizers_library():
     encoder = ByteBpe.of(None)
     whole = Tokenizer.from_file(public.path("byte_bpe_50k.json"))

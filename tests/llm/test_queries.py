@@ -1,0 +1,12 @@
+import pytest
+
+from docgraph.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(compare, name):
+    compare(QUERIES[name], ORACLE_SQL[name])
+
+
+def test_ten_operators_and_the_pipeline_are_registered():
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
