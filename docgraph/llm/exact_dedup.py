@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,15 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import save
+from .shared import ROW, discard, number_rows, save
 
 WHITESPACE = b" \t\n\x0b\x0c\r"
 FIRST_WIDTH = 64
 WIDTH_FACTOR = 4
 
 
-def _collapse(payload: bool):
-    """Per batch: one row for each distinct normalised text, with its members and its best row."""
+def _collapse(numbered: bool):
+    """Per batch: one row for each distinct normalised text, with its members and its best row.
+
+    Rows carry their numbers (``numbered``), or are numbered by task and place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -46,6 +50,7 @@ def _collapse(payload: bool):
             points = pc.utf8_length(texts).to_pylist()
             norm = [b.translate(None, WHITESPACE) for b in texts.cast(pa.binary()).to_pylist()]
             known = ids.to_pylist()
+            numbers = batch.column(2).to_pylist() if numbered else range(number, number + len(norm))
             order = sorted(range(len(norm)), key=norm.__getitem__)
             starts, best = [], []
             for place, i in enumerate(order):
@@ -57,12 +62,12 @@ def _collapse(payload: bool):
                     starts.append(place)
                     best.append(i)
             offsets = pa.array([*starts, len(order)], pa.int32())
-            rows = pa.array([number + i for i in order], pa.int64())
+            rows = pa.array([numbers[i] for i in order], pa.int64())
             members = pa.StructArray.from_arrays([ids.take(pa.array(order)), rows], ["id", "row"])
             at = pa.array(best, pa.int64())
             sizes = [b - a for a, b in zip(starts, [*starts[1:], len(order)])]
             columns = [
-                pa.array([number + i for i in best], pa.int64()),
+                pa.array([numbers[i] for i in best], pa.int64()),
                 pa.array([norm[i] for i in best], pa.binary()),
                 pa.array([points[i] for i in best], pa.int64()),
                 ids.take(at),
@@ -70,10 +75,7 @@ def _collapse(payload: bool):
                 pa.array([hashlib.sha256(norm[i]).hexdigest() for i in best], pa.string()),
                 pa.ListArray.from_arrays(offsets, members),
             ]
-            if payload:
-                columns.append(batch.column(2).take(at))
-            names = ["rid", "rest", "points", "id", "size", "sha", "members"] + ["payload"] * payload
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "rest", "points", "id", "size", "sha", "members"])
             number += len(order)
 
     return run
@@ -88,13 +90,10 @@ class ExactGroups:
     """``representatives``: one row per batch and text; ``classes``: (rid, cls) where two or more meet."""
 
     representatives: DataFrame
-    classes: DataFrame | None
+    classes: DataFrame
 
     def _with_class(self) -> DataFrame:
-        reps = self.representatives
-        if self.classes is None:
-            return reps.withColumn("cls", F.col("rid"))
-        return reps.join(self.classes, "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
+        return self.representatives.join(self.classes, "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
 
     def _best(self, reps: DataFrame) -> DataFrame:
         best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("row")))
@@ -109,48 +108,53 @@ class ExactGroups:
             (F.col("m.row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"),
         )
 
-    def survivors(self) -> DataFrame:
-        """The kept rows themselves, with every column of the input."""
-        reps = self._with_class().select("cls", "rid", "points", "id", "size")
-        kept = self._best(reps).select(F.col("best.row").alias("rid"))
-        return self.representatives.join(kept, "rid", "left_semi").select("payload.*")
+    def kept_rows(self) -> DataFrame:
+        """(row): the number of the row that stays, of each group."""
+        return self._best(self._with_class().select("cls", "rid", "points", "id", "size")).select(F.col("best.row").alias("row"))
+
+
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The kept rows themselves, with every column of ``df``; see ``exact_groups``."""
+    numbered = number_rows(df, "exact-rows")
+    groups = exact_groups(numbered, id_col, text_col, row_col=ROW)
+    kept = save(groups.kept_rows().withColumnRenamed("row", ROW), "exact-kept")
+    discard(groups.representatives, groups.classes)
+    return numbered.join(kept, ROW, "left_semi").drop(ROW)
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: bool = False) -> ExactGroups:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> ExactGroups:
     """Group the rows of ``df`` by their normalised text.
 
     Defined results: a null text counts as empty, and all empty texts form one
     group; of a group, the row with most code points in the original text,
     then the smallest id (null ids last), then the earliest row stays; repeated
     rows are rows of their own and only one of them is kept; an empty table gives an
-    empty result; other columns are carried only with ``payload`` and never clash.
+    empty result; other columns are not read.  ``row_col`` names unique row numbers, if
+    there are any.
     """
     id_type = df.schema[id_col].dataType
     cols = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")]
-    if payload:
-        cols.append(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("payload"))
+    if row_col:
+        cols.append(F.col(row_col).alias("row"))
     source = df.select(*cols)
     fields = [
         T.StructField("rid", T.LongType()), T.StructField("rest", T.BinaryType()), T.StructField("points", T.LongType()),
         T.StructField("id", id_type), T.StructField("size", T.LongType()), T.StructField("sha", T.StringType()),
         T.StructField("members", T.ArrayType(T.StructType([T.StructField("id", id_type), T.StructField("row", T.LongType())]))),
     ]
-    if payload:
-        fields.append(T.StructField("payload", source.schema["payload"].dataType))
-    reps = save(source.mapInArrow(_collapse(payload), T.StructType(fields)), "exact-reps")
+    reps = save(source.mapInArrow(_collapse(row_col is not None), T.StructType(fields)), "exact-reps")
 
     active = reps.select("rid", F.lit(0).cast("long").alias("grp"), "rest")
-    width, ended = FIRST_WIDTH, []
+    width, levels = FIRST_WIDTH, []
     while True:
-        level = _split(active, width)
-        ended.append(level.where("done").select("rid", F.col("grp").alias("cls")))
-        active = level.where("not done").select("rid", "grp", "rest")
+        levels.append(_split(active, width))
+        active = levels[-1].where("not done").select("rid", "grp", "rest")
         if active.isEmpty():
             break
         width *= WIDTH_FACTOR
-    classes = ended[0]
-    for more in ended[1:]:
-        classes = classes.unionByName(more)
+    ended = [level.where("done").select("rid", F.col("grp").alias("cls")) for level in levels]
+    classes = save(reduce(DataFrame.unionByName, ended), "exact-classes")
+    discard(*levels)
     return ExactGroups(reps, classes)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import ByteBpe
+from .shared import bounded
 
 CAPACITY = 1024
 SEPARATOR = 0
@@ -146,5 +147,5 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fields += [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(_packer(tokenizer, capacity, separator, with_ids), T.StructType(fields))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bounded
+
 MARK = "▁"
 CACHED_SEGMENTS = 1_000_000
 LONGEST_CACHED = 64
@@ -205,7 +207,7 @@ def encode_texts(df: DataFrame, model: str | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -218,7 +220,7 @@ def decode_ids(df: DataFrame, model: str | None = None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("text", T.StringType())])
-    return df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, schema)
+    return bounded(df).select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, schema)
 
 
 def encoding_digests(df: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,4 +236,4 @@ def encoding_digests(df: DataFrame, model: str | None = None, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
     schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType)]).add("n_ids", "long").add("ids_crc32", "long").add("round_trip", "boolean")
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW = "__row"
+BATCH_ROWS = 2000
 _fallback: dict[int, str] = {}
 
 
@@ -24,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to ``BATCH_ROWS`` rows: whole texts are large rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docgraph-{name}-{uuid.uuid4().hex}"
 
@@ -31,8 +40,27 @@ def new_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and read it back."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(_nullable(df.schema)).parquet(path)
+    bounded(df).write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(_nullable(df.schema)).parquet(path)
+    table.docgraph_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.docgraph_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lowest_hashes(df: DataFrame, key: str, count: int, total: int) -> DataFrame:
+    """The ``count`` rows of lowest key hash, of ``total``; few others are sorted, however large ``df`` is."""
+    hashed = F.xxhash64(key)
+    share = (count + 10 * count**0.5 + 100) / max(1, total)
+    if share < 1:
+        df = df.where(hashed <= F.lit(int(-(2**63) + share * 2**64)))
+    return df.orderBy(hashed, key).limit(count)
 
 
 def number_rows(df: DataFrame, name: str = "rows", column: str = ROW) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import ROW, number_rows, save
+from .shared import ROW, bounded, number_rows, save
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -81,7 +81,7 @@ def _fingerprints(words: int):
 
 def fingerprints(df: DataFrame, carry: dict[str, str], text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """(carried columns, fp) of every row; ``carry`` maps output names to columns of ``df``."""
-    source = df.select(*[F.col(f"`{c}`").alias(n) for n, c in carry.items()], F.col(text_col).cast("string").alias("__text"))
+    source = bounded(df).select(*[F.col(f"`{c}`").alias(n) for n, c in carry.items()], F.col(text_col).cast("string").alias("__text"))
     fields = [T.StructField(f.name, f.dataType) for f in source.schema.fields[:-1]]
     return source.mapInArrow(_fingerprints(words), T.StructType([*fields, T.StructField("fp", T.LongType())]))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ROW, new_path, save
+from .shared import ROW, bounded, discard, new_path, save
 
 LENGTH = 200
 TRIGGER = 32
@@ -315,7 +315,7 @@ def cut(text: bytes, first: list[int] | None, last: list[int] | None, length: in
 
 def _stored_texts(df: DataFrame, id_col: str, text_col: str, payload: list[str] | None) -> DataFrame:
     """The texts, bucketed by row in an external table of the shared folder."""
-    spark = df.sparkSession
+    spark = bounded(df).sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     columns = [F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text.alias("bytes")]
@@ -340,7 +340,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     phrases = save(
         texts.select("rid", "bytes").mapInArrow(_phrases(length), "rid long, trig long, digest long, lo long, n int, dist int"), "phrases"
     )
-    copies = phrases.where("trig IS NULL").select("rid", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"))
+    copies = save(
+        phrases.where("trig IS NULL").select("rid", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last")), "copies"
+    )
     parse = phrases.where("trig IS NOT NULL")
     dictionary = parse.groupBy("trig", "digest").agg(F.count("*").alias("times"), F.min("rid").alias("rep"))
     per_trigger = dictionary.groupBy("trig").agg(F.count("*").alias("distinct_phrases"), F.max("times").alias("most"))
@@ -353,6 +355,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "parse",
     )
+    discard(phrases, entries)
     full = seen.where("not once").select("rid", F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last"))
     open_phrases = seen.where("distinct_phrases > 1 AND is_rep").select("rid", "lo", "n", "dist", "trig", "once", (F.col("distinct_phrases") > HOT_BUCKET).alias("hot"))
     with_bytes = save(
@@ -369,7 +372,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         strings = strings.select("rid", "once", (F.col("lo") + F.col("i")).alias("first"), F.expr(f"substring(bytes, i + 1, {length})").alias("string"))
         twice = strings.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").select("string")
         spans = spans.unionByName(strings.where("once").join(twice, "string").select("rid", "first", F.col("first").alias("last")))
-    return RepeatedSpans(texts, save(spans, "repeated-spans"), length)
+    spans = save(spans, "repeated-spans")
+    discard(copies, seen, with_bytes)
+    return RepeatedSpans(texts, spans, length)
 
 
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

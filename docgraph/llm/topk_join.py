@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .shared import save
+from .shared import lowest_hashes, save
 
 SAMPLE = 4096
 PIVOTS = 64
@@ -117,7 +117,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     dim, total, queries = vectors.agg(F.max("dim"), F.count("*"), F.count_if("query")).first()
     if not queries:
         return spark.createDataFrame([], result)
-    sample = vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").collect()
+    sample = lowest_hashes(vectors, "row", SAMPLE, total).select("v").collect()
     pivots = _pivots(_matrix([r.v for r in sample], max(1, dim)), PIVOTS)
     placed = save(vectors.mapInArrow(_cells(pivots), "id long, row long, query boolean, v binary, cell int, far double, norm double"), "cells")
 

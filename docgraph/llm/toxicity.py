@@ -32,10 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import save
+from .shared import bounded, discard, lowest_hashes, save
 
 MAX_LABELLED = 200_000
 MAX_TOKENS = 50_000
+COUNTED_TOKENS = 200_000  # held by a task before it passes its counts on
 DRIFT = -0.25
 LEAST_ODDS = 1.0
 MAX_E = 0.1
@@ -122,13 +123,21 @@ def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> pa.RecordBatch:
+        words = list(counts[0].keys() | counts[1].keys())
+        sums = [pa.array([c[w] for w in words], pa.int64()) for c in counts]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *sums], names=["token", "clean", "toxic"])
+
     for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[toxic].update(set(tokens(text)))
-        words = list(counts[0].keys() | counts[1].keys())
-        sums = [pa.array([c[w] for w in words], pa.int64()) for c in counts]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *sums], names=["token", "clean", "toxic"])
+        if len(counts[0]) + len(counts[1]) > COUNTED_TOKENS:
+            yield flush()
+    yield flush()
 
 
 def _known_counts(known: frozenset[str]):
@@ -152,14 +161,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Without both toxic and clean rows the model finds no segments, and its scores
     are the share of toxic rows (0 if there are no labels).
     """
-    sample = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & in_training(F.col(id_col)))
-        .groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__toxic"))
-        .orderBy(F.xxhash64(id_col), id_col).limit(MAX_LABELLED)
-    )
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & in_training(F.col(id_col)))
+    usable = save(usable.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__toxic")), "usable-labels")
+    sample = lowest_hashes(usable, id_col, MAX_LABELLED, usable.count())
     texts = documents.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     train = texts.join(F.broadcast(save(sample, "label-sample")), id_col).select("__text", (F.col("__toxic") > 0).cast("int").alias("__toxic"))
-    train = save(train.mapInArrow(_copy_keys, "__text string, __toxic int, __key long"), "labelled").select("__text", "__toxic", "__key")
+    train = save(train.mapInArrow(_copy_keys, "__text string, __toxic int, __key long"), "labelled")
     single = save(train.groupBy("__key", "__toxic").agg(F.min("__text").alias("__text")).select("__text", "__toxic"), "labelled-once")
     shares = dict(single.groupBy("__toxic").count().collect())
     clean_docs, toxic_docs = shares.get(0, 0), shares.get(1, 0)
@@ -171,7 +178,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     lead = F.col("toxic") / F.lit(toxic_docs) - F.col("clean") / F.lit(clean_docs)
     counts = save(counts.where("toxic >= 2").withColumn("lead", lead).where("lead > 0"), "label-tokens")
     chance = math.sqrt(2 * math.log(counts.count() + 2))
-    top = counts.where(_signed_ratio(clean_docs, toxic_docs) > chance).orderBy(F.desc("lead"), "token").limit(MAX_TOKENS).collect()
+    telling = counts.where(_signed_ratio(clean_docs, toxic_docs) > chance)
+    found = telling.count()
+    if found > MAX_TOKENS:  # few more than the limit are sorted
+        telling = telling.where(F.col("lead") >= telling.approxQuantile("lead", [1 - MAX_TOKENS / found], 0.001)[0])
+    top = telling.orderBy(F.desc("lead"), "token").limit(MAX_TOKENS).collect()
     known = frozenset(r.token for r in top)
     everywhere = texts.select("__text").mapInArrow(_known_counts(known), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     everywhere = {r.token: r.n for r in everywhere}
@@ -193,6 +204,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model.rate = ((null[0] or 0) + 0.5) / max(1, null[1] or 1)
     pairs = np.array([tuple(r) for r in _evidence_table(train, model).collect()], float)  # at most MAX_LABELLED rows
     model.slope, model.intercept = _logistic(np.log1p(pairs[:, 0]), pairs[:, 1])
+    discard(usable, train, single, counts, evidence)
     return model
 
 
@@ -237,6 +249,8 @@ def _segment_table(train: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def _evidence_table(train: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(evidence, toxic) of every labelled row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [model.evidence(tokens(t)) for t in batch.column(0).to_pylist()]
@@ -266,7 +280,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, id_col: str = "do
     Null and empty texts have no segments and get the model's lowest score; a null id
     counts as the empty text for the fold; repeated rows get a row each.
     """
-    return documents.select(
+    return bounded(documents).select(
         F.col(id_col).alias("doc_id"), (~in_training(F.col(id_col))).alias("held_out"), model.score(F.col(text_col)).alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -287,9 +301,9 @@ def toxic_passages(documents: DataFrame, model: ToxicityModel, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["doc_id", "start", "stop", "passage", "score", "e_value"])
 
     schema = T.StructType([T.StructField("doc_id", documents.schema[id_col].dataType)]).add("start", "long").add("stop", "long").add("passage", "string").add("score", "double").add("e_value", "double")
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded(documents).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``documents`` that the model does not reject, with all their columns."""
-    return documents.where(model.score(F.col(text_col)) < threshold)
+    return bounded(documents).where(model.score(F.col(text_col)) < threshold)

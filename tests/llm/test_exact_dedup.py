@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from docgraph.llm.exact_dedup import exact_groups
+from docgraph.llm.exact_dedup import drop_exact_duplicates, exact_groups
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -44,7 +44,7 @@ def test_against_brute_force(spark):
 def test_survivors_keep_every_column(spark):
     data = [(*x, str(k)) for k, x in enumerate(rows(5))]
     df = spark.createDataFrame(data, "doc_id long, text string, payload string").repartition(3)
-    kept = exact_groups(df, payload=True).survivors()
+    kept = drop_exact_duplicates(df)
     assert kept.columns == df.columns
     norm = lambda t: (t or "").translate({ord(c): None for c in SPACE})
     got = kept.collect()
@@ -55,4 +55,4 @@ def test_survivors_keep_every_column(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_groups(df).assignments().count() == 0
-    assert exact_groups(df, payload=True).survivors().count() == 0
+    assert drop_exact_duplicates(df).count() == 0

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docgraph.llm import topk_join
+from docgraph.llm.shared import lowest_hashes
 from docgraph.llm.topk_join import exact_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
@@ -42,6 +43,7 @@ def test_against_brute_force(spark):
 def test_many_groups_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk_join, "GROUP_QUERIES", 6)
     monkeypatch.setattr(topk_join, "BLOCK_VECTORS", 50)
+    monkeypatch.setattr(topk_join, "SAMPLE", 40)
     check(spark, vectors(200), 3)
 
 
@@ -49,3 +51,10 @@ def test_few_candidates_and_empty(spark):
     check(spark, [(0, [1.0, 2.0]), (5, [2.0, 1.0])])
     df = spark.createDataFrame([], SCHEMA)
     assert exact_top_k(df, F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_lowest_hashes(spark):
+    df = spark.range(20000).repartition(4)
+    got = [r.id for r in lowest_hashes(df, "id", 300, 20000).collect()]
+    assert got == [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(300).collect()]
+    assert lowest_hashes(df, "id", 30000, 20000).count() == 20000
