@@ -200,6 +200,24 @@ for _mode, _f, _keep in (("ignore", "min", "stored"), ("error", "min", "stored")
     _other = "new" if _keep == "stored" else "stored"
     ORACLE_SQL[f"upsert_{_mode}"] = f"WITH {_STORED}, {_NEW.format(f=_f)} SELECT * FROM {_keep} UNION ALL SELECT o.* FROM {_other} o ANTI JOIN {_keep} k USING (user_id, event_type)"
 
+
+def _upserted_whole(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+        is_stored = F.coalesce(F.expr("event_id % 2 = 0 AND user_id % 3 <> 0"), F.lit(False))
+        stored = upsert.first_of_key(df.where(is_stored), ["user_id", "event_type"], ["event_id"])
+        return upsert.upsert(stored, df.where(~is_stored), ["user_id", "event_type"], ["event_id"], mode)
+
+    return run
+
+
+# The same over every event: what is not stored is incoming, so even ids of every third user meet no stored row.
+_REST = "new AS (SELECT user_id, event_type, {f}(event_id) AS event_id, arg_{f}(value, event_id) AS value FROM events WHERE NOT coalesce(event_id % 2 = 0 AND user_id % 3 <> 0, false) GROUP BY 1, 2)"
+for _mode, _f, _keep in (("ignore", "min", "stored"), ("error", "min", "stored"), ("replace", "max", "new"), ("update", "max", "new")):
+    QUERIES[f"upsert_{_mode}_whole"] = _upserted_whole(_mode)
+    _other = "new" if _keep == "stored" else "stored"
+    ORACLE_SQL[f"upsert_{_mode}_whole"] = f"WITH {_STORED}, {_REST.format(f=_f)} SELECT * FROM {_keep} UNION ALL SELECT o.* FROM {_other} o ANTI JOIN {_keep} k USING (user_id, event_type)"
+
 _DOC = """'{"key":' || c_custkey || ',"name":"' || c_name || '","segment":"' || c_mktsegment || '"}'"""
 
 
@@ -250,8 +268,18 @@ _LEAD = "(['=', '+', '-', '@', chr(9), chr(13), '', 'x'])[CAST(doc_id % 8 AS INT
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 8 < 6 THEN '''' ELSE '' END || {_LEAD} || substr(text, 1, 40) AS cell FROM documents")
 def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _guarded(spark, sf_dir, F.substring("text", 1, 40))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 8 < 6 THEN '''' ELSE '' END || {_LEAD} || text AS cell FROM documents")
+def csv_guard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``csv_guard`` over whole texts."""
+    return _guarded(spark, sf_dir, F.col("text"))
+
+
+def _guarded(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     lead = F.element_at(F.array(*map(F.lit, ("=", "+", "-", "@", "\t", "\r", "", "x"))), (F.col("doc_id") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", cells.guarded_csv(F.concat(lead, F.substring("text", 1, 40))).alias("cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", cells.guarded_csv(F.concat(lead, text)).alias("cell"))
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) || ',' || CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN '"a,b ""' || c_name || repeat(chr(34), 3) ELSE '''=' || c_name END
@@ -390,7 +418,17 @@ def rdf_nquads_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT 'bnode' AS s_kind, 'd' || doc_id AS s_value, 'literal' AS o_kind, substr(text, 1, 60) AS o_value, CAST(NULL AS VARCHAR) AS o_datatype, lang AS o_language FROM documents
     UNION ALL SELECT 'iri', '{_B}doc/' || doc_id, 'literal', CAST(n_chars AS VARCHAR), 'http://www.w3.org/2001/XMLSchema#integer', NULL FROM documents""")
 def rdf_ntriples_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.substring("text", 1, 60)
+    return _text_triples(spark, sf_dir, F.substring("text", 1, 60))
+
+
+@query(f"""SELECT 'bnode' AS s_kind, 'd' || doc_id AS s_value, 'literal' AS o_kind, text AS o_value, CAST(NULL AS VARCHAR) AS o_datatype, lang AS o_language FROM documents
+    UNION ALL SELECT 'iri', '{_B}doc/' || doc_id, 'literal', CAST(n_chars AS VARCHAR), 'http://www.w3.org/2001/XMLSchema#integer', NULL FROM documents""")
+def rdf_ntriples_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rdf_ntriples_parse`` over whole texts."""
+    return _text_triples(spark, sf_dir, F.col("text"))
+
+
+def _text_triples(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
     df = table(spark, sf_dir, "documents")
