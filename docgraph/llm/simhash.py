@@ -42,22 +42,31 @@ SMALL_BUCKET = 64
 # Fingerprints
 
 
-def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
-    """Bit i is set where more than half of the shingles' XXH64 values have it set."""
+def shingle_hashes(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of every run of ``words`` words; a shorter text is one shingle, and one without words has none."""
     import xxhash
 
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     if len(parts) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(parts) - words + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts))
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(parts) - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(starts))
+
+
+def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
+    """Bit i is set where more than half of the shingles' XXH64 values have it set."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255 * 256):
         bits = np.unpackbits(hashes[at : at + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
