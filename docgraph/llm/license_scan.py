@@ -1,8 +1,8 @@
 """Licence recognition by sentences, with DataFrame functions only.
 
-A text is split into sentences; those with a critical word are normalised
-(ASCII lower case, other characters than letters and digits as one space) and mapped
-to identifiers of known licence sentences.  The identifiers, in order of
+Wrapped lines are joined, without comment and list markers, and a text is split into sentences; those
+with a critical word are normalised (ASCII lower case, other characters than letters and digits as one space)
+and searched for known licence sentences, which map to identifiers.  The identifiers, in order of
 appearance, are matched against licence rules: ordered identifier sequences that
 may have others between them.  A rule also names the rules it implies, which are
 then not reported again.  Everything is a projection of the row; nothing is
@@ -71,9 +71,19 @@ CRITICAL = r"(?i)licen[cs]e|copyright|all rights reserved|permission|warrant|red
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The same where lines may be wrapped.
+ANYWHERE = CRITICAL.replace(" ", "[^A-Za-z0-9]+")
+END = r"(?>\r\n|\r|\n)"
+#: Lines that state a copyright stand alone.
+STATED = r"(?=Copyright (?:\([cC]\)|\u00a9|[0-9]))"
+CUT = "\0"
+
+
 def sentences(text: Column) -> Column:
-    """Sentences of a text: cut at line ends, and after a full stop, question or exclamation mark before a space or tab."""
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), r"[\r\n]+")
+    """Sentences of a text: cut at lines without letters or digits, and after a full stop, question or exclamation mark before white space."""
+    cut = F.regexp_replace(text, rf"{END}[^\p{{L}}\p{{N}}\r\n]*(?:{END}|{STATED})", CUT)
+    joined = F.regexp_replace(cut, rf"[ \t]*{END}[^\p{{L}}\p{{N}}\r\n\x00]*", " ")
+    return F.split(F.regexp_replace(joined, r"([.!?])[ \t]+", "$1" + CUT), CUT)
 
 
 def normalised(sentence: Column) -> Column:
@@ -82,7 +92,13 @@ def normalised(sentence: Column) -> Column:
 
 def critical_sentences(text: Column) -> Column:
     found = F.transform(F.filter(sentences(text), lambda s: s.rlike(CRITICAL)), normalised)
-    return F.when(text.rlike(CRITICAL), F.filter(found, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(ANYWHERE), F.filter(found, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
+
+
+def notices(sentence: Column, known: dict[str, str]) -> Column:
+    """The known sentences within a normalised one, from left to right, the longest where several begin."""
+    pattern = r"\b(?:" + "|".join(sorted(known, key=len, reverse=True)) + r")\b" if known else "(?!)"
+    return F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0))
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
@@ -101,19 +117,20 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("doc_id"), critical_sentences(text).alias("found"))
-    rows = rows.select("doc_id", "found", F.filter(F.transform("found", lambda s: F.try_element_at(lookup, s)), lambda i: i.isNotNull()).alias("ids"))
+    rows = rows.withColumn("within", F.transform("found", lambda s: notices(s, table)))
+    rows = rows.withColumn("ids", F.transform(F.flatten("within"), lambda s: F.try_element_at(lookup, s)))
     rows = rows.withColumn("sequence", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     matched = F.array(*[F.when(F.col("sequence").rlike(rule_pattern(ids)), F.lit(name)) for name, ids in rules])
     rows = rows.withColumn("all", F.array_distinct(F.array_compact(matched)))
     implied = F.flatten(F.array(*[F.when(F.array_contains("all", name), F.array(*map(F.lit, less))).otherwise(F.array().cast("array<string>")) for name, less in IMPLIED.items()]))
     return rows.select(
         "doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_except("all", implied), ",").alias("licenses"),
-        F.size("found").cast("long").alias("critical"), (F.size("found") - F.size("ids")).cast("long").alias("unknown"),
+        F.size("found").cast("long").alias("critical"), F.size(F.filter("within", lambda w: F.size(w) == 0)).cast("long").alias("unknown"),
     )
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL where known sentences stand alone on their lines, as in the driver's tables."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     keys, values = ", ".join(map(quote, SENTENCES)), ", ".join(map(quote, SENTENCES.values()))
     names = ", ".join(f"CASE WHEN regexp_matches(sequence, {quote(rule_pattern(ids))}) THEN {quote(name)} END" for name, ids in RULES)
