@@ -51,25 +51,36 @@ def tokens(text: str | None) -> list[str]:
 def maximal_segments(scored: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments, given the positive positions; every other position scores ``drift``.
 
-    Returns (first, last, score).  One pass over the positive positions.
+    Returns (first, last, score).  Linear: each segment keeps the place of the last one before it with a smaller
+    sum, and the search follows those links, so a segment it has passed over is never met again.
     """
-    found: list[list[float]] = []  # first, last, sum before, sum after
+    firsts: list[int] = []
+    lasts: list[int] = []
+    before: list[float] = []  # the sum up to each segment's start
+    after: list[float] = []  # and up to its end
+    link: list[int] = []
     total, at = 0.0, 0
     for place, score in scored:
         total += drift * (place - at)
         at = place + 1
-        new = [place, place, total, total + score]
+        first, low = place, total
         total += score
+        k = len(firsts) - 1
         while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= new[3]:
-                found.append(new)
+            while k >= 0 and before[k] >= low:
+                k = link[k]
+            if k < 0 or after[k] >= total:
                 break
-            new[0], new[2] = found[k][0], found[k][2]
-            del found[k:]
-    return [(int(a), int(b), high - low) for a, b, low, high in found]
+            first, low = firsts[k], before[k]  # one longer segment takes the place of k and all behind it
+            for column in (firsts, lasts, before, after, link):
+                del column[k:]
+            k -= 1
+        firsts.append(first)
+        lasts.append(place)
+        before.append(low)
+        after.append(total)
+        link.append(k)
+    return [(a, b, high - low) for a, b, low, high in zip(firsts, lasts, before, after)]
 
 
 @dataclass
@@ -113,13 +124,14 @@ def in_training(id_col: Column) -> Column:
 
 
 def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least hash of each text's three-word shingles, which near copies mostly share."""
+    """Adds the least shingle of each text (three words) under three hash functions, which only near copies share."""
     for batch in batches:
         keys = []
         for text in batch.column(0).to_pylist():
             words = tokens(text)
-            keys.append(min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2)))))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["__text", "__toxic", "__key"])
+            shingles = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
+            keys.append("-".join(str(min(zlib.crc32(s, start) for s in shingles)) for start in (0, 1, 2)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=["__text", "__toxic", "__key"])
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +169,7 @@ def _known_counts(known: frozenset[str]):
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on labelled rows of the training folds only.
 
-    Null labels are ignored; of repeated labels of an id the largest holds.
+    Null labels are ignored; of repeated labels of an id the largest holds, and of repeated documents of an id the least text.
     Without both toxic and clean rows the model finds no segments, and its scores
     are the share of toxic rows (0 if there are no labels).
     """
@@ -165,8 +177,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     usable = save(usable.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__toxic")), "usable-labels")
     sample = lowest_hashes(usable, id_col, MAX_LABELLED, usable.count())
     texts = documents.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    train = texts.join(F.broadcast(save(sample, "label-sample")), id_col).select("__text", (F.col("__toxic") > 0).cast("int").alias("__toxic"))
-    train = save(train.mapInArrow(_copy_keys, "__text string, __toxic int, __key long"), "labelled")
+    train = texts.join(F.broadcast(save(sample, "label-sample")), id_col).groupBy(id_col).agg(F.min("__text").alias("__text"), F.max((F.col("__toxic") > 0).cast("int")).alias("__toxic"))
+    train = train.select("__text", "__toxic")  # one row for each labelled id, however often the table repeats it
+    train = save(train.mapInArrow(_copy_keys, "__text string, __toxic int, __key string"), "labelled")
     single = save(train.groupBy("__key", "__toxic").agg(F.min("__text").alias("__text")).select("__text", "__toxic"), "labelled-once")
     shares = dict(single.groupBy("__toxic").count().collect())
     clean_docs, toxic_docs = shares.get(0, 0), shares.get(1, 0)
@@ -286,7 +299,11 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, id_col: str = "do
 
 
 def toxic_passages(documents: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every significant passage: doc_id, start and stop (characters of the text), passage, score, e_value."""
+    """Every significant passage: doc_id, start and stop (characters of the text), passage, score, e_value.
+
+    Null, empty and clean texts give no row; repeated rows give their passages each; null ids are carried through;
+    an empty table gives no rows; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,5 +322,9 @@ def toxic_passages(documents: DataFrame, model: ToxicityModel, id_col: str = "do
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``documents`` that the model does not reject, with all their columns."""
+    """Rows of ``documents`` that the model does not reject, with all their columns.
+
+    Null and empty texts score lowest and stay unless the model's floor is over ``threshold``; repeated rows fare
+    alike, whatever their ids, nulls too; an empty table gives no rows; no column but ``text_col`` is read.
+    """
     return bounded(documents).where(model.score(F.col(text_col)) < threshold)

@@ -1,4 +1,5 @@
 import random
+import time
 
 from docgraph.llm.toxicity import drop_toxic, fit, maximal_segments, score_toxicity, toxic_passages
 
@@ -35,6 +36,16 @@ def test_maximal_segments_against_their_definition():
         assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want))
 
 
+def test_a_very_long_text_of_isolated_hits_is_scanned_once():
+    hits = [(10 * k, 1.0 + (k % 7) / 10) for k in range(200_000)]
+    began = time.time()
+    found = maximal_segments(hits, -0.25)
+    assert time.time() - began < 5 and len(found) == 200_000
+    began = time.time()
+    rising = maximal_segments([(10 * k, 2.4) for k in range(200_000)] + [(2_000_000, 1e7)], -0.25)
+    assert time.time() - began < 5 and len(rising) == 1 and rising[0][:2] == (0, 2_000_000)  # the last hit outweighs all before it
+
+
 def corpus(n=600):
     r = random.Random(8)
     words = ["w" + "".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(800)]
