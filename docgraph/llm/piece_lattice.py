@@ -6,7 +6,9 @@ piece of the vocabulary is binary-searched for its range of occurrences, and the
 occurrences become edges sorted by position.  Relaxing then joins, in each
 segment, the two neighbours whose edge scores best, until no edge joins
 neighbours: for a BPE vocabulary this is the tokenizer's own result, which a
-best path over the edges would not be.  Characters without a piece fall back to
+best path over the edges would not be.  Short segments are relaxed side by side, a join
+each at a time; one of more than ``LONG_SEGMENT`` bytes takes its joins from a heap, in the same order, so that
+a text without spaces costs n log n.  Characters without a piece fall back to
 bytes.  A worker keeps the ids of segments it has met, up to a bound.
 """
 
@@ -14,7 +16,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,7 @@ from .shared import bounded
 MARK = "▁"
 CACHED_SEGMENTS = 1_000_000
 LONGEST_CACHED = 64
+LONG_SEGMENT = 512
 MATCH_BYTES = 1 << 20
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n[^{MARK}\n]*")
 
@@ -49,6 +55,9 @@ class PieceLattice:
 
             path = public_tokenizers.path("piece_bpe_32k.model")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        kind, normaliser = model_settings(model.serialized_model_proto())
+        if kind != "bpe" or normaliser != "identity":
+            raise ValueError(f"only BPE models without normalisation are supported, not {kind} with {normaliser!r}")
         size = model.get_piece_size()
         self.bytes_of = [b""] * size
         self.byte_ids = np.zeros(256, np.int32)
@@ -105,6 +114,58 @@ class PieceLattice:
     def encode_segments(self, segments: list[str]) -> list[bytes]:
         """Ids of each segment, as little-endian 32-bit integers."""
         data = [s.encode() for s in segments]
+        long = {i: d for i, d in enumerate(data) if len(d) > LONG_SEGMENT}
+        if long:
+            rest = iter(self._relax([d for i, d in enumerate(data) if i not in long]))
+            return [self._relax_long(long[i]) if i in long else next(rest) for i in range(len(data))]
+        return self._relax(data)
+
+    def _relax_long(self, text: bytes) -> bytes:
+        """The same joins for one segment: the best-scoring, of equals the first, from a heap."""
+        keys, piece = self.edges(text)
+        places, numbers = array("q", keys.astype(np.int64).tobytes()), array("i", piece.astype(np.int32).tobytes())
+        raw = np.frombuffer(text, np.uint8)
+        start = np.flatnonzero((raw & 0xC0) != 0x80).tolist()
+        end = [*start[1:], len(text)]
+        before, after = list(range(-1, len(start) - 1)), [*range(1, len(start)), -1]
+        scores = self.scores.tolist()
+
+        def find(a: int, b: int) -> int:
+            if b - a > 255:
+                return -1
+            k = bisect_left(places, a * 256 + b - a)
+            return numbers[k] if k < len(places) and places[k] == a * 256 + b - a else -1
+
+        heap = []
+        for i in range(len(start) - 1):
+            if (n := find(start[i], end[i + 1])) >= 0:
+                heap.append((-scores[n], start[i], i, end[i + 1]))
+        heapify(heap)
+        while heap:
+            _, _, i, stop = heappop(heap)
+            j = after[i]
+            if end[i] < 0 or j < 0 or end[j] != stop:
+                continue  # one of the two has been joined since
+            end[i], end[j] = stop, -1
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                if (n := find(start[i], end[after[i]])) >= 0:
+                    heappush(heap, (-scores[n], start[i], i, end[after[i]]))
+            h = before[i]
+            if h >= 0 and (n := find(start[h], stop)) >= 0:
+                heappush(heap, (-scores[n], start[h], h, stop))
+        ids = array("i")
+        for a, b in zip(start, end):
+            if b >= 0:
+                n = find(a, b)
+                if n >= 0:
+                    ids.append(int(self.ids[n]))
+                else:
+                    ids.extend(self.byte_ids[raw[a:b]].tolist())
+        return np.array(ids, "<i4").tobytes()
+
+    def _relax(self, data: list[bytes]) -> list[bytes]:
         text = b"".join(data)
         keys, piece = self.edges(text)
         raw = np.frombuffer(text, np.uint8)
@@ -188,6 +249,39 @@ class PieceLattice:
         return text[1:] if text[:1] == " " else text
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message; fixed-width values as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield number, message[at : at + size]
+        at += size
+
+
+def model_settings(proto: bytes) -> tuple[str, str]:
+    """(kind, name of the normaliser) of a SentencePiece model."""
+    top = {n: v for n, v in _fields(proto) if n in (2, 3)}  # the trainer's and the normaliser's settings
+    kind = dict(_fields(top.get(2, b""))).get(3, 1)
+    rule = dict(_fields(top.get(3, b""))).get(1, b"")
+    return {1: "unigram", 2: "bpe", 3: "word", 4: "char"}.get(kind, str(kind)), rule.decode()
+
+
 def _word(pieces: list[bytes], at: int, fill: bytes) -> np.ndarray:
     return np.array([int.from_bytes(p[at : at + 8].ljust(8, fill), "big") for p in pieces], np.uint64)
 

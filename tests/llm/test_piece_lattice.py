@@ -38,3 +38,31 @@ def test_round_trip_and_edge_rows(spark):
     assert digests[9000].n_ids == 0 and digests[9000].round_trip
     assert all(r.round_trip == ("▁" not in texts()[r.doc_id]) for r in digests.values() if r.doc_id is not None and r.doc_id < len(texts()) and r.doc_id != 5)
     assert encode_texts(df.limit(0)).count() == 0
+
+
+def test_one_unspaced_line_of_a_megabyte():
+    import time
+
+    import numpy as np
+
+    r = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    model, lattice = sentencepiece.SentencePieceProcessor(model_file=public.path("piece_bpe_32k.model")), PieceLattice.of(None)
+    line = "".join(r.choice(letters) for _ in range(1_000_000))
+    began = time.time()
+    packed = lattice.encode([line, "a" * 50_000, "short words"])
+    assert time.time() - began < 60
+    assert [np.frombuffer(p, "<i4").tolist() for p in packed] == [model.encode(t) for t in (line, "a" * 50_000, "short words")]
+
+
+def test_models_of_another_kind_are_refused(monkeypatch):
+    from docgraph.llm import piece_lattice
+
+    def message(kind, rule):
+        return bytes([2 << 3 | 2, 2, 3 << 3, kind]) + bytes([3 << 3 | 2, len(rule) + 2, 1 << 3 | 2, len(rule)]) + rule
+
+    assert piece_lattice.model_settings(message(2, b"identity")) == ("bpe", "identity")
+    assert piece_lattice.model_settings(message(1, b"nmt_nfkc")) == ("unigram", "nmt_nfkc")
+    monkeypatch.setattr(piece_lattice, "model_settings", lambda proto: ("unigram", "nmt_nfkc"))
+    with pytest.raises(ValueError, match="only BPE"):
+        PieceLattice(None)
