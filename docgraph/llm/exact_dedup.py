@@ -9,9 +9,9 @@ digest decides equality.
 * Each Arrow batch first collapses its own equal texts into one representative
   (a local sort), so a text that makes up a third of the corpus reaches the
   shuffle once per batch and not once per row.
-* A radix level is a partial aggregation on (group, next bytes) and a join back
-  of the groups of two or more.  Nothing needs the rows of a group together, so
-  adaptive execution may split a hot prefix over many tasks.
+* A radix level is a partial aggregation on (group, next bytes), stored, and a
+  join back of the groups of two or more.  Both sides of a join are stored tables, so
+  adaptive execution may split a hot prefix or a hot text over many tasks.
 * Every level is written to the shared folder; a lost executor costs one level.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ROW, discard, number_rows, save
+from .shared import discard, free_name, number_rows, save
 
 WHITESPACE = b" \t\n\x0b\x0c\r"
 FIRST_WIDTH = 64
@@ -102,7 +102,8 @@ class ExactGroups:
     def assignments(self, id_col: str = "doc_id") -> DataFrame:
         """One row per input row: id, keep_id, group_size, kept, text_sha256."""
         reps = self._with_class().select("cls", "rid", "points", "id", "size", "sha", "members")
-        joined = reps.join(self._best(reps), "cls").select("best", "group_size", "sha", F.explode("members").alias("m"))
+        best = save(self._best(reps), "exact-best")
+        joined = reps.join(best, "cls").select("best", "group_size", "sha", F.explode("members").alias("m"))
         return joined.select(
             F.col("m.id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size",
             (F.col("m.row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"),
@@ -114,12 +115,13 @@ class ExactGroups:
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept rows themselves, with every column of ``df``; see ``exact_groups``."""
-    numbered = number_rows(df, "exact-rows")
-    groups = exact_groups(numbered, id_col, text_col, row_col=ROW)
-    kept = save(groups.kept_rows().withColumnRenamed("row", ROW), "exact-kept")
+    """The kept rows themselves, with every column of ``df``, whatever its name; see ``exact_groups``."""
+    row = free_name(df)
+    numbered = number_rows(df, "exact-rows", row)
+    groups = exact_groups(numbered, id_col, text_col, row_col=row)
+    kept = save(groups.kept_rows().withColumnRenamed("row", row), "exact-kept")
     discard(groups.representatives, groups.classes)
-    return numbered.join(kept, ROW, "left_semi").drop(ROW)
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> ExactGroups:
@@ -164,8 +166,11 @@ def _split(active: DataFrame, width: int) -> DataFrame:
         "rid", "grp", F.substring("rest", 1, width).alias("digit"),
         F.expr(f"substring(rest, {width + 1})").alias("rest"), (F.octet_length("rest") < width).alias("done"),
     )
-    again = digits.groupBy("grp", "digit").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1")
+    again = digits.groupBy("grp", "digit").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1").drop("n")
+    again = save(again, f"exact-again-{width}")
     split = digits.join(again, ["grp", "digit"]).select(
         "rid", F.col("first").alias("grp"), F.when(~F.col("done"), F.col("rest")).alias("rest"), "done"
     )
-    return save(split, f"exact-level-{width}")
+    level = save(split, f"exact-level-{width}")
+    discard(again)
+    return level

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,15 +17,25 @@ _fallback: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a new local folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; only where that is unset and the master is local, a new local folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = _fallback.setdefault(os.getpid(), "")
         if not path:
             path = _fallback[os.getpid()] = tempfile.mkdtemp(prefix="spark-docgraph-")
     return path.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str = ROW) -> str:
+    """``name``, with as many more underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, with the session's Arrow batches cut to ``BATCH_ROWS`` rows: whole texts are large rows."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
