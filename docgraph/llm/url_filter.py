@@ -3,8 +3,9 @@
 Dated list entries (add or remove a key at a time) become validity intervals, kept
 as one row per key.  Every capture is looked up by its host, the host's parent
 domains and the prefixes of its path, and each lookup is judged as of the capture's
-fetch time.  Joins are on the key alone, so adaptive execution may split a host
-with very many captures, and may broadcast the list only if it measures small.
+fetch time.  Captures and intervals are stored first and joined on the key alone: adaptive execution may
+split a key with very many captures, such as a top-level domain, and broadcasts the list only if it
+measures small.  Only hits are gathered by capture and joined back.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .shared import save
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -57,18 +60,18 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     rows = captures.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched")
     )
-    asked = rows.select("*", F.explode_outer(lookup_keys(F.coalesce("url", F.lit("")))).alias("key"))
+    rows = save(rows, "captures")
+    spans = save(validity_intervals(entries), "validity")
+    asked = rows.where("url IS NOT NULL AND fetched IS NOT NULL").select("row", "fetched", F.explode(lookup_keys(F.col("url"))).alias("key"))
     active = F.filter("spans", lambda s: (s["effective"] <= F.col("fetched")) & (s["until"].isNull() | (s["until"] > F.col("fetched"))))
-    judged = asked.join(validity_intervals(entries), "key", "left").select(
-        "row", "page_id", "url", "fetched", "key", F.coalesce(active, F.array().cast("array<struct<effective:timestamp_ntz,until:timestamp_ntz,category:string>>")).alias("hits")
-    )
-    judged = judged.select("row", "page_id", "url", "fetched", F.when(F.size("hits") > 0, F.col("key")).alias("key"), F.col("hits.category").alias("found"))
-    return judged.groupBy("row").agg(
-        F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.first("fetched").alias("fetched"),
-        (F.count("key") > 0).alias("blocked"),
-        F.array_join(F.sort_array(F.collect_set("key")), ",").alias("matched_keys"),
-        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), ",").alias("categories"),
-    ).drop("row")
+    hits = asked.join(spans, "key").select("row", "key", active["category"].alias("found"))
+    per_row = hits.where(F.size("found") > 0).groupBy("row").agg(F.collect_set("key").alias("keys"), F.collect_list("found").alias("found"))
+    none = F.array().cast("array<string>")
+    return rows.join(per_row, "row", "left").select(
+        "page_id", "url", "fetched", F.col("keys").isNotNull().alias("blocked"),
+        F.array_join(F.sort_array(F.coalesce("keys", none)), ",").alias("matched_keys"),
+        F.array_join(F.sort_array(F.array_distinct(F.coalesce(F.flatten("found"), none))), ",").alias("categories"),
+    )
 
 
 # The registered query's list and fetch times: the page table has neither, so both follow from its own columns.
