@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import ROW, bounded, number_rows, save
+from .shared import bounded, free_name, number_rows, save
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -37,6 +37,7 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, bits)
 GOLAY_GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 SMALL_BUCKET = 64
+HELD_PRINTS = 1 << 16  # of one key, held by a task before it hands them on
 
 
 # Fingerprints
@@ -225,25 +226,46 @@ def _verify(max_bits: int):
             b.append(group[edges[:, 1]])
         return np.concatenate(a), np.concatenate(b)
 
+    names = ["a", "b", "is_link"]
+
     def batch_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.ones(len(a), bool))], names=names)
+
+    def handed_on(prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(prints), 4096):
+            block = prints[start : start + 4096]
+            words = (block[:, None] ^ np.array([0, *(1 << k for k in range(64))], np.uint64)).ravel()
+            columns = [pa.array(words.view(np.int64)), pa.array(np.repeat(block, 65).view(np.int64)), pa.array(np.zeros(len(words), bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last key so far
+        count, hot = 0, None  # hot: a key whose rows are handed on as they come
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             prints = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if hot is not None:
+                more = int(np.searchsorted(keys, hot, "right"))
+                yield from handed_on(prints[:more])
+                keys, prints = keys[more:], prints[more:]
+                hot = None if len(keys) else hot
             if not len(keys):
                 continue
-            if held and keys[-1] == held[0][0][0]:
-                held.append((keys, prints))
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))
-            whole = [*held, (keys[:last], prints[:last])]
-            held = [(keys[last:].copy(), prints[last:].copy())]
-            k, p = np.concatenate([x for x, _ in whole]), np.concatenate([x for _, x in whole])
-            if len(k):
-                yield batch_of(*links(k, p))
+            if not (held and keys[-1] == held[0][0][0]):
+                last = int(np.searchsorted(keys, keys[-1]))
+                whole = [*held, (keys[:last], prints[:last])]
+                held, count = [], 0
+                k, p = np.concatenate([x for x, _ in whole]), np.concatenate([x for _, x in whole])
+                if len(k):
+                    yield batch_of(*links(k, p))
+                keys, prints = keys[last:].copy(), prints[last:].copy()
+            held.append((keys, prints))
+            count += len(keys)
+            if count > HELD_PRINTS and max_bits == 2:
+                hot = keys[-1]
+                for _, p in held:
+                    yield from handed_on(p)
+                held, count = [], 0
         if held:
             yield batch_of(*links(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])))
 
@@ -251,12 +273,21 @@ def _verify(max_bits: int):
 
 
 def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that connect exactly what lies within ``max_bits``."""
+    """Edges (a, b) between distinct fingerprints ``fp`` that connect exactly what lies within ``max_bits``.
+
+    A key of very many fingerprints is not held by its task: at two bits they are handed on once for each word one
+    bit away, and those that share such a word, at most 65, are within two bits of each other.  (At three to five
+    bits, which no query uses, a task holds all fingerprints of a key.)
+    """
     if not 0 <= max_bits <= 5:
         raise ValueError("the Golay keys find fingerprints at most five bits apart")
     keyed = prints.select("fp").mapInArrow(_keys(max_bits), "key long, fp long")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_verify(max_bits), "a long, b long")
+    sorted_keys = keyed.repartition(parts, "key").sortWithinPartitions("key")
+    found = save(sorted_keys.mapInArrow(_verify(max_bits), "a long, b long, is_link boolean"), "fingerprint-links")
+    least = found.where("NOT is_link").groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("all"))
+    through_words = least.where(F.size("all") > 1).select(F.col("least").alias("a"), F.explode("all").alias("b")).where("a <> b")
+    return found.where("is_link").select("a", "b").unionByName(through_words)
 
 
 def components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -282,11 +313,16 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows of ``df``, one of each component: the smallest id (nulls last), then the earliest row."""
-    numbered = number_rows(df, "near-rows")
-    rows = save(fingerprints(numbered, {"id": id_col, "row": ROW}, text_col, words), "fingerprints")
+    """Rows of ``df``, one of each component: the smallest id (nulls last), then the earliest row.
+
+    Null texts, texts without words, repeated rows and empty tables as in ``simhash_components``; every column of
+    ``df`` comes back, whatever its name.
+    """
+    row = free_name(df)
+    numbered = number_rows(df, "near-rows", row)
+    rows = save(fingerprints(numbered, {"id": id_col, "row": row}, text_col, words), "fingerprints")
     best = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("row"))).alias("best")
     nodes = save(rows.groupBy("fp").agg(best), "fingerprint-nodes")
     linked = nodes.join(components(nodes, max_bits), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(ROW))
-    return numbered.join(kept, ROW, "left_semi").drop(ROW)
+    kept = linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

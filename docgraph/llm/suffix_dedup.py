@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ROW, bounded, discard, new_path, save
+from .shared import bounded, discard, free_name, new_path, save
 
 LENGTH = 200
 TRIGGER = 32
@@ -320,7 +320,7 @@ def _stored_texts(df: DataFrame, id_col: str, text_col: str, payload: list[str]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     columns = [F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text.alias("bytes")]
     if payload is not None:
-        columns.append(F.struct(F.lit(True).alias(ROW), *[F.col(f"`{c}`") for c in payload]).alias("payload"))
+        columns.append(F.struct(F.lit(True).alias(free_name(df)), *[F.col(f"`{c}`") for c in payload]).alias("payload"))
     name = f"docgraph_texts_{uuid.uuid4().hex}"
     writer = df.select(*columns).repartition(parts, "rid").write.format("parquet").option("compression", "zstd")
     writer.bucketBy(parts, "rid").option("path", new_path(spark, "texts")).saveAsTable(name)
@@ -378,7 +378,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``df`` with its repeated strings cut out of ``text_col``; every row stays."""
+    """``df`` with its repeated strings cut out of ``text_col``; every row stays, with every column, whatever its name.
+
+    A null text becomes empty; repeated rows are repetitions and lose what they share; null ids are carried through;
+    an empty table gives no rows.
+    """
     others = [c for c in df.columns if c != text_col]
     kept = repeated_spans(df, id_col, text_col, length, payload=others).kept_texts()
     return kept.select(*[F.col("kept").alias(text_col) if c == text_col else F.col(f"payload.`{c}`").alias(c) for c in df.columns])
