@@ -19,9 +19,11 @@ from .operators import dump as dumps
 from .operators import export, rdf_graph
 from .operators.catalog import Database
 from .operators.edges import preflight
+from .operators.export import delete, listed, put
 from .operators.reshape import refuse_reshape, to_documents, typed_cells
-from .options import Reshape, infer_codec, infer_document_format, infer_rdf_format, spark_path
-from .sources.documents import read_delimited, read_json_array, read_jsonl
+from .options import OptionError, Reshape, infer_codec, infer_document_format, infer_rdf_format, spark_path
+from .scratch import new_folder
+from .sources.documents import PLACE, first_bad_line, read_delimited, read_json_array, read_jsonl
 from .sources.rdf_lines import read_statements
 from .sources.turtle import read_turtle
 
@@ -35,23 +37,34 @@ def read_documents(spark: SparkSession, path: str, kind: str | None, options: Re
     refuse_reshape(kind, options)
     path = spark_path(path)
     if kind == "jsonl":
-        return read_jsonl(spark, path)
+        return read_jsonl(spark, path, place=True)
     if kind == "json":
-        return read_json_array(spark, path).select("doc")
-    return to_documents(typed_cells(read_delimited(spark, path, "\t" if kind == "tsv" else ",", exact=True), options))
+        return read_json_array(spark, path, place=True).select("doc", *PLACE)
+    rows = read_delimited(spark, path, "\t" if kind == "tsv" else ",", place=True)
+    place = rows.columns[-1]
+    return to_documents(typed_cells(rows, options, carry=place), carry=place).select("doc", *[F.col(f"{place}.{c}").alias(c) for c in PLACE])
+
+
+def spooled(spark: SparkSession, kind: str | None) -> str:
+    """Standard input, copied in pieces to the shared folder."""
+    if not kind:
+        raise OptionError("standard input needs a format")
+    path = f"{new_folder(spark, 'stdin')}.{kind}"
+    put(spark, path, iter(lambda: sys.stdin.buffer.read(1 << 20), b""))
+    return path
 
 
 def import_documents(spark: SparkSession, db: Database, a: argparse.Namespace) -> dict:
     options = Reshape(tuple(a.datatype), tuple(a.translate), tuple(a.merge_attributes), tuple(a.remove_attribute))
-    docs = read_documents(spark, a.input, a.format, options)
-    docs = docs.select(F.monotonically_increasing_id().alias("ordinal"), "doc", F.get_json_object("doc", "$._key").alias("_key"))
+    docs = read_documents(spark, spooled(spark, a.format) if a.input == "-" else a.input, a.format, options)
+    docs = docs.withColumn("_key", F.get_json_object("doc", "$._key"))
     db.ensure_collection(a.collection, "edge" if a.edges else "document")
     seen = None
     if a.edges:
         seen = Observation()
         ends = docs.select("*", *[F.get_json_object("doc", f"$.{e}").alias(e) for e in ("_from", "_to")])
         docs = preflight(ends, a.from_prefix, a.to_prefix, seen)
-    counts = db.load(a.collection, docs, a.on_duplicate, overwrite=a.overwrite, complete=a.complete)
+    counts = db.load(a.collection, docs, a.on_duplicate, order=list(PLACE), overwrite=a.overwrite, complete=a.complete)
     return counts | ({"skipped_no_edge": seen.get["skipped_no_edge"]} if seen else {})
 
 
@@ -63,6 +76,8 @@ def export_documents(spark: SparkSession, db: Database, a: argparse.Namespace) -
         docs = db.read(a.collection).select("doc")
     ordered = docs.select(F.monotonically_increasing_id().alias("ordinal"), "doc")
     fields = a.fields.split(",") if a.fields else None
+    if a.single:
+        return {"parts": 1, "bytes": export.write_single(ordered, f"{spark_path(a.output)}/{a.name}", a.format, fields=fields, codec=a.compression or infer_codec(a.name))}
     manifest = export.write_parts(ordered, spark_path(a.output), a.name, db.name, kind=a.format, fields=fields, codec=a.compression or infer_codec(a.name), threshold=a.part_bytes)
     return {"parts": len(manifest["artifacts"]), "bytes": sum(x["byte_size"] for x in manifest["artifacts"])}
 
@@ -70,27 +85,38 @@ def export_documents(spark: SparkSession, db: Database, a: argparse.Namespace) -
 def import_rdf(spark: SparkSession, db: Database, a: argparse.Namespace) -> dict:
     kind, path = a.format or infer_rdf_format(a.input), spark_path(a.input)
     triples = read_turtle(spark, path) if kind == "turtle" else read_statements(spark, path, kind == "nquads")
+    triples = _stored(spark, triples, "triples")  # parsed once, read by every fold
     scope = a.input if a.scope is None else a.scope
     fold = rdf_graph.Fold(a.topology, a.vertices, a.edges, a.literals, a.named_graphs, scope)
     out = dict(zip(("triples_read", "vertices_built", "edges_built"), rdf_graph.summary(triples, fold).first()))
     for side, rows, kind in (("vertices", rdf_graph.vertices(triples, fold), "document"), ("edges", rdf_graph.edges(triples, fold), "edge")):
         keep = [c for c in rows.columns if c != "collection"]
         ready = rows.select("collection", *[c for c in ("_key", "_from", "_to") if c in rows.columns], F.to_json(F.struct(*keep)).alias("doc"))
+        path = new_folder(spark, side)
+        ready.write.partitionBy("collection").parquet(path)  # a collection's load reads its own part only
+        ready = spark.read.schema(ready.schema).parquet(path)
         for name in [r.collection for r in ready.select("collection").distinct().collect()]:
             db.ensure_collection(name, kind)
-            counts = db.load(name, ready.where(F.col("collection") == name).drop("collection"), "ignore")
+            counts = db.load(name, ready.where(F.col("collection") == name).drop("collection"), "ignore", order=["_key"])
             out[f"{side}_created"] = out.get(f"{side}_created", 0) + counts["created"]
             out[f"{side}_ignored"] = out.get(f"{side}_ignored", 0) + counts["ignored"]
+        delete(spark, path)
     return out
 
 
+def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="docgraph", description=__doc__.splitlines()[0])
     top.add_argument("--catalog", required=True, help="folder of the catalog")
     top.add_argument("--database", default="_system")
     commands = top.add_subparsers(dest="command", required=True)
     c = commands.add_parser("import")
-    c.add_argument("input")
+    c.add_argument("input", help="a path, or - for standard input")
     c.add_argument("--collection", required=True)
     c.add_argument("--format", choices=("jsonl", "json", "csv", "tsv"))
     c.add_argument("--on-duplicate", default="error", choices=("error", "ignore", "replace", "update"))
@@ -111,11 +137,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--fields")
     c.add_argument("--compression", choices=("gzip", "zstd"))
     c.add_argument("--part-bytes", type=int, default=64 << 20)
+    c.add_argument("--single", action="store_true", help="one object, OUTPUT/NAME, and no parts or manifest")
     c = commands.add_parser("dump")
     c.add_argument("output")
     c.add_argument("--include")
     c.add_argument("--exclude")
     c.add_argument("--include-system", action="store_true")
+    c.add_argument("--all-databases", action="store_true")
     c.add_argument("--overwrite", action="store_true")
     c.add_argument("--compression", choices=("gzip", "zstd"))
     c = commands.add_parser("restore")
@@ -148,7 +176,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.command == "rdf":
         return import_rdf(spark, db, a)
     if a.command == "dump":
-        manifest = dumps.dump([db], spark_path(a.output), a.overwrite, include=a.include, exclude=a.exclude, include_system=a.include_system, codec=a.compression)
+        names = listed(spark, spark_path(a.catalog)) if a.all_databases else [a.database]
+        databases = [Database(spark, spark_path(a.catalog), n) for n in names]
+        manifest = dumps.dump(databases, spark_path(a.output), a.overwrite, a.all_databases, include=a.include, exclude=a.exclude, include_system=a.include_system, codec=a.compression)
         return {"artifacts": len(manifest["artifacts"])}
     if a.command == "restore":
         return {"restored": dumps.restore(spark, spark_path(a.catalog), spark_path(a.input), a.database, a.checkpoint)}
@@ -158,6 +188,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {}
 
 
+def _bad_place(spark: SparkSession, a: argparse.Namespace, error: Exception) -> dict | None:
+    """Where a JSON-lines import met a line that is no JSON."""
+    if a.command != "import" or "not a JSON value" not in str(error):
+        return None
+    return first_bad_line(spark, spark_path(a.input)) if a.input != "-" else None
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("docgraph").getOrCreate()
@@ -165,6 +202,12 @@ def main(argv: list[str] | None = None) -> int:
     try:
         result = run(spark, a)
     except Exception as error:
+        place = _bad_place(spark, a, error)
+        if place:
+            message = f"{place['file']}, line {place['line']}, column {place['column']}: {place['message']}"
+            event("failed", error=message)
+            print(json.dumps({"ok": False, "error": message}))
+            return 2
         event("failed", error=str(error).splitlines()[0])
         print(json.dumps({"ok": False, "error": str(error).splitlines()[0]}))
         return 2

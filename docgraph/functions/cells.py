@@ -6,40 +6,68 @@ value's JSON text (for str the raw text).
 
 from __future__ import annotations
 
-from decimal import Decimal
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The number grammar, and numbers with a leading zero that stay text.
 INTEGER = r"\A[+-]?[0-9]+\z"
 FLOAT = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 LEADING_ZERO = r"\A[+-]?0[^.eE]"
+SHORT = r"\A[+-]?(?=[0-9.]{1,15}\z)[0-9]*\.?[0-9]*\z"  # so few digits are their double's shortest ones
 
 
-@F.pandas_udf(T.StringType())
-def json_number(values: pd.Series) -> pd.Series:
-    """Doubles as JSON text: plain digits up to 16 places, ``1e16`` beyond."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def text(x: float) -> str:
-        sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
-        point = len(digits) + exponent
-        whole = "".join(map(str, digits))
-        if x == 0:
-            out = "0.0"
-        elif exponent >= 0 and point <= 16:
-            out = whole + "0" * exponent + ".0"
-        elif 0 < point <= 16:
-            out = whole[:point] + "." + whole[point:]
-        elif -5 < point <= 0:
-            out = "0." + "0" * -point + whole
-        else:
-            out = whole[0] + ("." + whole[1:] if len(whole) > 1 else "") + f"e{point - 1}"
-        return "-" + out if sign else out
 
-    return pd.Series([None if pd.isna(x) else text(x) for x in values], dtype=object)
+def json_number(x: Column, text: Column) -> Column:
+    """A finite double as JSON text: its shortest digits, plain up to 16 places, ``1e16`` beyond; ``text`` is what it was read from."""
+    negative = F.when(F.ltrim(text).startswith("-"), "-").otherwise("")
+    long = F.concat(negative, _let(_digits(F.abs(x)), _written))
+    return F.when(text.rlike(SHORT) & ((F.abs(x) >= 1e-5) | (x == 0)), _tidied(text)).when(x == 0, F.concat(negative, F.lit("0.0"))).otherwise(long)
+
+
+def _tidied(text: Column) -> Column:
+    """A plain decimal without needless zeros, and with a digit on either side of its point."""
+    pointed = F.when(F.contains(text, F.lit(".")), text).otherwise(F.concat(text, F.lit(".")))
+    bare = F.regexp_replace(pointed, r"\A\+?(-?)0*([0-9]*)\.([0-9]*?)0*\z", "$1$2.$3")
+    return F.regexp_replace(F.regexp_replace(bare, r"\A(-?)\.", "$10."), r"\.\z", ".0")
+
+
+def _digits(x: Column) -> Column:
+    """(d, p) of a positive double: 0.d times ten to the p, with the fewest digits that read back as ``x``."""
+
+    def struct(digits: Column, point: Column) -> Column:
+        return F.struct(F.regexp_replace(digits, "0+\\z", "").alias("d"), point.cast("int").alias("p"))
+
+    def parsed(parts: Column) -> Column:
+        every = F.concat(parts[0], parts[1])
+        digits = F.ltrim(every, F.lit("0"))
+        exponent = F.coalesce(F.get(parts, F.lit(2)).cast("int"), F.lit(0))
+        return struct(digits, F.length(parts[0]) + exponent - F.length(every) + F.length(digits))
+
+    def shortened(had: Column) -> Column:  # the runtime's own text can be a digit or two too long
+        fewer = F.floor((had["d"].cast("decimal(20,0)") + 5) / 10).cast("decimal(20,0)").cast("string")
+        point = had["p"] + F.length(fewer) - F.length(had["d"]) + 1
+        same = F.concat(F.lit("0."), fewer, F.lit("E"), point.cast("string")).cast("double") == x
+        return F.when((F.length(had["d"]) > 1) & same, struct(fewer, point)).otherwise(had)
+
+    return _let(_let(_let(F.split(F.replace(x.cast("string"), F.lit("E"), F.lit(".")), r"\."), parsed), shortened), shortened)
+
+
+def _written(had: Column) -> Column:
+    d, p = had["d"], had["p"]
+    n = F.length(d)
+    power = F.concat(F.substring(d, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(d, 2, 20))).otherwise(""), F.lit("e"), (p - 1).cast("string"))
+    return (
+        F.when((n <= p) & (p <= 16), F.concat(d, F.repeat(F.lit("0"), p - n), F.lit(".0")))
+        .when((p > 0) & (p <= 16), F.concat(d.substr(F.lit(1), p), F.lit("."), d.substr(p + 1, n)))
+        .when((p > -5) & (p <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d))
+        .otherwise(power)
+    )
 
 
 def as_integer(v: Column) -> Column:
@@ -51,25 +79,38 @@ def as_float(v: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
-def cell_tag(v: Column) -> Column:
-    """Type of one cell: null, bool, int, float or str."""
-    plain = ~v.rlike(LEADING_ZERO)
+def plain_integer(v: Column) -> Column:
+    """The integer a cell is by its looks; one with a leading zero is text."""
+    return F.when(~v.rlike(LEADING_ZERO), as_integer(v))
+
+
+def plain_float(v: Column, integer: Column) -> Column:
+    """The float a cell is by its looks, unless it is ``integer``."""
+    return F.when(integer.isNull() & ~v.rlike(LEADING_ZERO), as_float(v))
+
+
+def cell_tag(v: Column, integer: Column | None = None, number: Column | None = None) -> Column:
+    """Type of one cell: null, bool, int, float or str; ``integer`` and ``number`` where they are known already."""
+    integer = plain_integer(v) if integer is None else integer
+    number = plain_float(v, integer) if number is None else number
     return (
         F.when(v.isNull() | (v == "") | (v == "null"), "null")
         .when(v.isin("true", "false"), "bool")
-        .when(plain & as_integer(v).isNotNull(), "int")
-        .when(plain & as_float(v).isNotNull(), "float")
+        .when(integer.isNotNull(), "int")
+        .when(number.isNotNull(), "float")
         .otherwise("str")
     )
 
 
-def _cell(tag: Column, v: Column) -> Column:
-    number = F.when(tag == "int", as_integer(v).cast("string")).when(tag == "float", json_number(as_float(v)))
-    return F.struct(tag.alias("t"), F.when(tag == "null", F.lit(None)).when(tag.isin("int", "float"), number).otherwise(v).alias("s"))
+def _cell(tag: Column, v: Column, integer: Column, number: Column) -> Column:
+    text = F.when(tag == "int", integer.cast("string")).when(tag == "float", json_number(number, v)).when(tag != "null", v)
+    return F.struct(tag.alias("t"), text.alias("s"))
 
 
-def infer_cell(v: Column) -> Column:
-    return _cell(cell_tag(v), v)
+def infer_cell(v: Column, integer: Column | None = None, number: Column | None = None) -> Column:
+    integer = plain_integer(v) if integer is None else integer
+    number = plain_float(v, integer) if number is None else number
+    return _cell(cell_tag(v, integer, number), v, integer, number)
 
 
 def raw_cell(v: Column) -> Column:
@@ -80,7 +121,7 @@ def raw_cell(v: Column) -> Column:
 def coerced_number(v: Column, column: str) -> Column:
     """The number a cell is asked to be, as a cell; a value that is none is an error that names column, value and option."""
     tag = F.when(v == "", "null").when(as_integer(v).isNotNull(), "int").when(as_float(v).isNotNull(), "float")
-    return _cell(F.coalesce(tag, F.when(v.isNotNull(), _refuse(v, column, "number"))), v)
+    return _cell(F.coalesce(tag, F.when(v.isNotNull(), _refuse(v, column, "number"))), v, as_integer(v), as_float(v))
 
 
 def coerced_boolean(v: Column, column: str) -> Column:

@@ -1,25 +1,28 @@
-"""A catalog of collections: databases are folders, collections Parquet tables, metadata one small JSON object.
+"""A catalog of collections: databases are folders, collections Parquet tables, metadata a log of small JSON objects.
 
-``<root>/<db>/catalog.json`` names each collection's kind, indexes and current version;
-``<root>/<db>/<collection>/v<N>`` holds its rows.  A load writes a new version and
-then swaps the metadata, so readers see whole loads only and a failed load leaves
-no trace.
+``<root>/<db>/log/<n>.json`` names each collection's kind, indexes and the folders of its current rows; the highest
+number holds, and a change creates the next number, which only one of two writers can do.  A collection's rows lie in
+``<root>/<db>/<collection>/v<N>-<load>/bucket=<k>``, by a hash of the key.  A load writes the buckets it touches anew,
+and then the log, so readers see whole loads only, a failed load leaves no trace, and a small load of a large
+collection copies only its buckets.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import OptionError, parse_edge_definition
-from .export import delete, exists, get, put
-from .upsert import load_counts, upsert
+from .export import delete, get, listed, put
+from .upsert import load_counts, patched_documents, upsert
 
 KINDS = {"document": 2, "edge": 3}
 SCHEMAS = {"document": "_key string, doc string", "edge": "_key string, _from string, _to string, doc string"}
+BUCKETS = 8
 NAME = re.compile(r"[A-Za-z0-9_-]{1,256}")
 
 
@@ -34,53 +37,79 @@ class Database:
 
     # Metadata
 
-    def _meta(self) -> dict:
-        path = f"{self.folder}/catalog.json"
-        if not exists(self.spark, path):
-            return {"collections": {}, "views": {}, "graphs": {}}
-        return json.loads(get(self.spark, path))
+    def _read(self) -> tuple[int, dict]:
+        numbers = [int(n[:-5]) for n in listed(self.spark, f"{self.folder}/log") if n.endswith(".json")]
+        if not numbers:
+            return 0, {"collections": {}, "views": {}, "graphs": {}}
+        return max(numbers), json.loads(get(self.spark, self._log(max(numbers))))
 
-    def _store(self, meta: dict) -> None:
-        put(self.spark, f"{self.folder}/catalog.json", json.dumps(meta, indent=2, sort_keys=True).encode())
+    def _meta(self) -> dict:
+        return self._read()[1]
+
+    def _log(self, number: int) -> str:
+        return f"{self.folder}/log/{number:012d}.json"
+
+    def _change(self, edit) -> dict:
+        """Read, ``edit`` in place and store as the next number; again from the start if another writer was first."""
+        for _ in range(100):
+            number, meta = self._read()
+            edit(meta)
+            if put(self.spark, self._log(number + 1), json.dumps(meta, indent=2, sort_keys=True).encode(), overwrite=False):
+                if number > 20:
+                    delete(self.spark, self._log(number - 20))
+                return meta
+        raise CatalogError("the catalog is being changed by others all the time")
 
     def create(self) -> None:
         """Idempotent."""
-        if not exists(self.spark, f"{self.folder}/catalog.json"):
-            self._store(self._meta())
+        if not self._read()[0]:
+            self._change(lambda meta: None)
 
     def drop(self) -> None:
         delete(self.spark, self.folder)
 
     # Collections
 
-    def ensure_collection(self, name: str, kind: str = "document") -> None:
-        """Creates the collection, or fails if it exists with the other kind."""
-        meta = self._meta()
-        known = meta["collections"].get(_checked(name))
-        if known is None:
-            meta["collections"][name] = {"kind": kind, "version": 0, "indexes": [], "properties": {}}
-            self._store(meta)
-        elif known["kind"] != kind:
-            raise CatalogError(f"collection '{name}' is of kind {known['kind']}, not {kind}")
+    def ensure_collection(self, name: str, kind: str = "document", buckets: int = BUCKETS) -> None:
+        """Creates the collection, or fails if it exists with the other kind.  Large collections want more buckets."""
+        _checked(name)
+
+        def edit(meta: dict) -> None:
+            known = meta["collections"].setdefault(name, {"kind": kind, "version": 0, "buckets": buckets, "folders": {}, "retired": [], "indexes": [], "properties": {}})
+            if known["kind"] != kind:
+                raise CatalogError(f"collection '{name}' is of kind {known['kind']}, not {kind}")
+
+        known = self._meta()["collections"].get(name)
+        if known is None or known["kind"] != kind:
+            self._change(edit)
 
     def drop_collection(self, name: str) -> None:
-        meta = self._meta()
-        meta["collections"].pop(_checked(name), None)
-        self._store(meta)
+        self._change(lambda meta: meta["collections"].pop(_checked(name), None))
         delete(self.spark, f"{self.folder}/{name}")
 
     def create_index(self, name: str, definition: dict) -> None:
-        meta = self._meta()
-        meta["collections"][name]["indexes"].append(definition)
-        self._store(meta)
+        self._entry(name)
+        self._change(lambda meta: meta["collections"][name]["indexes"].append(definition))
 
-    def read(self, name: str) -> DataFrame:
-        """The collection's current rows.  The name is looked up, never made part of a statement."""
-        entry = self._entry(name)
+    def drop_index(self, name: str, definition: dict) -> None:
+        """Idempotent."""
+        self._entry(name)
+
+        def edit(meta: dict) -> None:
+            entry = meta["collections"][name]
+            entry["indexes"] = [x for x in entry["indexes"] if x != definition]
+
+        self._change(edit)
+
+    def read(self, name: str, entry: dict | None = None) -> DataFrame:
+        """The collection's current rows, or those of an ``entry`` kept from before.  The name is looked up, never made part of a statement."""
+        entry = entry or self._entry(name)
+        return self._rows(name, entry, entry["folders"])
+
+    def _rows(self, name: str, entry: dict, buckets) -> DataFrame:
+        paths = [f"{self.folder}/{name}/{entry['folders'][k]}/bucket={k}" for k in buckets if k in entry["folders"]]
         schema = SCHEMAS[entry["kind"]]
-        if not entry["version"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/v{entry['version']}")
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _entry(self, name: str) -> dict:
         entry = self._meta()["collections"].get(name)
@@ -91,32 +120,65 @@ class Database:
     def count(self, name: str) -> int:
         return self.read(name).count()
 
-    def load(self, name: str, rows: DataFrame, mode: str = "error", order: list[str] | None = None, overwrite: bool = False, complete: bool = False) -> dict:
-        """Load rows (the collection's columns, and ``order``: by default ``ordinal``, if there is one, else the text).
+    def load(
+        self, name: str, rows: DataFrame, mode: str = "error", order: list[str] | None = None,
+        overwrite: bool = False, complete: bool = False, load_id: str | None = None,
+    ) -> dict:
+        """Load rows: the collection's columns, and those of ``order`` (by default ``ordinal``, which must be there).
 
-        Returns created, updated, ignored and errors.
-        ``overwrite`` empties the collection once, before the load; ``complete`` refuses
-        the whole load if it has errors.
+        Returns created, updated, ignored and errors.  A row without a key gets one of its own, from ``load_id``
+        (by default a new one) and the row's number.  ``overwrite`` empties the collection once, before the load;
+        ``complete`` refuses the whole load if it has errors.  Of two loads of one collection at once, the second fails.
         """
         entry = self._entry(name)
-        kind = entry["kind"]
-        order = order or (["ordinal"] if "ordinal" in rows.columns else ["doc"])
-        stored = self.spark.createDataFrame([], SCHEMAS[kind]) if overwrite else self.read(name)
-        key = F.coalesce(F.col("_key"), F.sha2(F.col("doc"), 256)) if "_key" in rows.columns else F.sha2(F.col("doc"), 256)
-        rows = rows.withColumn("_key", key)
-        counts = load_counts(stored, rows, ["_key"], mode).first().asDict()
+        order = order or ["ordinal"]
+        missing = [c for c in order if c not in rows.columns]
+        if missing:
+            raise CatalogError(f"a load needs its order; there is no column '{missing[0]}'")
+        columns = [c.split()[0] for c in SCHEMAS[entry["kind"]].split(", ")]
+        load_id = load_id or uuid.uuid4().hex
+        folder = f"v{entry['version'] + 1}-{load_id[:16]}"
+        staged = f"{self.folder}/{name}/{folder}.rows"
+        orders = [F.col(f"`{c}`").alias(f"order{i}") for i, c in enumerate(order)]
+        kept = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
+        rows.select(*kept, *orders, F.monotonically_increasing_id().alias("row")).write.mode("overwrite").parquet(staged)
+        incoming = self.spark.read.parquet(staged).withColumn("_key", F.coalesce("_key", F.concat(F.lit(f"{load_id[:16]}-"), F.col("row").cast("string"))))
+        incoming = incoming.withColumn("bucket", _bucket(entry["buckets"]))
+        touched = [str(r.bucket) for r in incoming.select("bucket").distinct().collect()]  # at most the number of buckets
+        stored = self._rows(name, entry, [] if overwrite else touched)
+        counts = load_counts(stored, incoming, ["_key"], mode).first().asDict()
         if complete and counts["errors"]:
+            delete(self.spark, staged)
             raise CatalogError(f"{counts['errors']} rows have a key that exists; nothing was loaded")
-        version = entry["version"] + 1
-        upsert(stored, rows, ["_key"], order, mode).write.mode("overwrite").parquet(f"{self.folder}/{name}/v{version}")
-        meta = self._meta()
-        meta["collections"][name]["version"] = version
-        self._store(meta)
+        ordered = [*[f"order{i}" for i in range(len(order))], "row"]
+        after = patched_documents(stored, incoming, ordered) if mode == "update" else upsert(stored, incoming, ["_key"], ordered, mode)
+        path = f"{self.folder}/{name}/{folder}"
+        after.withColumn("bucket", _bucket(entry["buckets"])).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+        def publish(meta: dict) -> None:
+            now = meta["collections"].get(name)
+            if now is None or now["version"] != entry["version"]:
+                raise CatalogError(f"collection '{name}' was changed by another load")
+            old = now["folders"]
+            fresh = {} if overwrite else dict(old)
+            fresh |= {k: folder for k in touched}
+            now["retired"] = [[f, k] for k, f in old.items() if fresh.get(k) != f]  # readers may still have them open
+            now["version"], now["folders"] = entry["version"] + 1, fresh
+
+        try:
+            self._change(publish)
+        except CatalogError:
+            delete(self.spark, path)
+            raise
+        finally:
+            delete(self.spark, staged)
+        for old_folder, bucket in entry["retired"]:  # by the load before this one
+            delete(self.spark, f"{self.folder}/{name}/{old_folder}/bucket={bucket}")
         return counts
 
-    def inventory(self, include_system: bool = False, include: str | None = None, exclude: str | None = None) -> DataFrame:
+    def inventory(self, include_system: bool = False, include: str | None = None, exclude: str | None = None, meta: dict | None = None) -> DataFrame:
         """(name, kind, is_system, version) of the collections that the filter lets pass."""
-        rows = [(n, e["kind"], is_system(n, e["properties"]), e["version"]) for n, e in self._meta()["collections"].items()]
+        rows = [(n, e["kind"], is_system(n, e["properties"]), e["version"]) for n, e in (meta or self._meta())["collections"].items()]
         df = self.spark.createDataFrame(rows, "name string, kind string, is_system boolean, version long")
         return filter_collections(df, include_system, include, exclude)
 
@@ -129,9 +191,8 @@ class Database:
     # Views and graphs
 
     def create_view(self, name: str, definition: dict) -> None:
-        meta = self._meta()
-        meta["views"][_checked(name)] = {k: v for k, v in definition.items() if k not in ("id", "globallyUniqueId")}
-        self._store(meta)
+        kept = {k: v for k, v in definition.items() if k not in ("id", "globallyUniqueId")}
+        self._change(lambda meta: meta["views"].update({_checked(name): kept}))
 
     def views(self) -> dict:
         return self._meta()["views"]
@@ -147,16 +208,14 @@ class Database:
                 self.ensure_collection(vertex)
         for vertex in orphans:
             self.ensure_collection(vertex)
-        meta = self._meta()
-        meta["graphs"][_checked(name)] = {"edgeDefinitions": parsed, "orphanCollections": list(orphans)}
-        self._store(meta)
-        return meta["graphs"][name]
+        graph = {"edgeDefinitions": parsed, "orphanCollections": list(orphans)}
+        self._change(lambda meta: meta["graphs"].update({_checked(name): graph}))
+        return graph
 
     def drop_graph(self, name: str, drop_collections: bool = False) -> None:
         """Idempotent."""
-        meta = self._meta()
-        graph = meta["graphs"].pop(name, None)
-        self._store(meta)
+        graph = self._meta()["graphs"].get(name)
+        self._change(lambda meta: meta["graphs"].pop(name, None))
         if graph and drop_collections:
             for d in graph["edgeDefinitions"]:
                 for c in [d["collection"], *d["from"], *d["to"]]:
@@ -165,6 +224,10 @@ class Database:
                 self.drop_collection(c)
 
 
+def _bucket(count: int) -> Column:
+    return F.pmod(F.xxhash64("_key"), F.lit(count)).cast("int")
+
+
 def _checked(name: str) -> str:
     if not NAME.fullmatch(name):
         raise CatalogError(f"invalid name '{name}'")

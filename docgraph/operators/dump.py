@@ -55,21 +55,21 @@ def unwrapped(df: DataFrame) -> DataFrame:
     return df.withColumn("doc", F.substring("doc", F.lit(head), F.length("doc") - F.lit(head)))
 
 
-def dump_database(db: Database, folder: str, prefix: str = "", database: str | None = None, include: str | None = None, exclude: str | None = None, include_system: bool = False, codec: str | None = None) -> list[dict]:
-    """Artifacts of one database: structure, data and views.  Collections are read at the version they have now."""
+def dump_database(db: Database, folder: str, meta: dict, prefix: str = "", database: str | None = None, include: str | None = None, exclude: str | None = None, include_system: bool = False, codec: str | None = None) -> list[dict]:
+    """Artifacts of one database: structure, data and views, as its metadata ``meta`` had them."""
     spark, artifacts, done = db.spark, [], []
     tag = {"database": database} if database else {}
-    for row in db.inventory(include_system, include, exclude).orderBy("name").collect():
-        entry = db._entry(row.name)
+    for row in db.inventory(include_system, include, exclude, meta).orderBy("name").collect():
+        entry = meta["collections"][row.name]
         structure = {"parameters": {"name": row.name, "type": {"document": 2, "edge": 3}[row.kind], **entry["properties"]}, "indexes": entry["indexes"]}
         path = f"{prefix}{row.name}.structure.json"
         put(spark, f"{folder}/{path}", json.dumps(structure, indent=2).encode())
         artifacts.append({"kind": "structure", "path": path, "collection": row.name, "encryption": "none", **tag})
-        rows = enveloped(with_reserved(db.read(row.name))).select(F.col("_key").alias("ordinal"), "doc")
+        rows = enveloped(with_reserved(db.read(row.name, entry))).select(F.col("_key").alias("ordinal"), "doc")
         parts = encode_parts(rows, f"{prefix}{row.name}.data", codec=codec)
         artifacts += [{**a, "collection": row.name, **tag} for a in _stored(parts, folder)]
         done.append(row.name)
-    views = db.views()
+    views = meta["views"]
     if views:
         table = spark.createDataFrame([(n, json.dumps(v)) for n, v in views.items()], "name string, doc string")
         names = spark.createDataFrame([(n,) for n in done], "name string")
@@ -89,13 +89,17 @@ def _stored(parts: DataFrame, folder: str) -> list[dict]:
 
 
 def dump(databases: list[Database], folder: str, overwrite: bool = False, all_databases: bool = False, **filters) -> dict:
-    """Dumps databases and writes the manifest last; the claim is given back only on success."""
+    """Dumps databases and writes the manifest last; the claim is given back only on success.
+
+    All metadata is read at the start, so every collection is dumped as it was then; its files outlive one later load.
+    """
     spark = databases[0].spark
     claim(spark, folder, overwrite)
     artifacts = []
-    for db in databases:
+    snapshot = [db._meta() for db in databases]
+    for db, meta in zip(databases, snapshot):
         prefix = f"databases/{db.name}/" if all_databases else ""
-        artifacts += dump_database(db, folder, prefix, db.name if all_databases else None, **filters)
+        artifacts += dump_database(db, folder, meta, prefix, db.name if all_databases else None, **filters)
     manifest = {"manifest_version": MANIFEST_VERSION, "database": "all" if all_databases else databases[0].name, "created_at": _now(), "artifacts": artifacts}
     put(spark, f"{folder}/{MANIFEST}", json.dumps(manifest, indent=2).encode())
     delete(spark, f"{folder}/{CLAIM}")
@@ -176,8 +180,8 @@ def restore(spark: SparkSession, root: str, folder: str, database: str | None =
         db = Database(spark, root, u.database)
         data = [a for a in manifest["artifacts"] if a["kind"] == "data" and name_of(a) == u.database and a["collection"] == u.collection]
         if data:
-            docs = unwrapped(read_parts(spark, folder, {"artifacts": data})).select(F.get_json_object("doc", "$._key").alias("_key"), *([F.get_json_object("doc", "$._from").alias("_from"), F.get_json_object("doc", "$._to").alias("_to")] if u.is_edge else []), "doc")
-            db.load(u.collection, docs, mode)
+            docs = unwrapped(read_parts(spark, folder, {"artifacts": data})).select("part", "ordinal", F.get_json_object("doc", "$._key").alias("_key"), *([F.get_json_object("doc", "$._from").alias("_from"), F.get_json_object("doc", "$._to").alias("_to")] if u.is_edge else []), "doc")
+            db.load(u.collection, docs, mode, order=["part", "ordinal"])
         for index in structures[u.database, u.collection]["indexes"]:
             if index.get("type") not in ("primary", "edge"):
                 db.create_index(u.collection, index)

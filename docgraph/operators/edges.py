@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import qualified
 
 ENDS = ("_from", "_to")
+NOT_QUALIFIED = "is not a fully-qualified document id"
 
 
 def endpoint_class(v: Column, prefix: str | None) -> Column:
@@ -16,7 +17,7 @@ def endpoint_class(v: Column, prefix: str | None) -> Column:
     return (
         F.when(v.isNull() | (v == ""), "empty")
         .when(F.lit(prefix is not None) | (F.instr(v, "/") > 0), "present")
-        .otherwise("is not a fully-qualified document id")
+        .otherwise(NOT_QUALIFIED)
     )
 
 
@@ -56,12 +57,17 @@ def preflight(df: DataFrame, from_prefix: str | None = None, to_prefix: str | No
     With an ``ordinal`` column the error names the row.
     """
     at = F.concat(F.lit("row "), F.col("ordinal").cast("string"), F.lit(": ")) if "ordinal" in df.columns else F.lit("")
-    judged = classify(df, from_prefix, to_prefix)
-    fatal = ~F.col("edge_class").isin("present", "skip")
-    judged = judged.withColumn("edge_class", F.when(fatal, F.raise_error(F.concat(at, F.col("edge_class"))).cast("string")).otherwise(F.col("edge_class")))
-    if observation is not None:
-        judged = judged.observe(observation, F.count("*").alias("read"), F.count_if(F.col("edge_class") == "skip").alias("skipped_no_edge"))
-    kept = judged.where("edge_class = 'present'").drop("edge_class")
+    ends = [F.coalesce(F.col(name), F.lit("")) for name in ENDS]
+    verdict = (ends[0] != "") & (ends[1] != "")
+    for name, end, prefix in reversed(list(zip(ENDS, ends, (from_prefix, to_prefix)))):
+        if prefix is None:  # a bare key has no collection
+            refused = F.raise_error(F.concat(at, F.lit(f"{name}: {NOT_QUALIFIED}"))).cast("boolean")
+            verdict = F.when((end != "") & ~F.contains(end, F.lit("/")), refused).otherwise(verdict)
+    if observation is None:
+        kept = df.where(verdict)
+    else:
+        judged = df.withColumn("__kept", verdict).observe(observation, F.count("*").alias("read"), F.count_if(~F.col("__kept")).alias("skipped_no_edge"))
+        kept = judged.where("__kept").drop("__kept")
     for name, prefix in zip(ENDS, (from_prefix, to_prefix)):
         if prefix is not None:
             kept = kept.withColumn(name, qualified(F.col(name), prefix))

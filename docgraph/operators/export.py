@@ -72,6 +72,34 @@ def part_bytes_of(docs: list[str], kind: str, fields: list[str] | None, codec: s
     return body
 
 
+def write_single(df: DataFrame, path: str, kind: str = "jsonl", order: str = "ordinal", fields: list[str] | None = None, codec: str | None = None) -> int:
+    """One object of all documents in ``order``, as JSON lines, one JSON array or CSV with a header; returns its bytes.
+
+    Sorting and encoding are spread; one task writes, as a stream.  The object appears under its name when it is whole.
+    """
+    if codec == "zstd":
+        raise OptionError("a single object is written plain or with gzip; parts can be zstd")
+    rows = csv_lines(df, fields or [], order=order) if kind == "csv" else df.select(order, "doc")
+    spark, first = df.sparkSession, rows.agg(F.min(order)).first()[0]
+    if first is None:
+        put(spark, path, part_bytes_of([], kind, fields, codec))
+        return head(spark, path)
+    opening = _frame(kind, fields)[0]
+    text = F.when(F.col(order) == F.lit(first), F.concat(F.lit(opening), "doc")).otherwise(F.concat(F.lit("," if kind == "json" else ""), "doc"))
+    body = rows.orderBy(order).select(text.alias("value"))
+    if kind == "json":
+        body = body.unionByName(spark.createDataFrame([("]",)], "value string"))
+    body = body.coalesce(1)
+    staged = f"{path}.writing"
+    body.write.mode("overwrite").text(staged, lineSep="\n", compression=codec or "none")
+    system, target = _system(spark, path)
+    (name,) = [n for n in listed(spark, staged) if n.startswith("part-")]
+    system.delete(target, True)
+    system.rename(_system(spark, f"{staged}/{name}")[1], target)
+    system.delete(_system(spark, staged)[1], True)
+    return head(spark, path)
+
+
 PARTS = "part int, path string, format string, compression string, byte_size long, sha256 string"
 
 
@@ -130,8 +158,8 @@ def store_parts(parts: DataFrame, folder: str) -> list[dict]:
     return [r.asDict() for r in parts.mapInPandas(store, PARTS).orderBy("part").collect()]
 
 
-def put(spark: SparkSession, path: str, content: bytes, overwrite: bool = True) -> bool:
-    """Store one small object through Hadoop's file systems; False if it exists and may not be overwritten."""
+def put(spark: SparkSession, path: str, content: bytes | Iterator[bytes], overwrite: bool = True) -> bool:
+    """Store one object through Hadoop's file systems, whole or in pieces; False if it exists and may not be overwritten."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(conf)
@@ -144,16 +172,41 @@ def put(spark: SparkSession, path: str, content: bytes, overwrite: bool = True)
             return False
         raise
     try:
-        out.write(bytearray(content))
+        for piece in [content] if isinstance(content, bytes) else content:
+            out.write(bytearray(piece))
     finally:
         out.close()
     return True
 
 
+def _system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def get(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> bytes:
-    """A small object's bytes, or those of [start, end)."""
-    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    return content[start:end]
+    """An object's bytes, or those of [start, end) alone, which is all that is read."""
+    system, target = _system(spark, path)
+    size = system.getFileStatus(target).getLen()
+    start, end = min(start, size), size if end is None else min(end, size)
+    stream = system.open(target)
+    try:
+        stream.seek(start)
+        return bytes(stream.readNBytes(max(0, end - start)))
+    finally:
+        stream.close()
+
+
+def head(spark: SparkSession, path: str) -> int | None:
+    """An object's size in bytes, or None if there is none."""
+    system, target = _system(spark, path)
+    return system.getFileStatus(target).getLen() if system.exists(target) else None
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if there is no folder."""
+    system, target = _system(spark, folder)
+    return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
 
 
 def exists(spark: SparkSession, path: str) -> bool:

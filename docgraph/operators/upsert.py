@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.cells import json_string
+from ..functions.members import exploded_members
+
 MODES = ("error", "ignore", "replace", "update")
 
 
@@ -52,6 +55,31 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], order: list[s
     return joined.select(*key, *[F.coalesce(F.col(f"p.{c}"), F.col(f"s.{c}")).alias(c) for c in attributes]).select(*stored.columns)
 
 
+def patched_documents(stored: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
+    """Stored documents (``_key``, ``doc``, and ends for edges) after a load that patches them attribute by attribute.
+
+    Of every attribute the last incoming value holds, an explicit null too; attributes that no incoming row has stay.
+    Documents are taken apart into raw members, so a key with very many rows is combined map-side, member by member.
+    """
+    ends = [c for c in stored.columns if c not in ("_key", "doc")]
+    patch = incoming.select("_key", "doc", F.struct(F.lit(1).alias("late"), *order).alias("at"), *ends)
+    met = stored.join(patch.select("_key").distinct(), "_key", "left_semi")
+    no_order = F.lit(None).cast(patch.schema["at"].dataType)
+    base = met.select("_key", "doc", no_order.alias("at"), *ends)  # null comes before every order
+    every = base.unionByName(patch)
+    first = F.struct(F.coalesce(F.col("at.late"), F.lit(0)).alias("late"), F.col("at"), F.col("position"))
+    members = exploded_members(every.select("_key", "at", "doc")).groupBy("_key", "name").agg(
+        F.max_by("value", F.struct(F.coalesce(F.col("at.late"), F.lit(0)).alias("late"), "at")).alias("value"), F.min(first).alias("first")
+    )
+    text = F.concat(json_string(F.col("name")), F.lit(":"), F.col("value"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("first", text.alias("text")))), lambda m: m["text"])
+    docs = members.groupBy("_key").agg(F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}")).alias("doc"))
+    late = F.struct(F.coalesce(F.col("at.late"), F.lit(0)).alias("late"), "at")
+    keys = every.groupBy("_key").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), late)).alias(c) for c in ends]) if ends else every.select("_key").distinct()
+    new = keys.join(docs, "_key", "left").withColumn("doc", F.coalesce("doc", F.lit("{}"))).select(*stored.columns)
+    return stored.join(new.select("_key"), "_key", "left_anti").unionByName(new)
+
+
 def load_counts(stored: DataFrame, incoming: DataFrame, key: list[str], mode: str) -> DataFrame:
     """One row: created, updated, ignored, errors of a load, without running it."""
     counts = incoming.groupBy(*key).agg(F.count("*").alias("n"))

@@ -5,23 +5,24 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The line grammar.  Possessive, so that a label swallows what it may.
 _IRI = r"<((?:[^>\\]|\\.)*+)>"
 _BLANK = r'_:([^\s<"]++)'
-_LITERAL = r'"((?:[^"\\]|\\.)*+)"(?:\^\^<((?:[^>\\]|\\.)*+)>|@([A-Za-z0-9-]++))?'
-STATEMENT = rf"(?U)^[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BLANK}|{_LITERAL})[ \t]*(?:(?:{_IRI}|{_BLANK})[ \t]*)?\."
-BEFORE_OBJECT = rf"(?U)^[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*"
+_LITERAL = r'(")((?:[^"\\]|\\.)*+)"(?:\^\^<((?:[^>\\]|\\.)*+)>|@([A-Za-z0-9-]++))?'
+STATEMENT = rf"(?Us)^[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BLANK}|{_LITERAL})[ \t]*(?:(?:{_IRI}|{_BLANK})[ \t]*)?\..*$"
+#: The groups of a statement, a line each; a term of a statement holds no line end.
+GROUPS = "\n".join(f"${k}" for k in range(1, 12))
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.?)", re.DOTALL)
 _PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
 @F.pandas_udf(T.StringType())
 def unescaped(values: pd.Series) -> pd.Series:
-    """Escapes decoded; only rows with a backslash come here."""
+    """Escapes decoded; only lines with a backslash come here."""
 
     def one(m: re.Match) -> str:
         code = m[1]
@@ -37,34 +38,44 @@ def unescaped(values: pd.Series) -> pd.Series:
     return pd.Series([_ESCAPE.sub(one, v) if isinstance(v, str) and "\\" in v else v for v in values], dtype=object)
 
 
-def _term(line: Column, group: int) -> Column:
-    text = F.regexp_extract(line, STATEMENT, group)
-    return F.when(F.contains(text, F.lit("\\")), unescaped(text)).otherwise(text)
-
-
 def parse_statements(lines: DataFrame, quads: bool, line_col: str = "value", ordinal_col: str | None = None) -> DataFrame:
-    """Rows of text lines to triples; blank lines and comments are skipped, any other line that is no statement fails."""
+    """Rows of text lines to triples; blank lines and comments are skipped, any other line that is no statement fails.
+
+    A line is matched once.  Only lines with a backslash go through Python, to have their escapes decoded.  An error
+    names the line by ``ordinal_col``, where there is one, and by its text.
+    """
     ordinal = F.col(ordinal_col) if ordinal_col else F.monotonically_increasing_id()
     line = F.regexp_replace(F.col(line_col), r"\r\z", "")
     rows = lines.select(ordinal.alias("ordinal"), line.alias("line")).where(r"NOT line RLIKE '(?U)\\A\\s*(#.*)?\\z'")
-    where = F.concat(F.lit("line "), F.col("ordinal").cast("string"), F.lit(": not a statement"))
-    checked = F.when(F.col("line").rlike(STATEMENT), F.col("line")).otherwise(F.raise_error(where).cast("string"))
-    rows = rows.select("ordinal", checked.alias("line"))
-    got = {n: _term(F.col("line"), n) for n in range(1, 11)}
-    literal = F.col("line").rlike(BEFORE_OBJECT + '"')
+    escaped = F.contains("line", F.lit("\\"))
+    return _parsed(rows.where(~escaped), quads, bool(ordinal_col), False).unionByName(_parsed(rows.where(escaped), quads, bool(ordinal_col), True))
+
+
+def _parsed(rows: DataFrame, quads: bool, numbered: bool, escapes: bool) -> DataFrame:
+    which = F.concat(F.lit("line "), F.col("ordinal").cast("string")) if numbered else F.concat(F.lit("line '"), F.substring("line", 1, 80), F.lit("'"))
+    matched = F.when(~F.contains("line", F.lit("\n")), F.split(F.regexp_replace("line", STATEMENT, GROUPS), "\n"))
+    rows = rows.select("ordinal", which.alias("which"), matched.alias("m"))
+    refused = F.raise_error(F.concat("which", F.lit(": not a statement"))).cast("array<string>")
+    rows = rows.select("ordinal", "which", F.when(F.size("m") == 11, F.col("m")).otherwise(refused).alias("m"))
+    got = {n: F.col("m")[n - 1] for n in range(1, 12)}
+    if escapes:
+        rows = rows.select("ordinal", "which", *[unescaped(got[n]).alias(f"g{n}") for n in range(1, 12)], F.col("m"))
+        got = {n: F.col(f"g{n}") for n in range(1, 12)}
+    raw = {n: F.col("m")[n - 1] for n in range(1, 12)}
+    literal = raw[6] != ""
     out = rows.select(
-        "ordinal",
-        F.when(got[1] != "", "iri").when(got[2] != "", "bnode").otherwise("iri").alias("s_kind"),
-        F.when(got[2] != "", got[2]).otherwise(got[1]).alias("s_value"), got[3].alias("predicate"),
-        F.when(literal, "literal").when(got[5] != "", "bnode").otherwise("iri").alias("o_kind"),
-        F.when(literal, got[6]).when(got[5] != "", got[5]).otherwise(got[4]).alias("o_value"),
-        F.when(literal & (got[7] != ""), got[7]).alias("o_datatype"), F.when(literal & (got[8] != ""), got[8]).alias("o_language"),
-        F.when(got[9] != "", got[9]).when(got[10] != "", F.concat(F.lit("_:"), got[10])).alias("graph"),
+        "ordinal", "which",
+        F.when(raw[2] != "", "bnode").otherwise("iri").alias("s_kind"),
+        F.when(raw[2] != "", got[2]).otherwise(got[1]).alias("s_value"), got[3].alias("predicate"),
+        F.when(literal, "literal").when(raw[5] != "", "bnode").otherwise("iri").alias("o_kind"),
+        F.when(literal, got[7]).when(raw[5] != "", got[5]).otherwise(got[4]).alias("o_value"),
+        F.when(literal & (raw[8] != ""), got[8]).alias("o_datatype"), F.when(literal & (raw[9] != ""), got[9]).alias("o_language"),
+        F.when(raw[10] != "", got[10]).when(raw[11] != "", F.concat(F.lit("_:"), got[11])).alias("graph"),
     )
-    if quads:
-        return out
-    refuse = F.raise_error(F.concat(F.lit("line "), F.col("ordinal").cast("string"), F.lit(": a fourth term needs N-Quads"))).cast("string")
-    return out.withColumn("graph", F.when(F.col("graph").isNotNull(), refuse))
+    if not quads:
+        refuse = F.raise_error(F.concat("which", F.lit(": a fourth term needs N-Quads"))).cast("string")
+        out = out.withColumn("graph", F.when(F.col("graph").isNotNull(), refuse))
+    return out.drop("which")
 
 
 def read_statements(spark: SparkSession, path: str, quads: bool) -> DataFrame:

@@ -22,7 +22,7 @@ _TOKEN = re.compile(
     (?P<iri><[^<>"{}|^`\\\s]*>)
   | (?P<long>\"\"\"(?:(?:\"|\"\")?(?:[^\"\\]|\\.))*\"\"\"|'''(?:(?:'|'')?(?:[^'\\]|\\.))*''')
   | (?P<string>"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\.)*')
-  | (?P<directive>@prefix\b|@base\b|(?:PREFIX|BASE)\b(?=\s))
+  | (?P<directive>@prefix\b|@base\b|(?i:PREFIX|BASE)\b(?=\s))
   | (?P<language>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
   | (?P<blank>_:[^\s<"\[\](),;]+)
   | (?P<number>[+-]?(?:[0-9]*\.[0-9]+(?:[eE][+-]?[0-9]+)?|[0-9]+(?:\.?[eE][+-]?[0-9]+)?))
@@ -30,7 +30,7 @@ _TOKEN = re.compile(
   | (?P<name>[^\s:<>"'()\[\],;.@#]*:[^\s<>"'()\[\],;#]*[^\s<>"'()\[\],;.#]|[^\s:<>"'()\[\],;.@#]*:)
   | (?P<mark>\^\^|[.,;()\[\]])
   | (?P<end>\Z))""",
-    re.VERBOSE | re.DOTALL | re.IGNORECASE,
+    re.VERBOSE | re.DOTALL,
 )
 
 
@@ -172,7 +172,10 @@ class Turtle:
 def _decoded(m: re.Match) -> str:
     code = m[1]
     if code[:1] in ("u", "U") and len(code) > 1:
-        return chr(int(code[1:], 16))
+        point = int(code[1:], 16)
+        if 0xD800 <= point <= 0xDFFF or point > 0x10FFFF:
+            raise TurtleError(f"invalid code point in {m[0]}")
+        return chr(point)
     if code not in _PLAIN:
         raise TurtleError(f"unknown escape {m[0]}")
     return _PLAIN[code]

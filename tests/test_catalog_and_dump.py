@@ -46,7 +46,8 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name,note,name\n"a,b","line1\nline2",x\nq"q,,y,extra\nshort\n')
     got = [r.asDict() for r in read_delimited(spark, str(tmp_path / "a.csv")).collect()]
     assert got[0] == {"name": "x", "note": "line1\nline2"} and got[1]["note"] in ("", None) and len(got) == 3
-    exact = [r.asDict() for r in read_delimited(spark, str(tmp_path / "a.csv"), exact=True).collect()]
+    assert [tuple(r.asDict().values()) for r in read_delimited(spark, str(tmp_path / "a.csv")).collect()] == [tuple(r.values()) for r in got]
+    exact = [r.asDict() for r in read_delimited(spark, str(tmp_path / "a.csv"), multi_line=True).collect()]
     assert exact == [{"name": "x", "note": "line1\nline2"}, {"name": "y", "note": ""}, {"name": None, "note": None}]
     (tmp_path / "a.tsv").write_text("a\tb\n1\t2\n")
     assert read_delimited(spark, str(tmp_path / "a.tsv"), "\t").first().asDict() == {"a": "1", "b": "2"}
@@ -116,7 +117,7 @@ def database(spark, root):
     assert db.load("docs", docs) == {"created": 4, "updated": 0, "ignored": 0, "errors": 0}
     db.create_graph("g", ["knows:docs->docs"])
     link = spark.createDataFrame([("k1", "docs/00042", "docs/nested", '{"w":1.0}')], "_key string, _from string, _to string, doc string")
-    db.load("knows", link)
+    db.load("knows", link, order=["_key"])
     db.create_index("docs", {"type": "primary"})
     db.create_index("docs", {"type": "persistent", "fields": ["s"]})
     db.create_view("v", {"type": "search", "links": {"docs": {}}, "id": "1"})
@@ -178,11 +179,11 @@ def test_catalog(spark, tmp_path):
     assert names(include="^col_[0-9]+$") == ["col_1", "col_42"] and names(include="^col_", exclude="_tmp$") == ["col_1", "col_42"]
     new = spark.createDataFrame([("00042", "{}"), ("n", '{"_key":"n"}')], "_key string, doc string")
     with pytest.raises(CatalogError, match="nothing was loaded"):
-        db.load("docs", new, complete=True)
-    assert db.load("docs", new, "ignore") == {"created": 1, "updated": 0, "ignored": 1, "errors": 0} and db.count("docs") == 5
-    assert db.load("docs", new, "ignore")["created"] == 0
+        db.load("docs", new, order=["_key"], complete=True)
+    assert db.load("docs", new, "ignore", order=["_key"]) == {"created": 1, "updated": 0, "ignored": 1, "errors": 0} and db.count("docs") == 5
+    assert db.load("docs", new, "ignore", order=["_key"])["created"] == 0
     assert db.query("SELECT _key FROM docs WHERE _key = :k", {"k": "n"}).count() == 1
-    db.load("docs", new, overwrite=True)
+    db.load("docs", new, order=["_key"], overwrite=True)
     assert db.count("docs") == 2
     db.drop_graph("g", drop_collections=True)
     db.drop_graph("g")

@@ -21,13 +21,13 @@ def key(*parts):
 
 def test_statements(spark):
     got = parse(
-        spark, f"<{A}s> <{A}p> <{A}o> .", f'<{A}s> <{A}p> "chat"@fr .', f'<{A}s> <{A}p> "42"^^<{XSD}integer> .', f'_:b0 <{A}p> "line1\\nline2 \\"q\\"" .\r',
+        spark, f"<{A}s> <{A}p> <{A}o> .", f'<{A}s> <{A}p> "ober"@de-AT .', f'<{A}s> <{A}p> "42"^^<{XSD}integer> .', f'_:b0 <{A}p> "up\\ndown \\"!\\"" .\r',
         "  # comment", "", f'<{A}s><{A}p>"".', f"<{A}s> <{A}p> _:x . trailing", f'<{A}s> <{A}p> "\\u00e9\\U0001F600" .',
     )
     s, p = A + "s", A + "p"
     assert got == [
-        ("iri", s, p, "iri", A + "o", None, None, None), ("iri", s, p, "literal", "chat", None, "fr", None), ("iri", s, p, "literal", "42", XSD + "integer", None, None),
-        ("bnode", "b0", p, "literal", 'line1\nline2 "q"', None, None, None), ("iri", s, p, "literal", "", None, None, None), ("iri", s, p, "bnode", "x", None, None, None),
+        ("iri", s, p, "iri", A + "o", None, None, None), ("iri", s, p, "literal", "ober", None, "de-AT", None), ("iri", s, p, "literal", "42", XSD + "integer", None, None),
+        ("bnode", "b0", p, "literal", 'up\ndown "!"', None, None, None), ("iri", s, p, "literal", "", None, None, None), ("iri", s, p, "bnode", "x", None, None, None),
         ("iri", s, p, "literal", "é😀", None, None, None),
     ]
 
@@ -36,7 +36,7 @@ def test_quads_and_errors(spark):
     line = f"<{A}s> <{A}p> <{A}o> <{A}g> ."
     assert parse(spark, line, f"<{A}s> <{A}p> <{A}o> _:g .", quads=True)[0][-1] == A + "g"
     assert parse(spark, line, f"<{A}s> <{A}p> <{A}o> _:g .", quads=True)[1][-1] == "_:g"
-    for lines, what in (((line,), "fourth term"), ((f"<{A}s> <{A}p> <{A}o> .", "bogus line"), "line 2"), (("<s> <p> _:o.",), "not a statement"), (('<s> <p> "a" @en .',), "not a statement"), (('<s> <p> "\\q" .',), "escape")):
+    for lines, what in (((line,), "fourth term"), ((f"<{A}s> <{A}p> <{A}o> .", "no statement here"), "line 2"), (("<s> <p> _:o.",), "not a statement"), (('<s> <p> "a" @en .',), "not a statement"), (('<s> <p> "\\q" .',), "escape")):
         with pytest.raises(PySparkException, match=what):
             parse(spark, *lines)
 
@@ -49,8 +49,8 @@ def test_turtle():
     assert len(turtle("@prefix ex: <http://a/> . ex:s a ex:T ; ex:p ex:o .")) == 2
     assert turtle("PREFIX ex: <http://a/>\nex:s ex:p ex:o .") == [("iri", A + "s", A + "p", "iri", A + "o", None, None)]
     assert len(turtle("@prefix ex: <http://a/> . ex:s ex:p ex:a , ex:b ; ex:q ex:c .")) == 3
-    got = turtle('@prefix ex: <http://a/> . ex:s ex:p "chat"@fr, 42, 3.14, 1.0e6, true .')
-    assert [x[4:] for x in got] == [("chat", None, "fr"), ("42", XSD + "integer", None), ("3.14", XSD + "decimal", None), ("1.0e6", XSD + "double", None), ("true", XSD + "boolean", None)]
+    got = turtle('@prefix ex: <http://a/> . ex:s ex:p "ober"@de-AT, 42, 3.14, 1.0e6, true .')
+    assert [x[4:] for x in got] == [("ober", None, "de-AT"), ("42", XSD + "integer", None), ("3.14", XSD + "decimal", None), ("1.0e6", XSD + "double", None), ("true", XSD + "boolean", None)]
     assert turtle('<s> <p> """a\nb "c" """ .')[0][4] == 'a\nb "c" '
     nested = turtle('@prefix ex: <http://a/> . ex:s ex:knows [ ex:name "Bob" ] .')
     assert [x[2] for x in nested] == [A + "name", A + "knows"] and nested[0][1] == nested[1][4]
@@ -59,7 +59,7 @@ def test_turtle():
     assert turtle("<s> <p> () .")[0][4] == RDF + "nil"
     assert turtle("@base <http://a/> . <alice> <p> <bob> . # end")[0][:2] == ("iri", A + "alice")
     assert turtle("_:b <p> 5.")[0] == ("bnode", "u_b", "p", "literal", "5", XSD + "integer", None)
-    for bad in ("nope:s <p> <o> .", '[ <p> "x" ] .', "<s> <p> <o> ;; <q> <r> .", "<s> <p> <o>", '<s> <p> "open .'):
+    for bad in ("<s> <p> TRUE .", "@PREFIX ex: <http://a/> . <s> <p> <o> .", '<s> <p> "\\uD800" .', "nope:s <p> <o> .", '[ <p> "x" ] .', "<s> <p> <o> ;; <q> <r> .", "<s> <p> <o>", '<s> <p> "open .'):
         with pytest.raises(TurtleError):
             turtle(bad)
 
