@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, keys
 from ..operators import batching, catalog, edges, export, rdf_graph, reshape, upsert
-from ..operators.dump import restore_units
+from ..operators.dump import dump, restore, restore_units
 from ..options import Reshape
-from ..sources import rdf_lines, turtle
+from ..scratch import new_folder
+from ..sources import documents, rdf_lines, turtle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,17 +51,121 @@ def edge_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(keys.edge_key(F.col("_from"), F.lit("placed_by"), F.col("_to")).alias("_key"), "_from", "_to", "o_orderstatus", "o_totalprice")
 
 
+def _database(spark: SparkSession, *collections: str, kind: str = "document") -> catalog.Database:
+    db = catalog.Database(spark, new_folder(spark, "catalog"))
+    db.create()
+    for name in collections:
+        db.ensure_collection(name, kind)
+    return db
+
+
+def _documents(df: DataFrame, ordinal: str, key: str | None = None, **attributes: str) -> DataFrame:
+    """Rows to load: documents of the named columns, and their keys."""
+    columns = [F.col(c).alias(n) for n, c in attributes.items()]
+    keyed = [F.col(key).cast("string").alias("_key")] if key else []
+    return df.select(F.col(ordinal).cast("long").alias("ordinal"), *keyed, F.to_json(F.struct(*keyed, *columns)).alias("doc"))
+
+
+def _attributes(df: DataFrame, schema: str) -> DataFrame:
+    return df.select(F.from_json("doc", schema).alias("d")).select("d.*")
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> catalog.Database:
+    db = _database(spark, "customer")
+    db.load("customer", _documents(table(spark, sf_dir, "customer"), "c_custkey", "c_custkey", c_custkey="c_custkey", c_name="c_name", c_mktsegment="c_mktsegment", c_acctbal="c_acctbal"))
+    return db
+
+
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def collection_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    """A loaded collection, exported as JSON lines and read again."""
+    folder = new_folder(spark, "export")
+    export.write_jsonl(_customers(spark, sf_dir).read("customer"), folder)
+    return _attributes(documents.read_jsonl(spark, folder), "c_custkey long, c_name string, c_mktsegment string")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000")
 def query_bind_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
-        "SELECT c_custkey, c_name FROM {customer} WHERE c_mktsegment = :segment AND c_acctbal > :least",
-        args={"segment": "BUILDING", "least": 1000}, customer=table(spark, sf_dir, "customer"),
+    statement = "SELECT doc FROM customer WHERE get_json_object(doc, '$.c_mktsegment') = :segment AND double(get_json_object(doc, '$.c_acctbal')) > :least"
+    return _attributes(_customers(spark, sf_dir).query(statement, {"segment": "BUILDING", "least": 1000}), "c_custkey long, c_name string")
+
+
+# Loads into a collection
+
+
+@query("""SELECT user_id, event_type, CAST(coalesce(max(event_id) FILTER (event_id % 2 = 1), max(event_id)) AS BIGINT) AS event_id FROM events GROUP BY 1, 2""")
+def load_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each user, with an attribute for each event type: even events are loaded, odd ones patch them."""
+    db, df = _database(spark, "users"), table(spark, sf_dir, "events")
+    doc = F.concat(F.lit("{"), cells.json_string(F.col("event_type")), F.lit(":"), F.col("event_id").cast("string"), F.lit("}"))
+    rows = df.select(F.col("event_id").alias("ordinal"), F.col("user_id").cast("string").alias("_key"), doc.alias("doc"))
+    for odd in (0, 1):
+        db.load("users", rows.where(F.col("ordinal") % 2 == odd), "update")
+    found = db.read("users").select(F.col("_key").cast("long").alias("user_id"), F.explode(F.from_json("doc", "map<string,string>")).alias("event_type", "event_id"))
+    return found.withColumn("event_id", F.col("event_id").cast("long"))
+
+
+@query("SELECT c_mktsegment, 2 * count(*) AS n, 2 * count(*) AS keys FROM customer GROUP BY 1")
+def load_keyless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal documents without keys, loaded twice: each row stays."""
+    db, rows = _database(spark, "segments"), _documents(table(spark, sf_dir, "customer"), "c_custkey", c_mktsegment="c_mktsegment")
+    for _ in range(2):
+        db.load("segments", rows)
+    got = db.read("segments").select("_key", F.get_json_object("doc", "$.c_mktsegment").alias("c_mktsegment"))
+    return got.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.countDistinct("_key").alias("keys"))
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1")
+def load_replace_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a key's rows the last by ordinal stays."""
+    db = _database(spark, "last")
+    db.load("last", _documents(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", o_custkey="o_custkey", o_orderkey="o_orderkey", o_orderstatus="o_orderstatus"), "replace")
+    return _attributes(db.read("last"), "o_custkey long, o_orderkey long, o_orderstatus string")
+
+
+@query("SELECT o_orderkey, 'customer/' || o_custkey AS _to, o_orderstatus FROM orders UNION ALL SELECT c_custkey, NULL, c_name FROM customer")
+def dump_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document and an edge collection, dumped and restored into another catalog."""
+    db = _database(spark, "customer")
+    db.ensure_collection("orders", "edge")
+    db.load("customer", _documents(table(spark, sf_dir, "customer"), "c_custkey", "c_custkey", name="c_name"))
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").cast("string").alias("_key"), F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("_from"),
+        F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("_to"), F.to_json(F.struct(F.col("o_orderstatus").alias("name"))).alias("doc"),
     )
+    db.load("orders", orders)
+    folder, root = new_folder(spark, "dump"), new_folder(spark, "restored")
+    dump([db], folder, codec="gzip")
+    restore(spark, root, folder)
+    back = catalog.Database(spark, root)
+    key, name = F.col("_key").cast("long").alias("o_orderkey"), F.get_json_object("doc", "$.name").alias("o_orderstatus")
+    return back.read("orders").select(key, "_to", name).unionByName(back.read("customer").select(key, F.lit(None).cast("string").alias("_to"), name))
+
+
+@query("SELECT * FROM (VALUES ('customer', 'document'), ('nation', 'document'), ('placed', 'edge'), ('region', 'document')) t(name, kind)")
+def graph_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _database(spark)
+    db.create_graph("g", ["placed:customer->nation"], ["region"])
+    return db.inventory().select("name", "kind")
+
+
+# Files written and read again
+
+
+@query("SELECT c_custkey, c_name, CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS ordinal FROM customer")
+def json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{new_folder(spark, 'array')}.json"
+    export.write_single(_documents(table(spark, sf_dir, "customer"), "c_custkey", c_custkey="c_custkey", c_name="c_name"), path, "json")
+    return documents.read_json_array(spark, path).select("ordinal", F.from_json("doc", "c_custkey long, c_name string").alias("d")).select("d.*", "ordinal")
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def csv_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, with their quotes, commas and line ends, written as CSV and read again; no text here begins like a formula."""
+    folder = new_folder(spark, "csv")
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    df.write.csv(folder, header=True, quote='"', escape='"', quoteAll=True)
+    return documents.read_delimited(spark, folder).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 _TOKEN_SQL = """SELECT unnest(['', ' 5 ', '1d', 'true', 'null', lpad(CAST(c_custkey AS VARCHAR), 6, '0'), '+' || c_custkey, '-' || c_custkey, '-0', '0.' || c_custkey,
@@ -185,23 +290,6 @@ def dup_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _upserted(mode: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
-        stored = upsert.first_of_key(df.where("event_id % 2 = 0 AND user_id % 3 <> 0"), ["user_id", "event_type"], ["event_id"])
-        return upsert.upsert(stored, df.where("event_id % 2 = 1"), ["user_id", "event_type"], ["event_id"], mode)
-
-    return run
-
-
-_STORED = "stored AS (SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1, 2)"
-_NEW = "new AS (SELECT user_id, event_type, {f}(event_id) AS event_id, arg_{f}(value, event_id) AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)"
-for _mode, _f, _keep in (("ignore", "min", "stored"), ("error", "min", "stored"), ("replace", "max", "new"), ("update", "max", "new")):
-    QUERIES[f"upsert_{_mode}"] = _upserted(_mode)
-    _other = "new" if _keep == "stored" else "stored"
-    ORACLE_SQL[f"upsert_{_mode}"] = f"WITH {_STORED}, {_NEW.format(f=_f)} SELECT * FROM {_keep} UNION ALL SELECT o.* FROM {_other} o ANTI JOIN {_keep} k USING (user_id, event_type)"
-
-
-def _upserted_whole(mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
         is_stored = F.coalesce(F.expr("event_id % 2 = 0 AND user_id % 3 <> 0"), F.lit(False))
@@ -211,12 +299,14 @@ def _upserted_whole(mode: str):
     return run
 
 
-# The same over every event: what is not stored is incoming, so even ids of every third user meet no stored row.
-_REST = "new AS (SELECT user_id, event_type, {f}(event_id) AS event_id, arg_{f}(value, event_id) AS value FROM events WHERE NOT coalesce(event_id % 2 = 0 AND user_id % 3 <> 0, false) GROUP BY 1, 2)"
+# Every event is on one side: what is not stored is incoming, so even ids of every third user meet no stored row.
+_STORED = "stored AS (SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1, 2)"
+_NEW = "new AS (SELECT user_id, event_type, {f}(event_id) AS event_id, arg_{f}(value, event_id) AS value FROM events WHERE NOT coalesce(event_id % 2 = 0 AND user_id % 3 <> 0, false) GROUP BY 1, 2)"
 for _mode, _f, _keep in (("ignore", "min", "stored"), ("error", "min", "stored"), ("replace", "max", "new"), ("update", "max", "new")):
-    QUERIES[f"upsert_{_mode}_whole"] = _upserted_whole(_mode)
     _other = "new" if _keep == "stored" else "stored"
-    ORACLE_SQL[f"upsert_{_mode}_whole"] = f"WITH {_STORED}, {_REST.format(f=_f)} SELECT * FROM {_keep} UNION ALL SELECT o.* FROM {_other} o ANTI JOIN {_keep} k USING (user_id, event_type)"
+    for _name in (f"upsert_{_mode}", f"upsert_{_mode}_whole"):
+        QUERIES[_name] = _upserted(_mode)
+        ORACLE_SQL[_name] = f"WITH {_STORED}, {_NEW.format(f=_f)} SELECT * FROM {_keep} UNION ALL SELECT o.* FROM {_other} o ANTI JOIN {_keep} k USING (user_id, event_type)"
 
 _DOC = """'{"key":' || c_custkey || ',"name":"' || c_name || '","segment":"' || c_mktsegment || '"}'"""
 
@@ -250,6 +340,18 @@ def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.assign_parts(_customer_docs(spark, sf_dir), part_bytes=4000).select("ordinal", "part")
 
 
+@query(f"""WITH RECURSIVE x AS (SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) AS rn, octet_length(encode({_DOC})) + 1 AS n FROM customer),
+    r AS (SELECT rn, key, CAST(0 AS BIGINT) AS part, n AS bytes FROM x WHERE rn = 1 UNION ALL
+          SELECT x.rn, x.key, CASE WHEN r.bytes >= 4000 THEN r.part + 1 ELSE r.part END, CASE WHEN r.bytes >= 4000 THEN x.n ELSE r.bytes + x.n END FROM r JOIN x ON x.rn = r.rn + 1)
+    SELECT key, CAST(part AS INTEGER) AS part, CAST(row_number() OVER (PARTITION BY part ORDER BY key) - 1 AS BIGINT) AS place FROM r""")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in compressed parts with a manifest, verified and read again."""
+    folder = new_folder(spark, "parts")
+    manifest = export.write_parts(_customer_docs(spark, sf_dir), folder, "customers", codec="gzip", threshold=4000)
+    parts = export.read_parts(spark, folder, manifest)
+    return parts.select(F.get_json_object("doc", "$.key").cast("long").alias("key"), "part", F.col("ordinal").alias("place"))
+
+
 @query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 700 + 1 AS batch_index FROM events QUALIFY batch_index > 2")
 def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.skip_committed(batch_docs_cap(spark, sf_dir), 2)
@@ -266,20 +368,13 @@ def checkpoint_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAD = "(['=', '+', '-', '@', chr(9), chr(13), '', 'x'])[CAST(doc_id % 8 AS INTEGER) + 1]"
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 8 < 6 THEN '''' ELSE '' END || {_LEAD} || substr(text, 1, 40) AS cell FROM documents")
-def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _guarded(spark, sf_dir, F.substring("text", 1, 40))
-
-
 @query(f"SELECT doc_id, CASE WHEN doc_id % 8 < 6 THEN '''' ELSE '' END || {_LEAD} || text AS cell FROM documents")
-def csv_guard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``csv_guard`` over whole texts."""
-    return _guarded(spark, sf_dir, F.col("text"))
+def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.element_at(F.array(*map(F.lit, ("=", "+", "-", "@", "\t", "\r", "", "x"))), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", cells.guarded_csv(F.concat(lead, "text")).alias("cell"))
 
 
-def _guarded(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
-    lead = F.element_at(F.array(*map(F.lit, ("=", "+", "-", "@", "\t", "\r", "", "x"))), (F.col("doc_id") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", cells.guarded_csv(F.concat(lead, text)).alias("cell"))
+QUERIES["csv_guard_whole"], ORACLE_SQL["csv_guard_whole"] = csv_guard, ORACLE_SQL["csv_guard"]  # its earlier name
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) || ',' || CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN '"a,b ""' || c_name || repeat(chr(34), 3) ELSE '''=' || c_name END
@@ -293,9 +388,12 @@ def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("doc"))
-    back = F.from_json("doc", "role string, text string")
-    return rows.select("conv_id", "turn", back["role"].alias("role"), back["text"].alias("text"))
+    """Documents written as JSON lines and read again."""
+    folder = new_folder(spark, "jsonl")
+    df = table(spark, sf_dir, "conversations")
+    export.write_jsonl(df.select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("doc")), folder, "gzip")
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return _attributes(documents.read_jsonl(spark, folder), f"conv_id {types['conv_id']}, turn {types['turn']}, role string, text string")
 
 
 # RDF
@@ -415,20 +513,10 @@ def rdf_nquads_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rdf_lines.parse_statements(lines, quads=True, ordinal_col="n").select("s_value", "predicate", "o_value", "graph")
 
 
-@query(f"""SELECT 'bnode' AS s_kind, 'd' || doc_id AS s_value, 'literal' AS o_kind, substr(text, 1, 60) AS o_value, CAST(NULL AS VARCHAR) AS o_datatype, lang AS o_language FROM documents
-    UNION ALL SELECT 'iri', '{_B}doc/' || doc_id, 'literal', CAST(n_chars AS VARCHAR), 'http://www.w3.org/2001/XMLSchema#integer', NULL FROM documents""")
-def rdf_ntriples_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_triples(spark, sf_dir, F.substring("text", 1, 60))
-
-
 @query(f"""SELECT 'bnode' AS s_kind, 'd' || doc_id AS s_value, 'literal' AS o_kind, text AS o_value, CAST(NULL AS VARCHAR) AS o_datatype, lang AS o_language FROM documents
     UNION ALL SELECT 'iri', '{_B}doc/' || doc_id, 'literal', CAST(n_chars AS VARCHAR), 'http://www.w3.org/2001/XMLSchema#integer', NULL FROM documents""")
-def rdf_ntriples_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rdf_ntriples_parse`` over whole texts."""
-    return _text_triples(spark, sf_dir, F.col("text"))
-
-
-def _text_triples(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+def rdf_ntriples_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
     for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
     df = table(spark, sf_dir, "documents")
@@ -438,6 +526,9 @@ def _text_triples(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
     return parsed.select("s_kind", "s_value", "o_kind", "o_value", "o_datatype", "o_language")
 
 
+QUERIES["rdf_ntriples_parse_whole"], ORACLE_SQL["rdf_ntriples_parse_whole"] = rdf_ntriples_parse, ORACLE_SQL["rdf_ntriples_parse"]  # its earlier name
+
+
 @query(f"""SELECT '{_B}nation/' || n_nationkey AS s_value, '{_B}in' AS predicate, '{_B}region/' || n_regionkey AS o_value, CAST(NULL AS VARCHAR) AS o_datatype FROM nation
     UNION ALL SELECT '{_B}nation/' || n_nationkey, '{_B}number', CAST(n_nationkey AS VARCHAR), 'http://www.w3.org/2001/XMLSchema#integer' FROM nation""")
 def turtle_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
