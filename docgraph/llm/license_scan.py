@@ -11,6 +11,8 @@ shuffled, whatever the length of a text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,40 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4-notice",
     "licensed under cc by sa 4 0": "cc-by-sa-4-notice",
     "licensed under cc by nc 4 0": "cc-by-nc-4-notice",
+    "apache license version 2 0 january 2004": "apache2-title",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "boost-grant",
+    "distributed under the boost software license version 1 0": "boost-notice",
+    "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "gpl3-preamble",
+    "the licenses for most software are designed to take away your freedom to share and change it": "gpl-freedom",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license": "lgpl3-preamble",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works": "agpl3-preamble",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "mozilla public license version 2 0": "mpl2-title",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-notice",
+    "the contents of this file are subject to the mozilla public license version 1 1": "mpl11-notice",
+    "creative commons attribution 4 0 international public license": "cc-by-4-title",
+    "creative commons attribution sharealike 4 0 international public license": "cc-by-sa-4-title",
+    "creative commons attribution noncommercial 4 0 international public license": "cc-by-nc-4-title",
+    "licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4-notice",
+    "licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4-notice",
+    "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights": "cc0-preamble",
+    "has waived all copyright and related or neighboring rights to": "cc0-notice",
     "all rights reserved": "all-rights-reserved",
     "this work is in the public domain": "public-domain",
 }
@@ -50,22 +86,67 @@ SENTENCES = {
 # Licences by the ordered identifiers that show them, longest first.
 RULES = (
     ("Apache-2.0", ("apache2-notice", "apache2-compliance", "apache2-copy", "apache2-as-is", "apache2-see")),
+    ("Apache-2.0", ("apache2-title",)),
     ("Apache-2.0", ("apache2-notice",)),
     ("MIT", ("mit-grant", "mit-keep", "mit-as-is")),
     ("MIT", ("mit-notice",)),
+    ("AGPL-3.0", ("agpl3-title", "agpl3-preamble")),
+    ("AGPL-3.0-or-later", ("agpl3-later",)),
+    ("LGPL-3.0", ("lgpl3-title", "lgpl3-preamble")),
+    ("LGPL-3.0-or-later", ("lgpl3-later",)),
+    ("LGPL-2.1", ("lgpl21-title", "gpl-freedom")),
+    ("LGPL-2.1-or-later", ("lgpl21-later",)),
+    ("GPL-3.0", ("gpl3-title", "gpl3-preamble")),
+    ("GPL-2.0", ("gpl2-title", "gpl-freedom")),
     ("GPL-3.0-or-later", ("gpl3-later", "gpl-no-warranty", "gpl-details")),
     ("GPL-3.0-or-later", ("gpl3-later",)),
     ("GPL-2.0-or-later", ("gpl2-later",)),
     ("GPL-3.0", ("gpl3-notice",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("MPL-2.0", ("mpl2-notice",)),
+    ("MPL-1.1", ("mpl11-notice",)),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("0BSD", ("0bsd-grant", "isc-as-is")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("Unlicense", ("unlicense",)),
+    ("CC0-1.0", ("cc0-preamble",)),
+    ("CC0-1.0", ("cc0-notice",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-title",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-title",)),
+    ("CC-BY-4.0", ("cc-by-4-title",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",)),
     ("CC-BY-4.0", ("cc-by-4-notice",)),
     ("Public-Domain", ("public-domain",)),
     ("All-Rights-Reserved", ("all-rights-reserved",)),
 )
-IMPLIED = {"BSD-3-Clause": ("BSD-2-Clause",)}
+# What a sequence of identifiers shows besides, and is not reported: a text that quotes the usual notices.
+IMPLIED = {
+    ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"): ("BSD-2-Clause",),
+    ("gpl3-title", "gpl3-preamble"): ("GPL-3.0-or-later",),
+    ("gpl2-title", "gpl-freedom"): ("GPL-2.0-or-later",),
+    ("agpl3-title", "agpl3-preamble"): ("AGPL-3.0-or-later",),
+    ("lgpl21-title", "gpl-freedom"): ("LGPL-2.1-or-later",),
+    ("mpl2-title",): ("MPL-1.1",),
+}
+
+
+def _spdx(names: tuple[str, ...]) -> tuple[dict[str, str], tuple]:
+    """Sentences and rules of the tags ``SPDX-License-Identifier: <name>``, for these names and their usual variants."""
+    tagged = {}
+    for name in dict.fromkeys(names):
+        for given in (name, f"{name}-only") if re.fullmatch("[AL]?GPL-[0-9.]+", name) else (name,):
+            tagged["spdx license identifier " + " ".join(re.findall("[a-z0-9]+", given.lower()))] = (f"spdx-{given.lower()}", given)
+    return {k: i for k, (i, _) in tagged.items()}, tuple((name, (i,)) for i, name in tagged.values())
+
+
+TAGS, TAG_RULES = _spdx(tuple(name for name, _ in RULES if name not in ("Public-Domain", "All-Rights-Reserved")))
+SENTENCES |= TAGS
+RULES += TAG_RULES
 
 CRITICAL = r"(?i)licen[cs]e|copyright|all rights reserved|permission|warrant|redistribut|public domain|as is"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -122,7 +203,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("sequence", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     matched = F.array(*[F.when(F.col("sequence").rlike(rule_pattern(ids)), F.lit(name)) for name, ids in rules])
     rows = rows.withColumn("all", F.array_distinct(F.array_compact(matched)))
-    implied = F.flatten(F.array(*[F.when(F.array_contains("all", name), F.array(*map(F.lit, less))).otherwise(F.array().cast("array<string>")) for name, less in IMPLIED.items()]))
+    none = F.array().cast("array<string>")
+    implied = F.flatten(F.array(*[F.when(F.col("sequence").rlike(rule_pattern(ids)), F.array(*map(F.lit, less))).otherwise(none) for ids, less in IMPLIED.items()]))
     return rows.select(
         "doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_except("all", implied), ",").alias("licenses"),
         F.size("found").cast("long").alias("critical"), F.size(F.filter("within", lambda w: F.size(w) == 0)).cast("long").alias("unknown"),
@@ -134,7 +216,7 @@ def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     keys, values = ", ".join(map(quote, SENTENCES)), ", ".join(map(quote, SENTENCES.values()))
     names = ", ".join(f"CASE WHEN regexp_matches(sequence, {quote(rule_pattern(ids))}) THEN {quote(name)} END" for name, ids in RULES)
-    drop = " ".join(f"WHEN x = {quote(less)} AND list_contains(every, {quote(name)}) THEN false" for name, all_less in IMPLIED.items() for less in all_less)
+    drop = " ".join(f"WHEN x = {quote(less)} AND regexp_matches(sequence, {quote(rule_pattern(ids))}) THEN false" for ids, all_less in IMPLIED.items() for less in all_less)
     critical = quote(CRITICAL)
     return rf"""
         WITH s AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
