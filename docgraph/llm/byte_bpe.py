@@ -4,14 +4,18 @@ A single space always begins a pre-token, and a single line end (or two of them
 before other text) is one of its own, so a text is encoded part by part and
 repeated parts are looked up.  Texts with longer runs of white space are encoded
 in one go, and texts that hold a special token's string go through ``tokenizers``
-itself.
+itself.  So do all texts where the file asks for another normaliser, another cut, or merges in
+an order that its ids do not show.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
+# Fixed value: the pattern that byte-level pre-tokenizing cuts by.
+USUAL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_PARTS = 1_000_000
 LONGEST_PART = 64
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -43,10 +47,11 @@ class ByteBpe:
         }
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.parts: dict[str, bytes] = {}
+        self.usual = _usual(json.loads(self.whole.to_str()), public.PATTERN)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
+        if not self.usual or any(s in text for s in self.special):
             return _packed(self.whole.encode(text, add_special_tokens=False).ids)
         if not _single_spaced(text):
             return _packed(self.fast.encode_ordinary(text))
@@ -63,6 +68,20 @@ class ByteBpe:
         return ids
 
 
+def _usual(settings: dict, pattern: str) -> bool:
+    """Whether a tokenizer works as the fast path does: byte letters, the usual pattern, merges in the order of their ids."""
+    before, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    if settings.get("normalizer") or settings.get("post_processor") or settings.get("truncation") or settings.get("padding"):
+        return False
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or pattern != USUAL_PATTERN:
+        return False
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or any(model.get(k) for k in odd):
+        return False
+    ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    return all(a < b for a, b in zip(ids, ids[1:])) and max(model["vocab"][c] for c in _byte_letters().values()) < min(ids, default=1 << 31)
+
+
 def _single_spaced(text: str) -> bool:
     if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n"):
         return False

@@ -74,3 +74,29 @@ def test_every_id_lies_in_one_piece(spark):
         short += total < 1024
     assert short <= 3  # one for each task
     assert pack_documents(df.limit(0)).count() == 0
+
+
+def test_other_tokenizers_go_through_the_library(tmp_path):
+    import json
+    import random
+    from array import array
+
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    from docgraph.llm.byte_bpe import ByteBpe
+
+    settings = json.loads(Tokenizer.from_file(public.path("byte_bpe_50k.json")).to_str())
+    assert ByteBpe(None).usual
+    r = random.Random(2)
+    texts = ["".join(r.choice(["Word", " the", "  ", "\n", "é", "don't", "42", "ß", " and"]) for _ in range(40)) for _ in range(200)]
+    lower = {**settings, "normalizer": {"type": "Lowercase"}}
+    prefixed = {**settings, "pre_tokenizer": {**settings["pre_tokenizer"], "add_prefix_space": True}}
+    merges = settings["model"]["merges"]
+    turned = {**settings, "model": {**settings["model"], "merges": [*merges[:2000][::-1], *merges[2000:]]}}
+    for k, other in enumerate((lower, prefixed, turned)):
+        path = str(tmp_path / f"{k}.json")
+        (tmp_path / f"{k}.json").write_text(json.dumps(other))
+        fast, library = ByteBpe(path), Tokenizer.from_file(path)
+        assert not fast.usual
+        assert all(array("I", fast.encode(t)).tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
