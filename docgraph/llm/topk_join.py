@@ -38,9 +38,12 @@ def _quantise(scale: float):
                 if values is None or any(v is None for v in values):
                     continue
                 whole = np.floor(np.array(values, np.float64) * scale)
-                if np.isfinite(whole).all() and (np.abs(whole) < 2.0**62).all():
-                    keep.append(i)
-                    vectors.append(whole.astype("<i8").tobytes())
+                if not np.isfinite(np.array(values, np.float64)).all():
+                    continue
+                if not (np.abs(whole) < 2.0**62).all():
+                    raise ValueError(f"a scaled component of {np.abs(whole).max():.3g} is no long, and so no score with it is")
+                keep.append(i)
+                vectors.append(whole.astype("<i8").tobytes())
             at = pa.array(keep, pa.int64())
             columns = [*(batch.column(k).take(at) for k in range(3)), pa.array(vectors, pa.binary()), pa.array([len(v) // 8 for v in vectors], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "query", "v", "dim"])
@@ -108,7 +111,8 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     take no part; a shorter vector counts as filled with zeros; ties go to the smaller
     id (null ids last), then to the earlier row; repeated rows are candidates of each
     other; fewer candidates give fewer ranks; an empty table gives no rows; other
-    columns are not read.  Scores must fit a long.
+    columns are not read.  A finite component that is no long after scaling, or a score
+    that is none, fails the job: no vector is left out for its size.
     """
     spark = df.sparkSession
     source = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(is_query, F.lit(False)).alias("query"), F.col(vector_col).cast("array<double>").alias("v"))

@@ -58,3 +58,14 @@ def test_lowest_hashes(spark):
     got = [r.id for r in lowest_hashes(df, "id", 300, 20000).collect()]
     assert got == [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(300).collect()]
     assert lowest_hashes(df, "id", 30000, 20000).count() == 20000
+
+
+def test_components_beyond_a_long_fail_the_job(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from docgraph.llm.topk_join import exact_top_k
+
+    df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="no long"):
+        exact_top_k(df, F.col("vec_id") == 0).collect()
