@@ -23,14 +23,18 @@ ROW_OVERHEAD = 16
 
 
 def record_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Narrow rows (doc_id, size, text_crc32, virtual_slot), stored once; texts are read a single time."""
+    """Narrow rows (doc_id, size, text_crc32, virtual_slot), stored once; texts are read a single time.
+
+    The row's number salts the slot, so that a row that is repeated very often, or ids that are null, fill no slot; the
+    stored table keeps what was drawn.
+    """
     text = F.col(text_col).cast("string")
     return save(
         df.select(
             F.col(id_col).alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_OVERHEAD).alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-            F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slots)).cast("int").alias("virtual_slot"),
+            F.pmod(F.xxhash64(F.col(id_col), text, F.monotonically_increasing_id()), F.lit(slots)).cast("int").alias("virtual_slot"),
         ),
         "shard-records",
     )
@@ -134,8 +138,10 @@ class SlotMap:
         self.spark, self.path = spark, path or new_path(spark, "slot-map")
 
     def store(self, table: DataFrame) -> DataFrame:
-        table.coalesce(1).write.mode("append").partitionBy("version").parquet(self.path)
-        return self.version(self.newest())
+        """Store the next version; of two writers of one version the second fails, and no version is written over."""
+        number = table.agg(F.max("version")).first()[0]
+        table.where(F.col("version") == number).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/version={number}")
+        return self.version(number)
 
     def newest(self) -> int:
         return self._all().agg(F.max("version")).first()[0]
@@ -169,8 +175,9 @@ def shard_documents(df: DataFrame, shards: int, id_col: str = "doc_id", text_col
     """All rows of ``df`` in shards 0 to ``shards`` - 1 of nearly equal bytes (law ``bytes``).
 
     Defined results: a null text has no bytes beyond the fixed 16 of a row and
-    the checksum of the empty text; a null id is hashed like any value; equal rows
-    share a virtual slot and so a shard, and get places of their own; an empty table
+    the checksum of the empty text; a null id is hashed like any value; equal rows, and the
+    rows of a group of equal texts, are spread over slots and shards like any others (the law asks for
+    equal bytes, and one group may hold a third of them), and get places of their own; an empty table
     gives no rows; other columns are not read.
     """
     records = record_table(df, id_col, text_col, slots)
