@@ -75,3 +75,31 @@ def test_rows_keep_their_columns_and_clashing_names(spark):
     assert out[1].text == "alphomega" and out[2].text == "betpsi"  # "a the same" is common to both
     assert out[2].rid is None and out[2].bytes == 6 and out[None].text == "" and out[None].rid == "y"
     assert remove_repeated(df.limit(0)).columns == df.columns and remove_repeated(df.limit(0)).count() == 0
+
+
+def test_strings_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements hash alike under any polynomial hash modulo 2^64."""
+    import hashlib
+
+    from docgraph.llm.suffix_dedup import repeated_spans
+
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    pad = ["".join(chr(97 + (i * i * k) % 23) for i in range(150)) for k in (3, 5, 7, 11)]
+    texts = [pad[0] + word[:1024] + pad[1], pad[2] + other[:1024] + pad[3], word[:1024], "x" + other]
+    data = [t.encode() for t in texts]
+    seen = {}
+    for d in data:
+        for i in range(len(d) - 199):
+            seen[d[i : i + 200]] = seen.get(d[i : i + 200], 0) + 1
+    want = {}
+    for k, d in enumerate(data):
+        gone = bytearray(len(d))
+        for i in range(len(d) - 199):
+            if seen[d[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        want[k] = hashlib.sha256(bytes(c for c, g in zip(d, gone) if not g)).hexdigest()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.kept_sha256 for r in repeated_spans(df).digests().collect()} == want
