@@ -11,7 +11,8 @@ digest decides equality.
   shuffle once per batch and not once per row.
 * A radix level is a partial aggregation on (group, next bytes), stored, and a
   join back of the groups of two or more.  Both sides of a join are stored tables, so
-  adaptive execution may split a hot prefix or a hot text over many tasks.
+  adaptive execution may split a hot prefix or a hot text over many tasks.  What grows with the
+  corpus is merged and not broadcast, at any size.
 * Every level is written to the shared folder; a lost executor costs one level.
 """
 
@@ -93,7 +94,7 @@ class ExactGroups:
     classes: DataFrame
 
     def _with_class(self) -> DataFrame:
-        return self.representatives.join(self.classes, "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
+        return self.representatives.join(self.classes.hint("merge"), "rid", "left").withColumn("cls", F.coalesce("cls", "rid"))
 
     def _best(self, reps: DataFrame) -> DataFrame:
         best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("row")))
@@ -103,7 +104,7 @@ class ExactGroups:
         """One row per input row: id, keep_id, group_size, kept, text_sha256."""
         reps = self._with_class().select("cls", "rid", "points", "id", "size", "sha", "members")
         best = save(self._best(reps), "exact-best")
-        joined = reps.join(best, "cls").select("best", "group_size", "sha", F.explode("members").alias("m"))
+        joined = reps.join(best.hint("merge"), "cls").select("best", "group_size", "sha", F.explode("members").alias("m"))
         return joined.select(
             F.col("m.id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size",
             (F.col("m.row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"),
@@ -121,7 +122,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = exact_groups(numbered, id_col, text_col, row_col=row)
     kept = save(groups.kept_rows().withColumnRenamed("row", row), "exact-kept")
     discard(groups.representatives, groups.classes)
-    return numbered.join(kept, row, "left_semi").drop(row)
+    return numbered.join(kept.hint("merge"), row, "left_semi").drop(row)
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> ExactGroups:
@@ -168,7 +169,7 @@ def _split(active: DataFrame, width: int) -> DataFrame:
     )
     again = digits.groupBy("grp", "digit").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1").drop("n")
     again = save(again, f"exact-again-{width}")
-    split = digits.join(again, ["grp", "digit"]).select(
+    split = digits.join(again.hint("merge"), ["grp", "digit"]).select(
         "rid", F.col("first").alias("grp"), F.when(~F.col("done"), F.col("rest")).alias("rest"), "done"
     )
     level = save(split, f"exact-level-{width}")
