@@ -11,7 +11,7 @@ document's evidence is the sum of their -ln E, turned into a probability by a
 logistic curve fitted on the labelled documents.
 
 Bounds (documented parameters): at most ``MAX_LABELLED`` labelled rows are used for fitting,
-taken in hash order, and the model keeps at most ``MAX_TOKENS`` tokens.  Corpus
+taken in hash order (their evidence reaches the driver as counts by step), and the model keeps at most ``MAX_TOKENS`` tokens.  Corpus
 counts and scores cover every document.
 """
 
@@ -36,6 +36,7 @@ from .shared import bounded, discard, lowest_hashes, save
 
 MAX_LABELLED = 200_000
 MAX_TOKENS = 50_000
+EVIDENCE_STEPS = 1000  # for each unit of the logarithm of the evidence, in the logistic fit
 COUNTED_TOKENS = 200_000  # held by a task before it passes its counts on
 DRIFT = -0.25
 LEAST_ODDS = 1.0
@@ -169,7 +170,7 @@ def _known_counts(known: frozenset[str]):
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on labelled rows of the training folds only.
 
-    Null labels are ignored; of repeated labels of an id the largest holds, and of repeated documents of an id the least text.
+    Null labels are ignored; of repeated labels of an id the largest holds; repeated documents of an id count as often as they are there.
     Without both toxic and clean rows the model finds no segments, and its scores
     are the share of toxic rows (0 if there are no labels).
     """
@@ -177,8 +178,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     usable = save(usable.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__toxic")), "usable-labels")
     sample = lowest_hashes(usable, id_col, MAX_LABELLED, usable.count())
     texts = documents.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    train = texts.join(F.broadcast(save(sample, "label-sample")), id_col).groupBy(id_col).agg(F.min("__text").alias("__text"), F.max((F.col("__toxic") > 0).cast("int")).alias("__toxic"))
-    train = train.select("__text", "__toxic")  # one row for each labelled id, however often the table repeats it
+    train = texts.join(F.broadcast(save(sample, "label-sample")), id_col).select("__text", (F.col("__toxic") > 0).cast("int").alias("__toxic"))
     train = save(train.mapInArrow(_copy_keys, "__text string, __toxic int, __key string"), "labelled")
     single = save(train.groupBy("__key", "__toxic").agg(F.min("__text").alias("__text")).select("__text", "__toxic"), "labelled-once")
     shares = dict(single.groupBy("__toxic").count().collect())
@@ -215,8 +215,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     evidence = save(_segment_table(train, model), "segments")
     null = evidence.where("toxic = 0").agg(F.sum("segments"), F.sum("words")).first()
     model.rate = ((null[0] or 0) + 0.5) / max(1, null[1] or 1)
-    pairs = np.array([tuple(r) for r in _evidence_table(train, model).collect()], float)  # at most MAX_LABELLED rows
-    model.slope, model.intercept = _logistic(np.log1p(pairs[:, 0]), pairs[:, 1])
+    steps = _evidence_table(train, model).withColumn("x", F.round(F.log1p("evidence") * EVIDENCE_STEPS) / EVIDENCE_STEPS)
+    pairs = steps.groupBy("x", "toxic").count().toPandas().to_numpy(float)  # a row for each step and label, however many documents
+    model.slope, model.intercept = _logistic(pairs[:, 0], pairs[:, 1], pairs[:, 2])
     discard(usable, train, single, counts, evidence)
     return model
 
@@ -272,14 +273,16 @@ def _evidence_table(train: DataFrame, model: ToxicityModel) -> DataFrame:
     return train.mapInArrow(run, "evidence double, toxic int")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
-    """Slope (not negative) and intercept by Newton's method with a small ridge."""
-    scale = max(float(np.std(x)), 1e-9)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
+    """Slope (not negative) and intercept by Newton's method with a small ridge; a row counts ``weight`` times."""
+    share = weight / weight.sum()
+    spread = math.sqrt(max(0.0, float(share @ x**2 - (share @ x) ** 2)))
+    scale = max(spread, 1e-9)
     design, w = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (y - p) / len(y) - ridge * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design / len(y) + ridge * np.eye(2)
+        gradient = design.T @ (share * (y - p)) - ridge * w
+        hessian = (design * (share * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
