@@ -8,8 +8,9 @@ Strings that share a trigger position follow each other; the bytes they cover ar
 one phrase.  Phrases overlap by ``length - 1`` bytes, and every string starts in
 exactly one of them.
 
-* The dictionary is the set of distinct phrases, told apart by a 128-bit BLAKE2 digest of
-  their bytes; no polynomial hash, for which equal-hashing strings are known, decides.  A phrase that occurs twice
+* The dictionary is the set of distinct phrases of a trigger, told apart by 64-bit BLAKE2 digests of
+  their bytes under a key drawn for each run; a polynomial hash, for which equal-hashing strings
+  are known, decides nothing.  A phrase that occurs twice
   in the parse repeats all of its strings; a phrase whose trigger no other
   phrase has repeats none.  Counts decide these, without any text moved.
 * The rest are few: distinct phrases that share a trigger.  Their suffixes from the
@@ -25,6 +26,7 @@ Texts are stored once, bucketed by row; later joins on the row move only spans.
 from __future__ import annotations
 
 import hashlib
+import secrets
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -97,15 +99,16 @@ def _window_least(values: np.ndarray, width: int) -> np.ndarray:
 class Parser:
     """Phrases of texts: trigger digest, phrase digest, first string, number of strings, trigger's distance."""
 
-    def __init__(self, length: int = LENGTH):
+    def __init__(self, length: int = LENGTH, key: bytes = b""):
+        self.key = key
         self.length, self.trigger = length, min(TRIGGER, max(1, length // 4))
         self.a = _Rolling(_BASE)
 
     def parse(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text number, trigger, digest (two words), first, strings, distance) of all phrases of ``texts``."""
+        """(text number, trigger, digest, first, strings, distance) of all phrases of ``texts``."""
         size = len(b"".join(texts))
         if size < self.length:
-            return tuple(np.zeros(0, k) for k in (np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+            return tuple(np.zeros(0, k) for k in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
         data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begins = np.cumsum(sizes) - sizes
@@ -128,23 +131,22 @@ class Parser:
         end = low + strings - 1 + self.length
         whole, short = data.tobytes(), (spot - low).astype("<u2").tobytes()
         digests = b"".join(
-            hashlib.blake2b(whole[x:y], digest_size=16, salt=short[2 * k : 2 * k + 2]).digest() for k, (x, y) in enumerate(zip(low.tolist(), end.tolist()))
+            hashlib.blake2b(whole[x:y], digest_size=8, key=self.key, salt=short[2 * k : 2 * k + 2]).digest() for k, (x, y) in enumerate(zip(low.tolist(), end.tolist()))
         )
-        digest = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-        return owner[first], grams[spot], digest[:, 0], digest[:, 1], within[first], strings, spot - low
+        return owner[first], grams[spot], np.frombuffer(digests, np.uint64), within[first], strings, spot - low
 
 
-def _phrases(length: int):
-    names = ["rid", "trig", "digest", "digest2", "lo", "n", "dist"]
+def _phrases(length: int, key: bytes = b""):
+    names = ["rid", "trig", "digest", "lo", "n", "dist"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(length)
+        parser = Parser(length, key)
 
         def block(rids: list[int], shifts: list[int], texts: list[bytes]) -> pa.RecordBatch:
-            owner, trig, digest, digest2, low, strings, distance = parser.parse(texts)
+            owner, trig, digest, low, strings, distance = parser.parse(texts)
             rows = np.array(rids, np.int64)[owner]
             low = low + np.array(shifts, np.int64)[owner]
-            columns = [rows, trig.view(np.int64), np.ascontiguousarray(digest).view(np.int64), np.ascontiguousarray(digest2).view(np.int64), low, strings.astype(np.int32), distance.astype(np.int32)]
+            columns = [rows, trig.view(np.int64), digest.view(np.int64), low, strings.astype(np.int32), distance.astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         for batch in batches:
@@ -171,7 +173,7 @@ def _phrases(length: int):
             if whole:
                 size, none = len(whole), pa.nulls(len(whole), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for r, _ in whole], pa.int64()), none, none, none, pa.array([0] * size, pa.int64()), pa.array([n for _, n in whole], pa.int32()), pa.array([0] * size, pa.int32())],
+                    [pa.array([r for r, _ in whole], pa.int64()), none, none, pa.array([0] * size, pa.int64()), pa.array([n for _, n in whole], pa.int32()), pa.array([0] * size, pa.int32())],
                     names=names,
                 )
 
@@ -346,19 +348,19 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     texts = _stored_texts(df, id_col, text_col, payload)
     phrases = save(
-        texts.select("rid", "bytes").mapInArrow(_phrases(length), "rid long, trig long, digest long, digest2 long, lo long, n int, dist int"), "phrases"
+        texts.select("rid", "bytes").mapInArrow(_phrases(length, secrets.token_bytes(32)), "rid long, trig long, digest long, lo long, n int, dist int"), "phrases"
     )
     copies = save(
         phrases.where("trig IS NULL").select("rid", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last")), "copies"
     )
     parse = phrases.where("trig IS NOT NULL")
-    dictionary = parse.groupBy("trig", "digest", "digest2").agg(F.count("*").alias("times"), F.min("rid").alias("rep"))
+    dictionary = parse.groupBy("trig", "digest").agg(F.count("*").alias("times"), F.min("rid").alias("rep"))
     per_trigger = dictionary.groupBy("trig").agg(F.count("*").alias("distinct_phrases"), F.max("times").alias("most"))
     per_trigger = per_trigger.where("distinct_phrases > 1 OR most > 1").drop("most")
     entries = save(dictionary.join(per_trigger, "trig"), "dictionary")
 
     seen = save(
-        parse.join(entries, ["trig", "digest", "digest2"]).select(
+        parse.join(entries, ["trig", "digest"]).select(
             "rid", "lo", "n", "dist", "trig", "distinct_phrases", (F.col("times") == 1).alias("once"), (F.col("rep") == F.col("rid")).alias("is_rep")
         ),
         "parse",
