@@ -12,7 +12,9 @@ exactly one of them.
   their bytes under a key drawn for each run; a polynomial hash, for which equal-hashing strings
   are known, decides nothing.  A phrase that occurs twice
   in the parse repeats all of its strings; a phrase whose trigger no other
-  phrase has repeats none.  Counts decide these, without any text moved.
+  phrase has repeats none.  Counts decide these, without any text moved.  Of a phrase's
+  places in one block of texts, two stand for all: the others are repeated whatever
+  the rest of the corpus holds, and leave as spans (a run of one letter is one span).
 * The rest are few: distinct phrases that share a trigger.  Their suffixes from the
   trigger on and their reversed prefixes are sorted, with common-prefix lengths;
   the two orders together place every string of the bucket in corpus order, and
@@ -136,18 +138,38 @@ class Parser:
         return owner[first], grams[spot], np.frombuffer(digests, np.uint64), within[first], strings, spot - low
 
 
+def _beyond_two(trig: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Whether a phrase has stood at two places before."""
+    order = np.lexsort((trig, digest))
+    same = (trig[order[1:]] == trig[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
+    beyond = np.zeros(len(trig), bool)
+    beyond[order[2:]] = same[1:] & same[:-1]
+    return beyond
+
+
 def _phrases(length: int, key: bytes = b""):
+    """Rows of texts to phrases; a row without a trigger is a span of ``n`` strings that are known to be repeated."""
     names = ["rid", "trig", "digest", "lo", "n", "dist"]
 
+    def known(rows: np.ndarray, low: np.ndarray, strings: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(rows), none, none, pa.array(low), pa.array(strings.astype(np.int32)), pa.array(np.zeros(len(rows), np.int32))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(length, key)
 
-        def block(rids: list[int], shifts: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        def block(rids: list[int], shifts: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             owner, trig, digest, low, strings, distance = parser.parse(texts)
             rows = np.array(rids, np.int64)[owner]
             low = low + np.array(shifts, np.int64)[owner]
+            beyond = _beyond_two(trig, digest)
             columns = [rows, trig.view(np.int64), digest.view(np.int64), low, strings.astype(np.int32), distance.astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[~beyond]) for c in columns], names=names)
+            rows, low, stop = rows[beyond], low[beyond], (low + strings)[beyond]
+            if len(rows):
+                first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (low[1:] != stop[:-1])))
+                last = np.append(first[1:], len(rows)) - 1
+                yield known(rows[first], low[first], stop[last] - low[first])
 
         for batch in batches:
             rids, shifts, texts, total = [], [], [], 0
@@ -166,16 +188,13 @@ def _phrases(length: int, key: bytes = b""):
                     texts.append(text[shift : shift + LONGEST_CHUNK + length - 1])
                     total += len(texts[-1])
                     if total >= BLOCK_BYTES:
-                        yield block(rids, shifts, texts)
+                        yield from block(rids, shifts, texts)
                         rids, shifts, texts, total = [], [], [], 0
             if texts:
-                yield block(rids, shifts, texts)
+                yield from block(rids, shifts, texts)
             if whole:
-                size, none = len(whole), pa.nulls(len(whole), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for r, _ in whole], pa.int64()), none, none, pa.array([0] * size, pa.int64()), pa.array([n for _, n in whole], pa.int32()), pa.array([0] * size, pa.int32())],
-                    names=names,
-                )
+                rows, strings = np.array(whole, np.int64).T
+                yield known(rows, np.zeros(len(rows), np.int64), strings)
 
     return run
 
@@ -350,13 +369,12 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     phrases = save(
         texts.select("rid", "bytes").mapInArrow(_phrases(length, secrets.token_bytes(32)), "rid long, trig long, digest long, lo long, n int, dist int"), "phrases"
     )
-    copies = save(
-        phrases.where("trig IS NULL").select("rid", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last")), "copies"
-    )
+    known = save(phrases.where("trig IS NULL").select("rid", F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last")), "known-spans")
     parse = phrases.where("trig IS NOT NULL")
     dictionary = parse.groupBy("trig", "digest").agg(F.count("*").alias("times"), F.min("rid").alias("rep"))
     per_trigger = dictionary.groupBy("trig").agg(F.count("*").alias("distinct_phrases"), F.max("times").alias("most"))
-    per_trigger = per_trigger.where("distinct_phrases > 1 OR most > 1").drop("most")
+    # Stored, so that the join has plain exchanges on both sides and a trigger of very many phrases may be split.
+    per_trigger = save(per_trigger.where("distinct_phrases > 1 OR most > 1").drop("most"), "triggers")
     entries = save(dictionary.join(per_trigger, "trig"), "dictionary")
 
     seen = save(
@@ -365,7 +383,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "parse",
     )
-    discard(phrases, entries)
+    discard(phrases, per_trigger, entries)
     full = seen.where("not once").select("rid", F.col("lo").alias("first"), (F.col("lo") + F.col("n") - 1).alias("last"))
     open_phrases = seen.where("distinct_phrases > 1 AND is_rep").select("rid", "lo", "n", "dist", "trig", "once", (F.col("distinct_phrases") > HOT_BUCKET).alias("hot"))
     with_bytes = save(
@@ -376,14 +394,14 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = with_bytes.where("not hot").drop("hot").repartition(parts, "trig").sortWithinPartitions("trig")
-    spans = copies.unionByName(full).unionByName(small.mapInArrow(_suffix_order(length), "rid long, first long, last long"))
+    spans = known.unionByName(full).unionByName(small.mapInArrow(_suffix_order(length), "rid long, first long, last long"))
     if not with_bytes.where("hot").isEmpty():
         strings = with_bytes.where("hot").select("rid", "once", "lo", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
         strings = strings.select("rid", "once", (F.col("lo") + F.col("i")).alias("first"), F.expr(f"substring(bytes, i + 1, {length})").alias("string"))
         twice = strings.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").select("string")
         spans = spans.unionByName(strings.where("once").join(twice, "string").select("rid", "first", F.col("first").alias("last")))
     spans = save(spans, "repeated-spans")
-    discard(copies, seen, with_bytes)
+    discard(known, seen, with_bytes)
     return RepeatedSpans(texts, spans, length)
 
 

@@ -103,3 +103,47 @@ def test_strings_that_polynomial_hashes_confuse(spark):
         want[k] = hashlib.sha256(bytes(c for c, g in zip(d, gone) if not g)).hexdigest()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     assert {r.doc_id: r.kept_sha256 for r in repeated_spans(df).digests().collect()} == want
+
+
+def test_runs_of_one_letter_and_of_a_row(spark):
+    """Every byte of a run opens a phrase of its own; the block keeps two of each and one span for the others."""
+    row = "".join(chr(97 + (i * i) % 19) for i in range(50))
+    check(spark, ["a" * 9000, "b" + "a" * 5000 + "c", "x" * 30 + "a" * 180, "a" * 39, row * 60, "q" + row * 40, row + "a" * 200], 200)
+    check(spark, ["a" * 900, "b" + "a" * 500 + "c", "x" * 30 + "a" * 38, row * 9, "q" + row * 7, row + "a" * 41], 40)
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"rid": [1, 2], "bytes": [b"a" * 1_000_000, b"b" + row.encode() * 20_000]})
+    out = list(suffix_dedup._phrases(200)(iter([rows])))
+    assert sum(b.num_rows for b in out) < 1000
+    assert sum(sum(b.column("n").to_pylist()) for b in out) == 1_000_000 - 199 + 1_000_001 - 199
+
+
+def test_the_join_of_a_hot_trigger_is_split(spark, monkeypatch):
+    """One passage of 40 bytes in many texts: its trigger has as many distinct phrases."""
+    r = random.Random(3)
+    passage = "the one passage that all these texts do hold"
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = [word(20) + passage + word(20) for _ in range(6000)] + [word(90) for _ in range(600)]
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    plans, save = [], suffix_dedup.save
+
+    def noted(df, name):
+        if name == "dictionary":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "save", noted)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        check(spark, texts, 40)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plans[0]
