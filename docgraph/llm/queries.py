@@ -100,25 +100,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op7_license_rules": license_scan.oracle(),
     "op10_temporal_url_filter": url_filter.oracle(),
-    "op13_phrase_collocations": r"""
-        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
-        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
-        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM w, (VALUES (1), (2), (3), (4)) AS s(k)),
-        f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL),
-        c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
-        cuts AS (SELECT c.lang, c.g, c.a, s.k, x.a AS l, y.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
-                 FROM c JOIN (VALUES (1), (2), (3)) AS s(k) ON s.k < c.k
-                 JOIN f x ON x.lang = c.lang AND x.g = c.g[1:s.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[s.k + 1:]),
-        worst AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM cuts),
-        inside AS (SELECT c.lang, c.a, c.g[i:i + m - 1] AS g FROM c, (VALUES (1), (2), (3)) AS b(i), (VALUES (2), (3)) AS z(m) WHERE m < c.k AND i + m - 1 <= c.k),
-        around AS (SELECT lang, g, max(a) AS outer_a FROM inside GROUP BY ALL),
-        n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-        r AS (SELECT w.lang, array_to_string(w.g, ' ') AS phrase, w.a, w.l, w.r, w.score,
-                     row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, array_to_string(w.g, ' ')) AS rank
-              FROM worst w LEFT JOIN around o ON o.lang = w.lang AND o.g = w.g
-              WHERE w.place = 1 AND (o.outer_a IS NULL OR 100 * CAST(o.outer_a AS HUGEINT) < 80 * CAST(w.a AS HUGEINT)))
-        SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score FROM r JOIN n ON n.lang = r.lang WHERE r.rank <= 2000""",
     "op5_msd_radix_exact_dedup": r"""
         WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents),
         r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY k) AS group_size
