@@ -47,12 +47,28 @@ class ByteBpe:
         }
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.parts: dict[str, bytes] = {}
+        self.plain = None
+        self.bytes_of = {i: piece for piece, i in ranks.items()}
         self.usual = _usual(json.loads(self.whole.to_str()), public.PATTERN)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
         if not self.usual or any(s in text for s in self.special):
             return _packed(self.whole.encode(text, add_special_tokens=False).ids)
+        return self._by_parts(text)
+
+    def encode_plain(self, text: str) -> bytes:
+        """The ids of ``text``, in which the strings of special tokens are ordinary text."""
+        if self.usual:
+            return self._by_parts(text)
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_str(self.whole.to_str())
+            self.plain.encode_special_tokens = True
+        return _packed(self.plain.encode(text, add_special_tokens=False).ids)
+
+    def _by_parts(self, text: str) -> bytes:
         if not _single_spaced(text):
             return _packed(self.fast.encode_ordinary(text))
         first, *rest = text.replace("\n", " \n").split(" ")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_scan, url_filter
+from .alignment import alignment_counts
 from .exact_dedup import exact_groups
+from .minhash import minhash_components
 from .packing import pack_documents
 from .phrases import collocations
 from .piece_lattice import encoding_digests
@@ -62,6 +64,14 @@ def op10_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(captures, url_filter.page_list(spark, captures))
 
 
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(documents(spark, sf_dir))
+
+
+def op12_byte_label_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_counts(documents(spark, sf_dir))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
@@ -85,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_piece_lattice,
         op9_prefix_free_suffix_dedup,
         op10_temporal_url_filter,
+        op11_circulant_minhash,
+        op12_byte_label_alignment,
         op13_phrase_collocations,
         pipeline,
     )
