@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import cells
 from ..options import OptionError
+from ..scratch import discard, stored
 from .batching import PART_BYTES, assign_parts
 
 FORMATS = {"jsonl": "jsonl", "json": "json", "csv": "csv"}
@@ -79,9 +80,10 @@ def write_single(df: DataFrame, path: str, kind: str = "jsonl", order: str = "or
     """
     if codec == "zstd":
         raise OptionError("a single object is written plain or with gzip; parts can be zstd")
-    rows = csv_lines(df, fields or [], order=order) if kind == "csv" else df.select(order, "doc")
+    rows = stored(csv_lines(df, fields or [], order=order) if kind == "csv" else df.select(order, "doc"), "export")
     spark, first = df.sparkSession, rows.agg(F.min(order)).first()[0]
     if first is None:
+        discard(rows)
         put(spark, path, part_bytes_of([], kind, fields, codec))
         return head(spark, path)
     opening = _frame(kind, fields)[0]
@@ -97,6 +99,7 @@ def write_single(df: DataFrame, path: str, kind: str = "jsonl", order: str = "or
     system.delete(target, True)
     system.rename(_system(spark, f"{staged}/{name}")[1], target)
     system.delete(_system(spark, staged)[1], True)
+    discard(rows)
     return head(spark, path)
 
 

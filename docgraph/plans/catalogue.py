@@ -327,9 +327,9 @@ def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.assign_batches(_customer_docs(spark, sf_dir), max_bytes=4000, max_docs=50).select("ordinal", "batch_index")
 
 
-@query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 700 + 1 AS batch_index FROM events")
+@query("SELECT event_id, props, (row_number() OVER (ORDER BY event_id) - 1) // 700 + 1 AS batch_index FROM events")
 def batch_docs_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batching.docs_only_batches(table(spark, sf_dir, "events").select("event_id"), "event_id", 700)
+    return batching.docs_only_batches(table(spark, sf_dir, "events").select("event_id", "props"), "event_id", 700)
 
 
 @query(f"""WITH RECURSIVE x AS (SELECT c_custkey AS ordinal, row_number() OVER (ORDER BY c_custkey) AS rn, octet_length(encode({_DOC})) + 1 AS n FROM customer),
@@ -352,7 +352,7 @@ def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.get_json_object("doc", "$.key").cast("long").alias("key"), "part", F.col("ordinal").alias("place"))
 
 
-@query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 700 + 1 AS batch_index FROM events QUALIFY batch_index > 2")
+@query("SELECT event_id, props, (row_number() OVER (ORDER BY event_id) - 1) // 700 + 1 AS batch_index FROM events QUALIFY batch_index > 2")
 def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.skip_committed(batch_docs_cap(spark, sf_dir), 2)
 

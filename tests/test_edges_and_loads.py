@@ -1,5 +1,6 @@
 import itertools
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import Observation
@@ -41,10 +42,17 @@ def test_json_documents(spark):
     assert got == ["present", "_to: edge document is missing '_to'", "skip", "_from: must be a string", "is not an object", "is not an object", "_to: is not a fully-qualified document id"]
 
 
+def one_range(rule, lengths, first):
+    """Labels of rows that are one range, from a fresh start."""
+    n = len(lengths)
+    rows = pa.table({"__range": [0] * n, "__place": list(range(n)), "__length": list(lengths), "__start": [False] * n})
+    state = pa.table({"size": [rule.framing], "docs": [0], "cuts": [first]})
+    return batching._label(rule)((0,), rows, state)["__label"].to_pylist()
+
+
 def test_import_batches(spark):
     def indices(lengths, **limits):
-        cutter = batching.ImportBatches(**limits)
-        return [cutter.place(n) for n in lengths]
+        return one_range(batching.import_batches(**limits), lengths, 1)
 
     assert indices([7, 7, 7], max_bytes=1000, max_docs=2) == [1, 1, 2]
     assert indices([7, 7, 7], max_bytes=10, max_docs=100) == [1, 2, 3]
@@ -60,8 +68,7 @@ def test_import_batches(spark):
 
 
 def test_export_parts_cut_after_the_threshold():
-    cutter = batching.ExportParts(10, framing=2)
-    assert [cutter.place(n) for n in (3, 3, 20, 1, 1, 1)] == [0, 0, 1, 2, 2, 2]
+    assert one_range(batching.export_parts(10, framing=2), (3, 3, 20, 1, 1, 1), 0) == [0, 0, 1, 2, 2, 2]
 
 
 def test_streams_are_cut_apart(spark):
