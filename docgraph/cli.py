@@ -144,6 +144,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--exclude")
     c.add_argument("--include-system", action="store_true")
     c.add_argument("--all-databases", action="store_true")
+    c.add_argument("--lease-seconds", type=float, default=600.0, help="after which the snapshot of a dump that died is given up")
     c.add_argument("--overwrite", action="store_true")
     c.add_argument("--compression", choices=("gzip", "zstd"))
     c = commands.add_parser("restore")
@@ -178,7 +179,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.command == "dump":
         names = listed(spark, spark_path(a.catalog)) if a.all_databases else [a.database]
         databases = [Database(spark, spark_path(a.catalog), n) for n in names]
-        manifest = dumps.dump(databases, spark_path(a.output), a.overwrite, a.all_databases, include=a.include, exclude=a.exclude, include_system=a.include_system, codec=a.compression)
+        manifest = dumps.dump(databases, spark_path(a.output), a.overwrite, a.all_databases, include=a.include, exclude=a.exclude, include_system=a.include_system, codec=a.compression, lease_seconds=a.lease_seconds)
         return {"artifacts": len(manifest["artifacts"])}
     if a.command == "restore":
         return {"restored": dumps.restore(spark, spark_path(a.catalog), spark_path(a.input), a.database, a.checkpoint)}

@@ -9,20 +9,25 @@ collection copies only its buckets.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import threading
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import OptionError, parse_edge_definition
-from .export import delete, get, listed, put
+from .export import delete, get, listed, publish
 from .upsert import load_counts, patched_documents, upsert
 
 KINDS = {"document": 2, "edge": 3}
 SCHEMAS = {"document": "_key string, doc string", "edge": "_key string, _from string, _to string, doc string"}
 BUCKETS = 8
+LEASE_SECONDS = 600.0
 NAME = re.compile(r"[A-Za-z0-9_-]{1,256}")
 
 
@@ -38,10 +43,27 @@ class Database:
     # Metadata
 
     def _read(self) -> tuple[int, dict]:
-        numbers = [int(n[:-5]) for n in listed(self.spark, f"{self.folder}/log") if n.endswith(".json")]
-        if not numbers:
-            return 0, {"collections": {}, "views": {}, "graphs": {}}
-        return max(numbers), json.loads(get(self.spark, self._log(max(numbers))))
+        """(highest number, newest metadata that can be read): an entry that is cut or empty counts for nothing."""
+        for _ in range(10):
+            numbers = sorted((int(n[:-5]) for n in listed(self.spark, f"{self.folder}/log") if n.endswith(".json")), reverse=True)
+            if not numbers:
+                return 0, {"collections": {}, "views": {}, "graphs": {}}
+            for number in numbers:
+                meta = self._entry_of_log(number)
+                if meta is not None:
+                    return numbers[0], meta
+        raise CatalogError(f"the log of database '{self.name}' has no entry that can be read")
+
+    def _entry_of_log(self, number: int) -> dict | None:
+        try:
+            entry = json.loads(get(self.spark, self._log(number)))
+        except (ValueError, Py4JJavaError):  # torn, or deleted since the log was listed
+            return None
+        if not isinstance(entry, dict):
+            return None
+        if "meta" not in entry:
+            return entry if "collections" in entry else None
+        return entry["meta"] if entry.get("sha256") == _sum(entry["meta"]) else None
 
     def _meta(self) -> dict:
         return self._read()[1]
@@ -50,16 +72,42 @@ class Database:
         return f"{self.folder}/log/{number:012d}.json"
 
     def _change(self, edit) -> dict:
-        """Read, ``edit`` in place and store as the next number; again from the start if another writer was first."""
+        """Read, ``edit`` in place and publish as the next number; again from the start if another writer was first."""
         for _ in range(100):
             number, meta = self._read()
             edit(meta)
-            if put(self.spark, self._log(number + 1), json.dumps(meta, indent=2, sort_keys=True).encode(), overwrite=False):
+            entry = json.dumps({"meta": meta, "sha256": _sum(meta)}, indent=2, sort_keys=True)
+            if publish(self.spark, self._log(number + 1), entry.encode()):
                 if number > 20:
                     delete(self.spark, self._log(number - 20))
                 return meta
         raise CatalogError("the catalog is being changed by others all the time")
 
+    # Leases
+
+    def lease(self, seconds: float = LEASE_SECONDS) -> "Lease":
+        """A snapshot of all collections, whose files stay until it is released or has not been renewed for ``seconds``."""
+        lease = Lease(self, uuid.uuid4().hex, seconds)
+        lease.meta = self._change(lease._hold)
+        return lease
+
+    def _held(self, meta: dict) -> set[tuple[str, str, str]]:
+        """(collection, folder, bucket) of what leases hold; those that have expired are dropped from ``meta``."""
+        now = time.time()
+        meta["leases"] = {k: v for k, v in meta.get("leases", {}).items() if v["until"] > now}
+        return {(name, folder, bucket) for v in meta["leases"].values() for name, folders in v["folders"].items() for folder, bucket in folders}
+
+    def _freed(self, meta: dict) -> list[list[str]]:
+        """What was dropped and is held no more; it leaves ``meta``, and is to be deleted once that is published."""
+        held = self._held(meta)
+        dropped = meta.get("dropped", [])
+        meta["dropped"] = [x for x in dropped if tuple(x) in held]
+        return [x for x in dropped if tuple(x) not in held]
+
+    def _delete(self, pieces: list) -> None:
+        for name, folder, bucket in pieces:
+            delete(self.spark, f"{self.folder}/{name}/{folder}/bucket={bucket}")
+
     def create(self) -> None:
         """Idempotent."""
         if not self._read()[0]:
@@ -84,8 +132,19 @@ class Database:
             self._change(edit)
 
     def drop_collection(self, name: str) -> None:
-        self._change(lambda meta: meta["collections"].pop(_checked(name), None))
-        delete(self.spark, f"{self.folder}/{name}")
+        """Idempotent; files that a lease holds go when it ends."""
+        freed: list = []
+
+        def edit(meta: dict) -> None:
+            entry = meta["collections"].pop(_checked(name), None)
+            if entry:
+                meta.setdefault("dropped", []).extend([name, f, k] for f, k in [*_pieces(entry), *entry["retired"]])
+            freed[:] = self._freed(meta)
+
+        meta = self._change(edit)
+        self._delete(freed)
+        if name not in meta["collections"] and not any(x[0] == name for x in meta["dropped"]):
+            delete(self.spark, f"{self.folder}/{name}")
 
     def create_index(self, name: str, definition: dict) -> None:
         self._entry(name)
@@ -162,9 +221,14 @@ class Database:
             old = now["folders"]
             fresh = {} if overwrite else dict(old)
             fresh |= {k: folder for k in touched}
-            now["retired"] = [[f, k] for k, f in old.items() if fresh.get(k) != f]  # readers may still have them open
+            held = self._held(meta)
+            retired = [tuple(x) for x in now["retired"]]
+            freed[:] = [*self._freed(meta), *([name, *x] for x in retired if (name, *x) not in held)]
+            # Readers may still have open what this load replaces; the next one deletes it, if no lease holds it.
+            now["retired"] = [list(x) for x in retired if (name, *x) in held] + [[f, k] for k, f in old.items() if fresh.get(k) != f]
             now["version"], now["folders"] = entry["version"] + 1, fresh
 
+        freed: list = []
         try:
             self._change(publish)
         except CatalogError:
@@ -172,8 +236,7 @@ class Database:
             raise
         finally:
             delete(self.spark, staged)
-        for old_folder, bucket in entry["retired"]:  # by the load before this one
-            delete(self.spark, f"{self.folder}/{name}/{old_folder}/bucket={bucket}")
+        self._delete(freed)
         return counts
 
     def inventory(self, include_system: bool = False, include: str | None = None, exclude: str | None = None, meta: dict | None = None) -> DataFrame:
@@ -224,6 +287,60 @@ class Database:
                 self.drop_collection(c)
 
 
+class Lease:
+    """A snapshot whose files no load deletes.  Renew it while it is in use, and release it afterwards."""
+
+    def __init__(self, db: Database, id: str, seconds: float):
+        self.db, self.id, self.seconds, self.meta, self._done = db, id, seconds, {}, threading.Event()
+
+    def _hold(self, meta: dict) -> None:
+        self.db._held(meta)
+        known = meta["leases"].get(self.id, {}).get("folders")
+        folders = known or {name: [list(x) for x in _pieces(e)] for name, e in meta["collections"].items()}
+        meta["leases"][self.id] = {"until": time.time() + self.seconds, "folders": folders}
+
+    def renew(self) -> None:
+        def edit(meta: dict) -> None:
+            if self.id not in meta.get("leases", {}):
+                raise CatalogError("the lease has expired")
+            self._hold(meta)
+
+        self.db._change(edit)
+
+    def release(self) -> None:
+        """Idempotent."""
+        self._done.set()
+        freed: list = []
+
+        def edit(meta: dict) -> None:
+            meta.setdefault("leases", {}).pop(self.id, None)
+            freed[:] = self.db._freed(meta)
+
+        self.db._change(edit)
+        self.db._delete(freed)
+
+    def __enter__(self) -> "Lease":
+        """Renews itself until it is released."""
+
+        def keep() -> None:
+            while not self._done.wait(self.seconds / 3):
+                self.renew()
+
+        threading.Thread(target=keep, daemon=True).start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+def _pieces(entry: dict) -> list[tuple[str, str]]:
+    return [(folder, bucket) for bucket, folder in entry["folders"].items()]
+
+
+def _sum(meta: dict) -> str:
+    return hashlib.sha256(json.dumps(meta, sort_keys=True).encode()).hexdigest()
+
+
 def _bucket(count: int) -> Column:
     return F.pmod(F.xxhash64("_key"), F.lit(count)).cast("int")
 

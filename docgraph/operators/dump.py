@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from contextlib import ExitStack
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import json_string
-from .catalog import Database, complete_views
+from .catalog import LEASE_SECONDS, Database, complete_views
 from .export import MANIFEST_VERSION, delete, encode_parts, exists, get, put, read_parts, relative, store_parts
 
 MARKER = 2300
@@ -88,18 +89,20 @@ def _stored(parts: DataFrame, folder: str) -> list[dict]:
     ]
 
 
-def dump(databases: list[Database], folder: str, overwrite: bool = False, all_databases: bool = False, **filters) -> dict:
+def dump(databases: list[Database], folder: str, overwrite: bool = False, all_databases: bool = False, lease_seconds: float = LEASE_SECONDS, **filters) -> dict:
     """Dumps databases and writes the manifest last; the claim is given back only on success.
 
-    All metadata is read at the start, so every collection is dumped as it was then; its files outlive one later load.
+    A lease on every database is taken at the start and renewed until the end, so every collection is dumped as it was then,
+    however many loads come meanwhile; that of a dump that died expires after ``lease_seconds``.
     """
     spark = databases[0].spark
     claim(spark, folder, overwrite)
     artifacts = []
-    snapshot = [db._meta() for db in databases]
-    for db, meta in zip(databases, snapshot):
-        prefix = f"databases/{db.name}/" if all_databases else ""
-        artifacts += dump_database(db, folder, meta, prefix, db.name if all_databases else None, **filters)
+    with ExitStack() as leases:
+        snapshot = [leases.enter_context(db.lease(lease_seconds)).meta for db in databases]
+        for db, meta in zip(databases, snapshot):
+            prefix = f"databases/{db.name}/" if all_databases else ""
+            artifacts += dump_database(db, folder, meta, prefix, db.name if all_databases else None, **filters)
     manifest = {"manifest_version": MANIFEST_VERSION, "database": "all" if all_databases else databases[0].name, "created_at": _now(), "artifacts": artifacts}
     put(spark, f"{folder}/{MANIFEST}", json.dumps(manifest, indent=2).encode())
     delete(spark, f"{folder}/{CLAIM}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -182,6 +183,46 @@ def put(spark: SparkSession, path: str, content: bytes | Iterator[bytes], overwr
     return True
 
 
+def publish(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Create one object whole or not at all; False if there is one already, whoever wrote it.
+
+    The bytes are written aside and get their name in one step that fails where the name is taken: a hard link on a local disk, a
+    rename that does not overwrite on HDFS.  Object stores are asked for a conditional write, and one that has none is refused.
+    """
+    jvm = spark._jvm
+    system, target = _system(spark, path)
+    target = system.makeQualified(target)
+    scheme = target.toUri().getScheme()
+    if scheme not in ("file", "hdfs", "viewfs"):
+        builder = system.createFile(target).overwrite(False).recursive().must("fs.option.create.conditional.overwrite", True)
+        try:
+            out = builder.build()
+            out.write(bytearray(content))
+            out.close()
+        except Exception as error:
+            if any(x in str(error) for x in ("FileAlreadyExists", "PreconditionFailed", "412")):
+                return False
+            raise
+        return True
+    aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}.aside")
+    put(spark, aside.toString(), content)
+    try:
+        if scheme == "file":
+            name = jvm.java.nio.file.Paths.get
+            jvm.java.nio.file.Files.createLink(name(target.toUri()), name(aside.toUri()))
+        else:
+            never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, target, never)
+    except Exception as error:
+        if "FileAlreadyExists" in str(error):
+            return False
+        raise
+    finally:
+        system.delete(aside, False)
+    return True
+
+
 def _system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
