@@ -3,56 +3,27 @@
 Two documents are linked where the Jaccard similarity of their sets of word
 shingles reaches the threshold, and only there.  Candidate pairs come from fingerprints within a
 few bits (Golay keys, see ``simhash``) and, as a 64-bit fingerprint misses many similar pairs, from
-MinHash bands: two documents of similarity s share one of ``BANDS`` keys of ``BAND_ROWS`` minima with probability
-1 - (1 - s^BAND_ROWS)^BANDS, 99.98 % at 0.8.  Texts of the same words are one node.
-
-No bucket's pairs are listed.  In a round, each bucket pairs one leader with its other nodes,
-which is linear in its rows: first the node that meets most others over all its buckets (an original
-stays in the bucket of the majority wherever an edited copy falls out of it), then
-the best node that no earlier leader of the bucket is linked to, with all nodes of other components.
-A bucket goes on while its leaders find links, and ends at the first that finds none.
+circulant MinHash bands (see ``minhash``), of which two documents of similarity 0.8 share one but for a chance of 1.3e-7.
+Texts of the same words are one node.  Buckets are worked off by ``similarity``, which lists no bucket's pairs and loses none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected_components
+from .minhash import band_keys, signature
 from .shared import bounded, discard, free_name, number_rows, save
-from .simhash import SEED, fingerprint_links, majority, shingle_hashes
+from .similarity import similar_components
+from .simhash import fingerprint_links, majority, shingle_hashes
 
 WORDS = 5
-SIMILARITY = 0.8
-BANDS, BAND_ROWS = 16, 4
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-@lru_cache(maxsize=1)
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(SEED)
-    factors, shifts = random.integers(0, 2**64, (2, BANDS * BAND_ROWS, 1), np.uint64)
-    return factors | np.uint64(1), shifts
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: its number and the minima of its hash functions over the shingles."""
-    factors, shifts = _functions()
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024] * factors + shifts).min(axis=1), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND_ROWS).T:
-        keys = (keys ^ column) * MIX
-        keys ^= keys >> np.uint64(32)
-    return keys
+PERCENT = 80
 
 
 def _signatures(words: int):
@@ -60,17 +31,23 @@ def _signatures(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column(batch.num_columns - 1), "").cast(pa.binary()).to_pylist()
-            nodes, prints, bands = [], [], []
-            for text in texts:
-                hashes = shingle_hashes(text, words)
-                nodes.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED))
-                prints.append(majority(hashes))
-                bands.append(band_keys(np.unique(hashes)).view(np.int64))
-            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], long(nodes), long(prints), lists], names=[*batch.schema.names[:-1], "node", "fp", "bands"])
+            first: dict[bytes, int] = {}
+            of_row, digests, sizes, prints, bands = [], [], [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                words_of = b" ".join((text or b"").lower().split())
+                at = first.setdefault(words_of, len(digests))
+                fresh = at == len(digests)
+                if fresh:
+                    hashes = shingle_hashes(words_of, words)
+                    distinct = np.unique(hashes)
+                    digests.append(xxhash.xxh3_128_digest(words_of))
+                    sizes.append(len(distinct))
+                    prints.append(majority(hashes))
+                of_row.append(at)
+                bands.append(band_keys(signature(distinct)[None])[0] if fresh and len(distinct) else None)  # repeated texts of a batch have none
+            columns = [pa.array(np.array(x)[of_row]) if of_row else pa.array([], pa.int64()) for x in (np.array(sizes, np.int64), np.array(prints, np.uint64).view(np.int64))]
+            columns = [pa.array([digests[k] for k in of_row], pa.binary()), *columns, pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "row", "digest", "n", "fp", "bands"])
 
     return run
 
@@ -80,94 +57,28 @@ def _shingle_sets(words: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                texts = pc.fill_null(part.column(1), "").cast(pa.binary()).to_pylist()
-                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
+                sets = [np.unique(shingle_hashes(t or b"", words)).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets have at least the Jaccard similarity ``threshold``."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.size("shingles").alias("n"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"), F.size("shingles").alias("m"))
-    sizes = pairs.join(left.select("a", "n"), "a").join(right.select("b", "m"), "b")
-    possible = sizes.where(F.least("n", "m") >= threshold * F.greatest("n", "m")).select("a", "b")
-    both = possible.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("common") >= threshold * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b")
-
-
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _leaders(rows: DataFrame) -> DataFrame:
-    """(key, a, a_root): of each bucket with two components or more, the waiting node that meets most others."""
-    best = F.min(F.when(F.col("waiting"), F.struct((-F.col("degree")).alias("d"), F.col("node"), F.col("root")))).alias("best")
-    found = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), best)
-    return found.where("low < high AND best IS NOT NULL").select("key", F.col("best.node").alias("a"), F.col("best.root").alias("a_root"))
-
-
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with the component each node is in now; a node without links is its own."""
-    return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _joined(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """``roots`` (node, root) after more ``links`` (a, b): components of the components."""
-    ends = links
-    for end in ("a", "b"):
-        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r_{end}")), end, "left")
-        ends = ends.withColumn(f"r_{end}", F.coalesce(f"r_{end}", end))
-    moved = connected_components(ends.select(F.col("r_a").alias("a"), F.col("r_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("new"))
-    old = roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-    fresh = moved.select(F.col("root").alias("node"), F.col("new").alias("root")).join(roots, "node", "left_anti")
-    return save(old.unionByName(fresh), name)
-
-
-def similar_components(rows: DataFrame, texts: DataFrame, words: int, threshold: float, max_bits: int) -> DataFrame:
-    """(node, root) of every node of ``rows`` (node, fp, bands) that has a link; ``texts`` is (node, text)."""
-    nodes = save(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands")), "near-nodes")
+def _meeting(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """(key, node, n) of the keys that two nodes of ``nodes`` (node, n, fp, bands) or more have."""
     # Fingerprints are linked by their own least node: equal ones form a bucket, near ones a bucket of two.
     prints = save(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-prints")
-    ends = [prints.select(F.col("fp").alias(c), F.col("node").alias(n)) for c, n in (("a", "x"), ("b", "y"))]
-    near = fingerprint_links(prints.select("fp"), max_bits).distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    near = save(_pairs(near), "near-prints-links")
-    every = nodes.select(F.explode("bands").alias("key"), "node").unionByName(nodes.select(F.xxhash64(F.lit("fp"), "fp").alias("key"), "node"))
-    shared = save(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
-    meeting = save(every.join(shared, "key"), "near-meeting")
-    degree = save(meeting.groupBy("node").agg(F.sum("n").alias("degree")), "near-degree")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(degree.select("node")).distinct()
-    sets = save(bounded(texts.join(wanted, "node", "left_semi")).mapInArrow(_shingle_sets(words), "node long, shingles array<long>"), "near-sets")
-    open_ = save(meeting.join(degree, "node").select("key", "node", "degree", F.col("node").alias("root"), F.lit(True).alias("waiting")), "near-open")
-    discard(nodes, prints, shared, meeting, degree)
-
-    links = save(similar(near, sets, threshold), "near-links")
-    roots = save(connected_components(links), "near-roots")
-    while True:
-        rows = save(_rooted(open_, roots), "near-rows")
-        leaders = save(_leaders(rows), "near-leaders")
-        pairs = save(_pairs(rows.join(leaders, "key").where("root <> a_root").select("a", F.col("node").alias("b"))), "near-pairs")
-        discard(links)
-        links = save(similar(pairs, sets, threshold), "near-links")
-        if links.isEmpty():
-            break
-        before, roots = roots, _joined(roots, links, "near-roots")
-        # A bucket stays open where its leader's component grew by nodes of it; those wait for no other leader.
-        now = leaders.join(roots.withColumnRenamed("node", "a").withColumnRenamed("root", "now"), "a").select("key", "a_root", "now")
-        moved = _rooted(rows.withColumn("was", F.col("root")), roots).join(now, "key")
-        won = F.max((F.col("was") != F.col("a_root")) & (F.col("root") == F.col("now")))
-        going = save(moved.groupBy("key").agg(won.alias("won")).where("won").select("key"), "near-going")
-        discard(open_)
-        open_ = save(moved.join(going, "key", "left_semi").select("key", "node", "degree", "root", (F.col("waiting") & (F.col("root") != F.col("now"))).alias("waiting")), "near-open")
-        discard(before, rows, leaders, pairs, going)
-    discard(near, sets, open_, rows, leaders, pairs, links)
-    return roots
-
-
-def drop_similar(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = SIMILARITY, max_bits: int = 2
-) -> DataFrame:
+    links = fingerprint_links(prints.select("fp"), max_bits).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = links.select(F.explode(F.array("a", "b")).alias("fp"), F.xxhash64(F.lit("near"), "a", "b").alias("key"))
+    near = ends.join(prints, "fp").select("key", "node").join(nodes.select("node", "n"), "node").select("key", "node", "n")
+    equal = nodes.select(F.xxhash64(F.lit("fp"), "fp").alias("key"), "node", "n")
+    every = nodes.select(F.explode("bands").alias("key"), "node", "n").unionByName(equal)
+    shared = save(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-shared")
+    meeting = save(every.join(shared, "key", "left_semi").unionByName(near), "near-meeting")
+    discard(prints, shared)
+    return meeting
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, max_bits: int = 2) -> DataFrame:
     """Rows of ``df``, one of each component of similar texts: the smallest id (nulls last), then the earliest row.
 
     A null text counts as empty; texts without words are alike, and similar to no others; repeated rows are alike; an
@@ -175,14 +86,19 @@ def drop_similar(
     """
     row = free_name(df)
     numbered = number_rows(df, "near-rows", row)
-    source = bounded(numbered).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{row}`").alias("row"), F.col(text_col).cast("string").alias("__text"))
-    fields = [*source.schema.fields[:-1], *(T.StructField(n, t) for n, t in (("node", T.LongType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType()))))]
-    rows = save(source.mapInArrow(_signatures(words), T.StructType(fields)), "near-signatures")
-    best = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("row"))).alias("best"))
-    best = save(best, "near-best")
-    texts = best.select("node", F.col("best.row").alias(row)).join(numbered.select(row, F.col(text_col).cast("string").alias("text")), row).select("node", "text")
-    roots = similar_components(rows, texts, words, threshold, max_bits)
-    linked = best.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    texts = numbered.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{row}`").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    fields = [("id", texts.schema["id"].dataType), ("row", T.LongType()), ("digest", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
+    rows = save(bounded(texts).mapInArrow(_signatures(words), T.StructType([T.StructField(n, t) for n, t in fields])), "near-signatures")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))).alias("best")
+    groups = save(rows.groupBy("digest").agg(F.min("row").alias("node"), best).select("node", "best"), "near-groups")
+    nodes = rows.where("bands IS NOT NULL").join(groups.select(F.col("node").alias("row")), "row", "left_semi")
+    nodes = save(nodes.select(F.col("row").alias("node"), "n", "fp", "bands"), "near-nodes")
     discard(rows)
+    meeting = _meeting(nodes, max_bits)
+    wanted = save(meeting.select(F.col("node").alias("row")).distinct(), "near-wanted")
+    sets = save(bounded(texts.join(wanted, "row", "left_semi").select("row", "text")).mapInArrow(_shingle_sets(words), "node long, shingles array<long>"), "near-sets")
+    roots = similar_components(meeting, sets, percent)
+    linked = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = save(linked.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row)), "near-kept")
+    discard(nodes, meeting, wanted, sets, roots, groups)
     return numbered.join(kept, row, "left_semi").drop(row)
