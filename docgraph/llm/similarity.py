@@ -70,15 +70,15 @@ def _by_prefix(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = save(tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "similar-often")
     node = Window.partitionBy("node")
     place = F.row_number().over(node.orderBy("df", "t")) + F.col("n") - F.count("*").over(node)  # what no other has comes first
-    short = F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / F.lit(100 + percent)) + 1
-    long = F.col("n") - F.floor((percent * F.col("n") + 99) / F.lit(100)) + 1
-    placed = tokens.join(often, "t").withColumn("place", place).where(F.col("place") <= long).select("t", "node", "n", "root", (F.col("place") <= short).alias("early"))
-    prefix = save(placed, "similar-prefixes")
+    longest = F.col("n") - F.floor((percent * F.col("n") + 99) / F.lit(100)) + 1
+    prefix = save(tokens.join(often, "t").withColumn("place", place).where(F.col("place") <= longest).select("t", "node", "n", "root", "place"), "similar-prefixes")
     per_root = prefix.groupBy("t", "root").agg(F.count("*").alias("c"))
     common = save(per_root.groupBy("t").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("t", "most"), "similar-common")
     mixed = save(prefix.join(common, "t"), "similar-mixed")
-    few = mixed.where("root <> most").select("t", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("a_root"), F.col("early").alias("a_early"))
-    met = few.join(mixed, "t").where("root <> a_root AND (root = most OR a < node) AND ((m <= n AND a_early) OR (n <= m AND early))")
+    few = mixed.where("root <> most").select("t", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("a_root"), F.col("place").alias("a_place"))
+    # At the first element that two sets share, what follows in either must still be enough.
+    enough = (F.least(F.col("n") - F.col("place"), F.col("m") - F.col("a_place")) + 1) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    met = few.join(mixed, "t").where("root <> a_root AND (root = most OR a < node)").where(enough)
     pairs = save(met.select("a", F.col("node").alias("b"), "n", "m").where(_sizes_allow(percent)).distinct(), "similar-pairs")
     discard(tokens, often, prefix, common, mixed)
     return pairs
