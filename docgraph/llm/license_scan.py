@@ -4,7 +4,7 @@ Wrapped lines are joined, without comment and list markers, and a text is split
 with a critical word are normalised (ASCII lower case, other characters than letters and digits as one space)
 and searched for known licence sentences, which map to identifiers.  The identifiers, in order of
 appearance, are matched against licence rules: ordered identifier sequences that
-may have others between them.  A rule also names the rules it implies, which are
+may have others between them, followed in one pass of a pointer a rule.  A notice after a negation does not count.  A rule also names the rules it implies, which are
 then not reported again.  Everything is a projection of the row; nothing is
 shuffled, whatever the length of a text.
 """
@@ -79,6 +79,20 @@ SENTENCES = {
     "licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4-notice",
     "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights": "cc0-preamble",
     "has waived all copyright and related or neighboring rights to": "cc0-notice",
+    "eclipse public license v 2 0": "epl2-title",
+    "are made available under the terms of the eclipse public license 2 0": "epl2-notice",
+    "the accompanying materials are made available under the terms of the eclipse public license v1 0": "epl1-notice",
+    "sil open font license version 1 1 26 february 2007": "ofl11-title",
+    "this font software is licensed under the sil open font license version 1 1": "ofl11-notice",
+    "the artistic license 2 0": "artistic2-title",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "python software foundation license version 2": "psf2-title",
+    "licensed under the eupl": "eupl-notice",
+    "european union public licence v 1 2": "eupl12-title",
+    "common development and distribution license cddl version 1 0": "cddl1-title",
+    "common development and distribution license cddl version 1 1": "cddl11-title",
+    "licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd-4-notice",
+    "creative commons attribution noderivatives 4 0 international public license": "cc-by-nd-4-title",
     "all rights reserved": "all-rights-reserved",
     "this work is in the public domain": "public-domain",
 }
@@ -102,6 +116,7 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl3-later",)),
     ("GPL-2.0-or-later", ("gpl2-later",)),
     ("GPL-3.0", ("gpl3-notice",)),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("MPL-2.0", ("mpl2-title",)),
@@ -121,12 +136,25 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",)),
     ("CC-BY-4.0", ("cc-by-4-notice",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("EPL-1.0", ("epl1-notice",)),
+    ("OFL-1.1", ("ofl11-title",)),
+    ("OFL-1.1", ("ofl11-notice",)),
+    ("Artistic-2.0", ("artistic2-title",)),
+    ("PSF-2.0", ("psf2-title",)),
+    ("EUPL-1.2", ("eupl12-title",)),
+    ("CDDL-1.1", ("cddl11-title",)),
+    ("CDDL-1.0", ("cddl1-title",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4-notice",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4-title",)),
     ("Public-Domain", ("public-domain",)),
     ("All-Rights-Reserved", ("all-rights-reserved",)),
 )
 # What a sequence of identifiers shows besides, and is not reported: a text that quotes the usual notices.
 IMPLIED = {
     ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"): ("BSD-2-Clause",),
+    ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"): ("BSD-3-Clause",),
     ("gpl3-title", "gpl3-preamble"): ("GPL-3.0-or-later",),
     ("gpl2-title", "gpl-freedom"): ("GPL-2.0-or-later",),
     ("agpl3-title", "agpl3-preamble"): ("AGPL-3.0-or-later",),
@@ -144,11 +172,16 @@ def _spdx(names: tuple[str, ...]) -> tuple[dict[str, str], tuple]:
     return {k: i for k, (i, _) in tagged.items()}, tuple((name, (i,)) for i, name in tagged.values())
 
 
-TAGS, TAG_RULES = _spdx(tuple(name for name, _ in RULES if name not in ("Public-Domain", "All-Rights-Reserved")))
+# Names that are known from tags alone.
+TAGGED = ("AFL-3.0", "Apache-1.1", "Artistic-1.0", "BlueOak-1.0.0", "CC-BY-3.0", "CC-BY-SA-3.0", "CECILL-2.1", "EUPL-1.1", "GPL-1.0", "LGPL-2.0", "MIT-0", "MS-PL", "NCSA", "OpenSSL", "PostgreSQL", "Python-2.0", "WTFPL", "X11")
+TAGS, TAG_RULES = _spdx((*(name for name, _ in RULES if name not in ("Public-Domain", "All-Rights-Reserved")), *TAGGED))
 SENTENCES |= TAGS
 RULES += TAG_RULES
 
 CRITICAL = r"(?i)licen[cs]e|copyright|all rights reserved|permission|warrant|redistribut|public domain|as is"
+TAG = "spdx license identifier"
+#: What stands before a notice that is denied.
+DENIED = r"(?<!\b(?:not|never|no longer|neither|nor|not yet|not been|never been|not be|longer be) )"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -177,12 +210,24 @@ def critical_sentences(text: Column) -> Column:
 
 
 def notices(sentence: Column, known: dict[str, str]) -> Column:
-    """The known sentences within a normalised one, from left to right, the longest where several begin."""
-    pattern = r"\b(?:" + "|".join(sorted(known, key=len, reverse=True)) + r")\b" if known else "(?!)"
-    return F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0))
+    """The known sentences within a normalised one, from left to right, the longest where several begin; none that it denies.
+
+    Every name of a tag's expression is a tag of its own.
+    """
+    pattern = DENIED + r"\b(?:" + "|".join(sorted(known, key=len, reverse=True)) + r")\b" if known else "(?!)"
+    spread = F.when(F.startswith(sentence, F.lit(TAG)), F.regexp_replace(sentence, " (?:or(?! later)|and|with) ", f" {TAG} ")).otherwise(sentence)
+    return F.regexp_extract_all(spread, F.lit(pattern), F.lit(0))
+
+
+def shown(ids: Column, rule: tuple[str, ...]) -> Column:
+    """Whether the identifiers of a rule appear in its order, with or without others between: one pass that waits for one after another."""
+    wanted = F.array(*map(F.lit, rule))
+    met = F.aggregate(ids, F.lit(0), lambda at, x: F.when((at < len(rule)) & (F.try_element_at(wanted, at + 1) == x), at + 1).otherwise(at))
+    return F.array_contains(ids, rule[0]) & (met == len(rule)) if len(rule) > 1 else F.array_contains(ids, rule[0])
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
+    """The same as a regular expression, for the SQL that the query is held against."""
     return "," + ",(.*,)?".join(ids) + ","
 
 
@@ -200,11 +245,11 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).alias("doc_id"), critical_sentences(text).alias("found"))
     rows = rows.withColumn("within", F.transform("found", lambda s: notices(s, table)))
     rows = rows.withColumn("ids", F.transform(F.flatten("within"), lambda s: F.try_element_at(lookup, s)))
-    rows = rows.withColumn("sequence", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
-    matched = F.array(*[F.when(F.col("sequence").rlike(rule_pattern(ids)), F.lit(name)) for name, ids in rules])
-    rows = rows.withColumn("all", F.array_distinct(F.array_compact(matched)))
     none = F.array().cast("array<string>")
-    implied = F.flatten(F.array(*[F.when(F.col("sequence").rlike(rule_pattern(ids)), F.array(*map(F.lit, less))).otherwise(none) for ids, less in IMPLIED.items()]))
+    matched = F.array(*[F.when(shown(F.col("ids"), ids), F.lit(name)) for name, ids in rules])
+    rows = rows.withColumn("all", F.when(F.size("ids") > 0, F.array_distinct(F.array_compact(matched))).otherwise(none))
+    implied = F.flatten(F.array(*[F.when(shown(F.col("ids"), ids), F.array(*map(F.lit, less))).otherwise(none) for ids, less in IMPLIED.items()]))
+    implied = F.when(F.size("ids") > 0, implied).otherwise(none)
     return rows.select(
         "doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_except("all", implied), ",").alias("licenses"),
         F.size("found").cast("long").alias("critical"), F.size(F.filter("within", lambda w: F.size(w) == 0)).cast("long").alias("unknown"),

@@ -1,3 +1,5 @@
+import pytest
+
 from docgraph.llm.license_scan import RULES, SENTENCES, rule_pattern, scan_licenses
 
 MIT = """MIT License
@@ -43,3 +45,29 @@ def test_tables_and_plan(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     out = scan_licenses(df)
     assert out.count() == 0 and not any(w in out._jdf.queryExecution().toString() for w in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize(
+    "text, licenses",
+    [
+        ("This project is not released under the MIT License.", ""),
+        ("It is no longer licensed under the MIT License.", ""),
+        ("It is released under the MIT License, not proprietary terms.", "MIT"),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+        ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
+        ("SPDX-License-Identifier: (BSD-3-Clause AND OFL-1.1)", "BSD-3-Clause,OFL-1.1"),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+    ],
+)
+def test_denials_and_tag_expressions(spark, text, licenses):
+    row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert sorted(row.licenses.split(",")) == sorted(licenses.split(","))
+
+
+def test_ten_thousand_notices_in_one_text(spark):
+    import time
+
+    notice = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    began = time.time()
+    row = scan_licenses(spark.createDataFrame([(1, notice * 10_000)], "doc_id long, text string")).first()
+    assert row.licenses == "" and row.critical == 20_000 and time.time() - began < 60
