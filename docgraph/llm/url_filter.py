@@ -2,7 +2,7 @@
 
 Dated list entries (add or remove a key at a time) become validity intervals, kept
 as one row per key.  Every capture is looked up by its host, the host's parent
-domains and the prefixes of its path, and each lookup is judged as of the capture's
+domains and the prefixes of its path, no deeper than the host's deepest listed key, and each lookup is judged as of the capture's
 fetch time.  Captures and intervals are stored first and joined on the key alone: adaptive execution may
 split a key with very many captures, such as a top-level domain, and broadcasts the list only if it
 measures small.  Only hits are gathered by capture and joined back.
@@ -17,6 +17,7 @@ from pyspark.sql import Window
 from .shared import save
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+LONGEST_HOST = 253  # of a domain name
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
@@ -37,23 +38,33 @@ def host_of(url: Column) -> Column:
     return F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
 
 
-def lookup_keys(url: Column) -> Column:
-    """Keys of a URL: ``host`` and each parent domain, and ``host/path/`` up to each slash of its path."""
-    labels = F.split(host_of(url), r"\.")
+def listed_depths(spans: DataFrame) -> DataFrame:
+    """(host, depth): how many slashes the deepest listed key of each host has, for hosts with any."""
+    paths = spans.where("instr(key, '/') > 0")
+    slashes = F.length("key") - F.length(F.replace("key", F.lit("/"), F.lit("")))
+    return paths.groupBy(F.substring_index("key", "/", 1).alias("host")).agg(F.max(slashes).alias("depth"))
+
+
+def lookup_keys(url: Column, depth: Column | None = None) -> Column:
+    """Keys of a URL: ``host`` and each parent domain, and ``host/path/`` up to each of the first ``depth`` slashes of its path (all, if not given)."""
+    host = host_of(url)
+    depth = F.lit(2**31 - 1) if depth is None else depth
+    labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     steps = F.split(F.regexp_extract(url, PATH, 1), "/")
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(steps) - 1),
-        lambda i: F.concat(host_of(url), F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")),
+        F.sequence(F.lit(1), F.least(F.size(steps) - 1, depth)),
+        lambda i: F.concat(host, F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")),
     )
-    keys = F.concat(domains, F.when(F.size(steps) > 1, prefixes).otherwise(F.array().cast("array<string>")))
-    return F.when(host_of(url) != "", F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(domains, F.when((F.size(steps) > 1) & (depth > 0), prefixes).otherwise(F.array().cast("array<string>")))
+    usable = (host != "") & (F.length(host) <= LONGEST_HOST)
+    return F.when(usable, F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """Per capture: page_id, url, fetched, blocked, matched_keys and categories (sorted, comma-joined).
 
-    A URL that is null or has no host, and a capture without a fetch time, match
+    A URL that is null, has no host or one of more letters than names may have, and a capture without a fetch time, match
     nothing; repeated captures give a row each; an empty list blocks nothing; an empty
     table gives no rows; other columns are not read.
     """
@@ -62,7 +73,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     )
     rows = save(rows, "captures")
     spans = save(validity_intervals(entries), "validity")
-    asked = rows.where("url IS NOT NULL AND fetched IS NOT NULL").select("row", "fetched", F.explode(lookup_keys(F.col("url"))).alias("key"))
+    usable = rows.where("url IS NOT NULL AND fetched IS NOT NULL").select("row", "fetched", "url", host_of(F.col("url")).alias("host"))
+    usable = usable.join(listed_depths(spans), "host", "left")
+    asked = usable.select("row", "fetched", F.explode(lookup_keys(F.col("url"), F.coalesce("depth", F.lit(0)))).alias("key"))
     active = F.filter("spans", lambda s: (s["effective"] <= F.col("fetched")) & (s["until"].isNull() | (s["until"] > F.col("fetched"))))
     hits = asked.join(spans, "key").select("row", "key", active["category"].alias("found"))
     per_row = hits.where(F.size("found") > 0).groupBy("row").agg(F.collect_set("key").alias("keys"), F.collect_list("found").alias("found"))

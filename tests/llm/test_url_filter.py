@@ -36,3 +36,17 @@ def test_keys(spark):
     df = spark.createDataFrame([("https://a.b.co/x/y?z=/q/",), ("ftp://host",), ("/x",)], "u string").select(lookup_keys(F.col("u")).alias("k"))
     got = [r.k for r in df.collect()]
     assert got[0] == ["a.b.co", "b.co", "co", "a.b.co/", "a.b.co/x/"] and got[1] == ["host"] and got[2] == []
+
+
+def test_a_url_of_a_megabyte_and_a_list_of_paths(spark):
+    import time
+
+    deep = "http://a.org" + "/step" * 200_000
+    urls = [(1, deep), (2, "http://a.org/step/step/x"), (3, "http://a.org/step"), (4, "http://b.org/step/step/"), (5, "http://" + "x." * 5000 + "org/"), (6, "http://sub.a.org/step/")]
+    captures = spark.createDataFrame(urls, "page_id long, url string").selectExpr("*", "TIMESTAMP_NTZ '2024-05-01 00:00:00' AS fetched")
+    listed = [("a.org/step/step/", "deep", "add", "2024-01-01"), ("a.org/step/step/step/", "deeper", "add", "2024-06-01"), ("org", "tld", "add", "2024-04-30"), ("org", "tld", "remove", "2024-05-01")]
+    entries = spark.createDataFrame(listed, "key string, category string, action string, day string").selectExpr("key", "category", "action", "CAST(day AS timestamp_ntz) AS effective")
+    began = time.time()
+    got = {r.page_id: (r.blocked, r.matched_keys) for r in filter_urls(captures, entries).collect()}
+    assert got == {1: (True, "a.org/step/step/"), 2: (True, "a.org/step/step/"), 3: (False, ""), 4: (False, ""), 5: (False, ""), 6: (False, "")}
+    assert time.time() - began < 30
