@@ -29,8 +29,9 @@ from .piece_lattice import PieceLattice
 from .shared import bounded, save
 
 A_END, B_END, BOTH = 1, 2, 3
-BLOCK_BYTES = 8 << 20
-GROUP_BYTES = 2 << 20  # of texts aligned side by side
+BLOCK_BYTES = 4 << 20
+CACHED = 200_000
+GROUP_BYTES = 1 << 20  # of texts aligned side by side
 _SPAN = re.compile(rb"[^\x03]*\x03")
 
 
@@ -47,7 +48,8 @@ class Side:
 
 @lru_cache(maxsize=4)
 def sides(a_path: str | None, b_path: str | None) -> tuple[Side, Side]:
-    bpe, lattice = ByteBpe.of(a_path), PieceLattice.of(b_path)
+    bpe, lattice = ByteBpe(a_path), PieceLattice(b_path)
+    bpe.most_parts = lattice.most_segments = CACHED  # a worker holds both
     pieces = lattice.bytes_of
     pieces = dict(enumerate(pieces)) if isinstance(pieces, list) else dict(pieces)
     return Side(lambda texts: [bpe.encode_plain(" " + t) for t in texts], bpe.bytes_of, "|"), Side(lattice.encode, pieces, ";")

@@ -47,6 +47,7 @@ class ByteBpe:
         }
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.parts: dict[str, bytes] = {}
+        self.most_parts = CACHED_PARTS
         self.plain = None
         self.bytes_of = {i: piece for piece, i in ranks.items()}
         self.usual = _usual(json.loads(self.whole.to_str()), public.PATTERN)
@@ -79,7 +80,7 @@ class ByteBpe:
 
     def _encode_part(self, part: str) -> bytes:
         ids = _packed(self.fast.encode_ordinary(part if part[:1] == "\n" else " " + part))
-        if len(part) <= LONGEST_PART and len(self.parts) < CACHED_PARTS:
+        if len(part) <= LONGEST_PART and len(self.parts) < self.most_parts:
             self.parts[part] = ids
         return ids
 

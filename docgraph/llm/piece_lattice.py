@@ -79,6 +79,7 @@ class PieceLattice:
         self.low = [_word(self.pieces, at, b"\0") for at in (0, 8)]
         self.high = [_word(self.pieces, at, b"\xff") for at in (0, 8)]
         self.cache: dict[str, bytes] = {}
+        self.most_segments = CACHED_SEGMENTS
 
     # Matching
 
@@ -238,7 +239,7 @@ class PieceLattice:
             met[k] = [ids or fresh[s] for s, ids in zip(cut[k], met[k])]
         out = [b"".join(ids) for ids in met]
         for s, ids in fresh.items():
-            if len(self.cache) >= CACHED_SEGMENTS:
+            if len(self.cache) >= self.most_segments:
                 break
             if len(s) <= LONGEST_CACHED:
                 self.cache[s] = ids
