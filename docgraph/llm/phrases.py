@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded, discard, save
+from .shared import arrow_rows, bounded, discard, save
 
 LONGEST = 4
 FLOOR = 30
@@ -29,6 +29,7 @@ TOP = 2000
 CONTAINED_PERCENT = 80
 SCORE_UNIT = 2_000_000
 SHARD_BYTES = 16 << 20
+SHARDS_HELD = 4  # in one Arrow batch
 # What ends a piece, and what ends a word besides.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(10 if c in PIECE_ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -99,46 +100,35 @@ def intervals(lcp: np.ndarray, length: np.ndarray, words: int) -> tuple[np.ndarr
     return places[heads], np.diff(np.append(heads, len(places)))
 
 
-def _phrases(words: pa.Array, ids: np.ndarray, starts: np.ndarray, length: int) -> pa.Array:
-    taken = [words.take(pa.array(ids[starts + k] - 1)) for k in range(length)]
-    joined = taken[0] if length == 1 else pc.binary_join_element_wise(*taken, pa.scalar(b" ", pa.binary()))
-    return joined.cast(pa.string())
-
-
-_ROW = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("place", pa.int32()), ("a", pa.int64())])
-_SHARD = pa.schema([*_ROW, ("vocabulary", pa.list_(pa.binary())), ("ids", pa.binary())])
-_COUNTED = "shard long, lang string, words int, phrase string, place int, a long"
-_MINED = f"{_COUNTED}, vocabulary array<binary>, ids binary"
+_KEYED = pa.schema([("key", pa.string()), ("shard", pa.int64()), ("place", pa.int32()), ("a", pa.int64())])
+_COUNTED = "key string, shard long, place int, a long"
+_SHARD = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("vocabulary", pa.list_(pa.binary())), ("ids", pa.binary())])
+_SHARDS = "shard long, lang string, n long, vocabulary array<binary>, ids binary"
 
 
 def _counts(shard: int, lang: str, words: pa.Array, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    """A row for each interval of ``length`` words; its place is its number in the shard's order."""
+    """A row for each interval of ``length`` words: the phrase, a line end (which no phrase has) and the language; the
+    interval's number in the shard's order; its size."""
+    ending, space, newline = pa.scalar(lang.encode()), pa.scalar(b" "), pa.scalar(b"\n")
     for at in range(0, len(starts), 1 << 16):
-        phrases = _phrases(words, ids, starts[at : at + (1 << 16)], length)
-        n = len(phrases)
-        columns = [np.full(n, shard), pa.array([lang] * n, pa.string()), np.full(n, length, np.int32), phrases]
-        columns += [np.arange(at, at + n, dtype=np.int32), counts[at : at + n].astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_ROW)
+        some = starts[at : at + (1 << 16)]
+        taken = [words.take(pa.array(ids[some + k] - 1)) for k in range(length)]
+        phrase = taken[0] if length == 1 else pc.binary_join_element_wise(*taken, space)
+        key = pc.binary_join_element_wise(phrase, ending, newline).cast(pa.string())
+        columns = [key, pa.array(np.full(len(some), shard)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(counts[at : at + len(some)].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, schema=_KEYED)
 
 
-def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards, and the counts of one and two words in each."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, count, size = TaskContext.get().partitionId(), 0, 0
     open_: dict[str, tuple[Words, list[np.ndarray]]] = {}
 
     def close() -> Iterator[pa.RecordBatch]:
         nonlocal count, size
         for lang, (words, parts) in open_.items():
-            shard, ids, vocabulary = (part << 32) + count, np.concatenate(parts), pa.array(list(words), pa.binary())
-            columns = [[shard], [lang], [None], [None], [None], [None], [vocabulary], [ids.tobytes()]]
+            ids = np.concatenate(parts)
+            columns = [[(part << 32) + count], [lang], [int(np.count_nonzero(ids))], [list(words)], [ids.tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SHARD)], schema=_SHARD)
-            order, _, left = doubled(ids)
-            lcp = common_words(ids, order, left, 2)
-            for length in (1, 2):
-                heads, counts = intervals(lcp, left[order], length)
-                for rows in _counts(shard, lang, vocabulary, ids, order[heads], counts, length):
-                    empty = [pa.nulls(rows.num_rows, f.type) for f in list(_SHARD)[-2:]]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *empty], schema=_SHARD)
             count += 1
         open_.clear()
         size = 0
@@ -153,10 +143,22 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+def _short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of one and two words of each shard."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shard, lang, words, ids = batch["shard"][k].as_py(), batch["lang"][k].as_py(), batch["vocabulary"][k].values, np.frombuffer(batch["ids"][k].as_py(), np.int32)
+            order, _, left = doubled(ids)
+            lcp = common_words(ids, order, left, 2)
+            for length in (1, 2):
+                heads, counts = intervals(lcp, left[order], length)
+                yield from _counts(shard, lang, words, ids, order[heads], counts, length)
+
+
 def _long_counts(key: tuple, shards: pa.Table, told: pa.Table) -> pa.Table:
     """Counts of three and four words of a shard, where every pair is one of those ``told`` by place."""
     if not (shards.num_rows and told.num_rows):
-        return pa.Table.from_batches([], _ROW)
+        return _KEYED.empty_table()
     row = shards.combine_chunks()
     ids = np.frombuffer(row["ids"][0].as_py(), np.int32)
     order, rank, left = doubled(ids)
@@ -177,24 +179,27 @@ def _long_counts(key: tuple, shards: pa.Table, told: pa.Table) -> pa.Table:
             whole = four[order[heads]]
             heads, counts = heads[whole], counts[whole]
         out += _counts(row["shard"][0].as_py(), row["lang"][0].as_py(), row["vocabulary"][0].values, ids, order[heads], counts, length)
-    return pa.Table.from_batches(out, _ROW)
+    return pa.Table.from_batches(out, _KEYED)
 
 
 def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text", floor: int = FLOOR) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, a) of all phrases of one to four words met ``floor`` times or more, and (lang, n) of every language."""
     source = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    mined = save(bounded(source).mapInArrow(_mine, _MINED), "phrase-shards")
-    key = ["lang", "words", "phrase"]
-    counted = mined.where("ids IS NULL").select("shard", *key, "place", "a")
-    totals = save(counted.where("words = 1").groupBy("lang").agg(F.sum("a").alias("n")), "phrase-totals")
-    short = save(counted.groupBy(*key).agg(F.sum("a").alias("a")).where(F.col("a") >= floor), "phrase-short")
-    pairs = short.where("words = 2").select("lang", "phrase")
-    told = counted.where("words = 2").join(pairs, ["lang", "phrase"], "left_semi").select(F.col("shard").alias("of"), "place")
-    shards = mined.where("ids IS NOT NULL").select("shard", "lang", "vocabulary", "ids")
+    shards = save(bounded(source).mapInArrow(_shards, _SHARDS), "phrase-shards")
+    totals = save(shards.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    # One exchange tells a phrase's total to every shard that has it, which is at most a row of each shard.
+    everywhere = F.sum("a").over(Window.partitionBy("key"))
+    with arrow_rows(df.sparkSession, SHARDS_HELD):
+        counted = shards.mapInArrow(_short_counts, _COUNTED).withColumn("total", everywhere)
+        kept = save(counted.where(F.col("total") >= floor).select("key", "shard", "place", "total"), "phrase-kept")
+    short = kept.groupBy("key").agg(F.first("total").alias("a"))
+    told = kept.where(F.instr("key", " ") > 0).where(F.instr("key", " ") < F.instr("key", "\n")).select(F.col("shard").alias("of"), "place")
     longer = shards.groupBy("shard").cogroup(told.groupBy("of")).applyInArrow(_long_counts, _COUNTED)
-    long = save(longer.groupBy(*key).agg(F.sum("a").alias("a")).where(F.col("a") >= floor), "phrase-long")
-    frequent = save(short.unionByName(long), "phrases")
-    discard(mined, short, long)
+    long = longer.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= floor)
+    phrase = F.substring_index("key", "\n", 1)
+    named = short.unionByName(long).select(F.expr("substring(key, instr(key, '\n') + 1)").alias("lang"), phrase.alias("phrase"), "a")
+    frequent = save(named.select("lang", (F.size(F.split("phrase", " ", -1))).alias("words"), "phrase", "a"), "phrases")
+    discard(shards, kept)
     return frequent, totals
 
 
