@@ -19,7 +19,8 @@ def object_members(text: str) -> list[tuple[str, str]]:
     if text[at : at + 1] != "{":
         raise ValueError("a document is not an object")
     at = _skip(text, at + 1)
-    while text[at : at + 1] != "}":
+    open_ = text[at : at + 1] != "}"
+    while open_:
         name, at = decoder.raw_decode(text, at)
         at = _skip(text, at)
         if not isinstance(name, str) or text[at : at + 1] != ":":
@@ -28,10 +29,13 @@ def object_members(text: str) -> list[tuple[str, str]]:
         _, end = decoder.raw_decode(text, start)
         found[name] = text[start:end]
         at = _skip(text, end)
-        if text[at : at + 1] == ",":
+        open_ = text[at : at + 1] == ","
+        if open_:
             at = _skip(text, at + 1)
         elif text[at : at + 1] != "}":
             raise ValueError("a document is not an object")
+    if _skip(text, at + 1) != len(text):
+        raise ValueError("something follows a document")
     return list(found.items())
 
 
@@ -57,3 +61,24 @@ def exploded_members(df: DataFrame, doc_col: str = "doc") -> DataFrame:
     fields = [df.schema[c] for c in others]
     schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in (("position", T.IntegerType()), ("name", T.StringType()), ("value", T.StringType())))])
     return df.select(*others, F.col(doc_col)).mapInArrow(run, schema)
+
+
+def patched(df: DataFrame, old_col: str, new_col: str, doc_col: str = "doc") -> DataFrame:
+    """``df`` with ``doc_col``, the members of ``old_col`` with those of ``new_col`` over them; either may be null.
+
+    Members keep their raw text and the place where they first appear.
+    """
+    others = [c for c in df.columns if c not in (old_col, new_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = []
+            for old, new in zip(batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist()):
+                members = dict(object_members(old)) if old is not None else {}
+                if new is not None:
+                    members.update(object_members(new))
+                docs.append("{" + ",".join([f"{json.dumps(name, ensure_ascii=False)}:{value}" for name, value in members.items()]) + "}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(docs, pa.string())], names=[*others, doc_col])
+
+    schema = T.StructType([*[df.schema[c] for c in others], T.StructField(doc_col, T.StringType())])
+    return df.select(*others, old_col, new_col).mapInArrow(run, schema)

@@ -2,9 +2,9 @@
 
 ``<root>/<db>/log/<n>.json`` names each collection's kind, indexes and the folders of its current rows; the highest
 number holds, and a change creates the next number, which only one of two writers can do.  A collection's rows lie in
-``<root>/<db>/<collection>/v<N>-<load>/bucket=<k>``, by a hash of the key.  A load writes the buckets it touches anew,
-and then the log, so readers see whole loads only, a failed load leaves no trace, and a small load of a large
-collection copies only its buckets.
+``<root>/<db>/<collection>/v<N>-<load>/bucket=<k>``, by a hash of the key, in layers: a load writes the rows it adds or changes,
+and then the log, so readers see whole loads only, and a failed load leaves no trace.  Reading takes the latest row of a key; the
+load that makes a bucket's layers more than ``MOST_LAYERS`` merges them.
 """
 
 from __future__ import annotations
@@ -17,17 +17,20 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.members import patched
 from ..options import OptionError, parse_edge_definition
+from ..scratch import discard, stored
 from .export import delete, get, listed, publish
-from .upsert import load_counts, patched_documents, upsert
+from .upsert import MODES, patched_keys
 
 KINDS = {"document": 2, "edge": 3}
 SCHEMAS = {"document": "_key string, doc string", "edge": "_key string, _from string, _to string, doc string"}
 BUCKETS = 8
 LEASE_SECONDS = 600.0
+MOST_LAYERS = 8  # of a bucket, before they are merged
 NAME = re.compile(r"[A-Za-z0-9_-]{1,256}")
 
 
@@ -166,9 +169,27 @@ class Database:
         return self._rows(name, entry, entry["folders"])
 
     def _rows(self, name: str, entry: dict, buckets) -> DataFrame:
-        paths = [f"{self.folder}/{name}/{entry['folders'][k]}/bucket={k}" for k in buckets if k in entry["folders"]]
+        """Rows of some buckets, of all their layers; of a key that a later layer has again, the later row."""
         schema = SCHEMAS[entry["kind"]]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        layers = [(f, over, f"{self.folder}/{name}/{f}/bucket={k}") for k in buckets for f, over in entry["folders"].get(k, [])]
+        if not layers:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema)
+        if not any(over for _, over, _ in layers):
+            return reader.parquet(*[path for *_, path in layers])
+        version = F.regexp_extract("_metadata.file_path", r".*/v(\d+)-[^/]*/bucket=", 1).cast("long").alias("version")
+        columns = [c.split()[0] for c in schema.split(", ")]
+        rows = reader.parquet(*[path for *_, path in layers]).select(*columns, version)
+        again = reader.parquet(*[path for _, over, path in layers if over]).select("_key", version).groupBy("_key").agg(F.max("version").alias("last"))
+        return rows.join(again, "_key", "left").where("last IS NULL OR version >= last").select(*columns)
+
+    def _keys(self, name: str, entry: dict, buckets) -> DataFrame:
+        """The keys of some buckets, for which layers over each other make no difference."""
+        paths = [f"{self.folder}/{name}/{f}/bucket={k}" for k in buckets for f, _ in entry["folders"].get(k, [])]
+        schema = SCHEMAS[entry["kind"]]
+        keys = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        several = any(over for k in buckets for _, over in entry["folders"].get(k, []))
+        return keys.select("_key").distinct() if several else keys.select("_key")
 
     def _entry(self, name: str) -> dict:
         entry = self._meta()["collections"].get(name)
@@ -181,14 +202,16 @@ class Database:
 
     def load(
         self, name: str, rows: DataFrame, mode: str = "error", order: list[str] | None = None,
-        overwrite: bool = False, complete: bool = False, load_id: str | None = None,
+        overwrite: bool = False, complete: bool = False, load_id: str | None = None, details: bool = False,
     ) -> dict:
         """Load rows: the collection's columns, and those of ``order`` (by default ``ordinal``, which must be there).
 
         Returns created, updated, ignored and errors.  A row without a key gets one of its own, from ``load_id``
         (by default a new one) and the row's number.  ``overwrite`` empties the collection once, before the load;
-        ``complete`` refuses the whole load if it has errors.  Of two loads of one collection at once, the second fails.
+        ``complete`` refuses the whole load if it has errors; ``details`` stores the refused rows and returns their folder as ``refused``.  Of two loads of one collection at once, the second fails.
         """
+        if mode not in MODES:
+            raise CatalogError(f"unknown duplicate mode '{mode}'; known: {', '.join(MODES)}")
         entry = self._entry(name)
         order = order or ["ordinal"]
         missing = [c for c in order if c not in rows.columns]
@@ -197,22 +220,31 @@ class Database:
         columns = [c.split()[0] for c in SCHEMAS[entry["kind"]].split(", ")]
         load_id = load_id or uuid.uuid4().hex
         folder = f"v{entry['version'] + 1}-{load_id[:16]}"
-        staged = f"{self.folder}/{name}/{folder}.rows"
+        path, staged = f"{self.folder}/{name}/{folder}", f"{self.folder}/{name}/{folder}.rows"
         orders = [F.col(f"`{c}`").alias(f"order{i}") for i, c in enumerate(order)]
         kept = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
-        rows.select(*kept, *orders, F.monotonically_increasing_id().alias("row")).write.mode("overwrite").parquet(staged)
-        incoming = self.spark.read.parquet(staged).withColumn("_key", F.coalesce("_key", F.concat(F.lit(f"{load_id[:16]}-"), F.col("row").cast("string"))))
-        incoming = incoming.withColumn("bucket", _bucket(entry["buckets"]))
-        touched = [str(r.bucket) for r in incoming.select("bucket").distinct().collect()]  # at most the number of buckets
-        stored = self._rows(name, entry, [] if overwrite else touched)
-        counts = load_counts(stored, incoming, ["_key"], mode).first().asDict()
+        seen = Observation()
+        given = F.coalesce("_key", F.concat(F.lit(f"{load_id[:16]}-"), F.col("row").cast("string")))
+        numbered = rows.select(*kept, *orders, F.monotonically_increasing_id().alias("row")).withColumn("_key", given).withColumn("bucket", _bucket(entry["buckets"]))
+        numbered.observe(seen, F.collect_set("bucket").alias("buckets")).write.mode("overwrite").parquet(staged)
+        incoming = self.spark.read.schema(numbered.schema).parquet(staged)
+        touched = [str(k) for k in seen.get["buckets"]]  # at most the number of buckets
+        ordered = [*[f"order{i}" for i in range(len(order))], "row"]
+        base = {"folders": {}, "kind": entry["kind"]} if overwrite else entry
+        counts, over = self._write_layer(name, base, incoming, touched, ordered, mode, path)
+        if details:
+            counts["refused"] = self._refused(name, base, incoming, touched, ordered, order, mode, f"{self.folder}/{name}/refused-{load_id}")
         if complete and counts["errors"]:
             delete(self.spark, staged)
+            delete(self.spark, path)
             raise CatalogError(f"{counts['errors']} rows have a key that exists; nothing was loaded")
-        ordered = [*[f"order{i}" for i in range(len(order))], "row"]
-        after = patched_documents(stored, incoming, ordered) if mode == "update" else upsert(stored, incoming, ["_key"], ordered, mode)
-        path = f"{self.folder}/{name}/{folder}"
-        after.withColumn("bucket", _bucket(entry["buckets"])).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        written = {n.partition("=")[2] for n in listed(self.spark, path) if n.startswith("bucket=")}
+        layers = {k: [*base["folders"].get(k, []), [folder, over]] for k in written}
+        full = [k for k, found in layers.items() if len(found) > MOST_LAYERS]
+        if full:
+            merged = self._rows(name, {**entry, "folders": layers}, full).withColumn("bucket", _bucket(entry["buckets"]))
+            merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}m")
+            layers |= {k: [[f"{folder}m", False]] for k in full}
 
         def publish(meta: dict) -> None:
             now = meta["collections"].get(name)
@@ -220,12 +252,13 @@ class Database:
                 raise CatalogError(f"collection '{name}' was changed by another load")
             old = now["folders"]
             fresh = {} if overwrite else dict(old)
-            fresh |= {k: folder for k in touched}
+            fresh |= layers
             held = self._held(meta)
             retired = [tuple(x) for x in now["retired"]]
             freed[:] = [*self._freed(meta), *([name, *x] for x in retired if (name, *x) not in held)]
             # Readers may still have open what this load replaces; the next one deletes it, if no lease holds it.
-            now["retired"] = [list(x) for x in retired if (name, *x) in held] + [[f, k] for k, f in old.items() if fresh.get(k) != f]
+            now["retired"] = [list(x) for x in retired if (name, *x) in held] + [[f, k] for f, k in _pieces({"folders": old}) if f not in [x for x, _ in fresh.get(k, [])]]
+            now["retired"] += [[folder, k] for k in full]  # merged at once
             now["version"], now["folders"] = entry["version"] + 1, fresh
 
         freed: list = []
@@ -233,12 +266,56 @@ class Database:
             self._change(publish)
         except CatalogError:
             delete(self.spark, path)
+            delete(self.spark, f"{path}m")
             raise
         finally:
             delete(self.spark, staged)
         self._delete(freed)
         return counts
 
+    def _write_layer(self, name: str, base: dict, incoming: DataFrame, touched: list[str], ordered: list[str], mode: str, path: str) -> tuple[dict, bool]:
+        """Write what a load adds or changes, and only that; returns the counts, and whether keys of before are among it."""
+        columns = [c.split()[0] for c in SCHEMAS[base["kind"]].split(", ")]
+        old = self._keys(name, base, touched).select("_key", F.lit(True).alias("old"))
+        seen, more = Observation(), {}
+        if mode == "update":
+            again = stored(incoming.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+            single = incoming.join(again, "_key", "left_anti") if not again.isEmpty() else incoming
+            before = self._rows(name, base, touched)
+            late = [c for c in columns if c not in ("_key", "doc")]
+            was = before.select("_key", F.col("doc").alias("old_doc"), F.lit(True).alias("old"), *[F.col(c).alias(f"old_{c}") for c in late])
+            met = single.join(was, "_key", "left").withColumn("n", F.lit(1))
+            met = _counted(met, seen).select("_key", *[F.coalesce(c, f"old_{c}").alias(c) for c in late], "old_doc", F.col("doc").alias("new_doc"))
+            after = patched(met, "old_doc", "new_doc").select(*columns)
+            if not again.isEmpty():
+                several = incoming.join(again.select("_key"), "_key", "left_semi")
+                after = after.unionByName(patched_keys(before.join(again.select("_key"), "_key", "left_semi"), several, ordered).select(*columns))
+                more = _of(again.join(old, "_key", "left"))
+        else:
+            row = F.struct(*ordered, *[c for c in columns if c != "_key"])
+            picked = (F.max if mode == "replace" else F.min)(row).alias("picked")
+            met = incoming.groupBy("bucket", "_key").agg(picked, F.count("*").alias("n")).join(old, "_key", "left")
+            after = _counted(met, seen)
+            after = after if mode == "replace" else after.where("old IS NULL")
+            after = after.select(*["_key" if c == "_key" else f"picked.{c}" for c in columns])
+        after.withColumn("bucket", _bucket(base.get("buckets") or self._entry(name)["buckets"])).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        total = {k: (seen.get.get(k) or 0) + (more.get(k) or 0) for k in ("created", "repeats", "known")}
+        if mode == "update":
+            discard(again)
+        counts = {"created": total["created"], "updated": 0, "ignored": 0, "errors": 0}
+        counts[{"error": "errors", "ignore": "ignored"}.get(mode, "updated")] = total["repeats"]
+        return counts, bool(total["known"]) and mode in ("replace", "update")
+
+    def _refused(self, name: str, base: dict, incoming: DataFrame, touched: list[str], ordered: list[str], order: list[str], mode: str, path: str) -> str:
+        """Folder of the rows that the load left out: their order, key and the reason."""
+        first = incoming.groupBy("_key").agg(F.min(F.struct(*ordered)).alias("first"))
+        old = self._keys(name, base, touched).select("_key", F.lit(True).alias("old"))
+        marked = incoming.join(first, "_key").join(old, "_key", "left")
+        out = marked.where(F.col("old") | (F.struct(*ordered) != F.col("first"))) if mode in ("error", "ignore") else marked.where("false")
+        reason = F.when(F.col("old"), "the collection has the key").otherwise("an earlier row has the key")
+        out.select(*[F.col(f"order{i}").alias(c) for i, c in enumerate(order)], "_key", reason.alias("reason")).write.mode("overwrite").parquet(path)
+        return path
+
     def inventory(self, include_system: bool = False, include: str | None = None, exclude: str | None = None, meta: dict | None = None) -> DataFrame:
         """(name, kind, is_system, version) of the collections that the filter lets pass."""
         rows = [(n, e["kind"], is_system(n, e["properties"]), e["version"]) for n, e in (meta or self._meta())["collections"].items()]
@@ -334,7 +411,21 @@ class Lease:
 
 
 def _pieces(entry: dict) -> list[tuple[str, str]]:
-    return [(folder, bucket) for bucket, folder in entry["folders"].items()]
+    return [(folder, bucket) for bucket, layers in entry["folders"].items() for folder, _ in layers]
+
+
+def _measures() -> list[Column]:
+    """Of rows (n, old), one for each key: keys that are new, rows besides those, and keys that were there."""
+    repeats = F.sum(F.col("n") - F.when(F.col("old").isNull(), 1).otherwise(0))
+    return [F.count_if(F.col("old").isNull()).alias("created"), repeats.alias("repeats"), F.count_if(F.col("old")).alias("known")]
+
+
+def _counted(keys: DataFrame, seen: Observation) -> DataFrame:
+    return keys.observe(seen, *_measures())
+
+
+def _of(keys: DataFrame) -> dict:
+    return keys.agg(*_measures()).first().asDict()
 
 
 def _sum(meta: dict) -> str:

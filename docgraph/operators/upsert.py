@@ -55,8 +55,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: list[str], order: list[s
     return joined.select(*key, *[F.coalesce(F.col(f"p.{c}"), F.col(f"s.{c}")).alias(c) for c in attributes]).select(*stored.columns)
 
 
-def patched_documents(stored: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
-    """Stored documents (``_key``, ``doc``, and ends for edges) after a load that patches them attribute by attribute.
+def patched_keys(stored: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
+    """The documents (``_key``, ``doc``, and ends for edges) of all incoming keys, patched attribute by attribute.
 
     Of every attribute the last incoming value holds, an explicit null too; attributes that no incoming row has stay.
     Documents are taken apart into raw members, so a key with very many rows is combined map-side, member by member.
@@ -76,8 +76,7 @@ def patched_documents(stored: DataFrame, incoming: DataFrame, order: list[str])
     docs = members.groupBy("_key").agg(F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}")).alias("doc"))
     late = F.struct(F.coalesce(F.col("at.late"), F.lit(0)).alias("late"), "at")
     keys = every.groupBy("_key").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), late)).alias(c) for c in ends]) if ends else every.select("_key").distinct()
-    new = keys.join(docs, "_key", "left").withColumn("doc", F.coalesce("doc", F.lit("{}"))).select(*stored.columns)
-    return stored.join(new.select("_key"), "_key", "left_anti").unionByName(new)
+    return keys.join(docs, "_key", "left").withColumn("doc", F.coalesce("doc", F.lit("{}"))).select(*stored.columns)
 
 
 def load_counts(stored: DataFrame, incoming: DataFrame, key: list[str], mode: str) -> DataFrame:

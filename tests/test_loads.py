@@ -34,7 +34,7 @@ def stored(db):
 def test_members_are_raw_text():
     assert object_members(' { "a" : 1.0 ,"b":[1, {"c":2}],"a":1.0e10, "n":null}') == [("a", "1.0e10"), ("b", '[1, {"c":2}]'), ("n", "null")]
     assert object_members("{}") == []
-    for bad in ("[1]", '{"a" 1}', '{"a":1', '{"a":1 "b":2}', "1"):
+    for bad in ("[1]", '{"a" 1}', '{"a":1', '{"a":1 "b":2}', "1", "{}{}", '{"a":1} x', '{"a":1,}'):
         with pytest.raises(ValueError):
             object_members(bad)
 
@@ -168,3 +168,48 @@ def test_standard_input_and_all_databases(spark, tmp_path, capsys, monkeypatch):
     assert code == 0 and {a.get("database") for a in manifest["artifacts"]} == {"one", "two"}
     code, out = call("--database", "two", "export", str(tmp_path / "out"), "--name", "d.json", "--collection", "d", "--format", "json", "--single")
     assert code == 0 and sorted(x["_key"] for x in json.loads((tmp_path / "out" / "d.json").read_text())) == ["x", "y"]
+
+
+@pytest.mark.parametrize("mode", ["error", "ignore", "replace", "update"])
+def test_layers_read_like_a_rewrite(spark, tmp_path, mode):
+    import random
+
+    r = random.Random(mode)
+    db = database(spark, tmp_path)
+    want: dict[str, dict] = {}
+    for _ in range(11):  # enough for a merge
+        new = [(str(r.randrange(12)), {r.choice("abc"): r.randrange(100) for _ in range(2)}) for _ in range(r.randrange(1, 5))]
+        counts = db.load("c", rows(spark, [json.dumps({"_key": k, **d}) for k, d in new]), mode)
+        told = {"created": 0, "updated": 0, "ignored": 0, "errors": 0}
+        for k, d in new:
+            if k not in want:
+                told["created"] += 1
+                want[k] = {"_key": k, **d}
+                continue
+            told[{"error": "errors", "ignore": "ignored"}.get(mode, "updated")] += 1
+            if mode == "replace":
+                want[k] = {"_key": k, **d}
+            elif mode == "update":
+                want[k].update(d)
+        assert counts == told
+    assert {k: json.loads(d) for k, d in stored(db).items()} == want and db.count("c") == len(want)
+    layers = [len(x) for x in db._entry("c")["folders"].values()]
+    assert max(layers) <= 8
+
+
+def test_a_small_load_writes_its_own_rows_only(spark, tmp_path):
+    db = database(spark, tmp_path)
+    many = spark.range(20_000).selectExpr("id AS ordinal", "cast(id AS string) AS _key", """concat('{"_key":"', id, '","v":1}') AS doc""")
+    db.load("c", many)
+    db.load("c", rows(spark, ['{"_key":"17","v":2}', '{"_key":"new","v":3}']), "replace")
+    (folder,) = {f for layers in db._entry("c")["folders"].values() for f, _ in layers if f.startswith("v2-")}
+    assert spark.read.parquet(f"{db.folder}/c/{folder}").count() == 2
+    assert db.count("c") == 20_001 and stored(db)["17"] == '{"_key":"17","v":2}'
+
+
+def test_refused_rows_are_listed(spark, tmp_path):
+    db = database(spark, tmp_path)
+    db.load("c", rows(spark, ['{"_key":"a"}']))
+    counts = db.load("c", rows(spark, ['{"_key":"b"}', '{"_key":"a"}', '{"_key":"b","v":2}', '{"_key":"c"}']), details=True)
+    refused = sorted(map(tuple, spark.read.parquet(counts["refused"]).select("ordinal", "_key", "reason").collect()))
+    assert refused == [(1, "a", "the collection has the key"), (2, "b", "an earlier row has the key")] and counts["errors"] == 2

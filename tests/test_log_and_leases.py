@@ -83,15 +83,16 @@ def test_a_lease_outlives_loads_and_drops(spark, tmp_path):
     lease = db.lease()
     was = contents(db.read("a"))
     for k in range(1, 5):
-        db.load("a", rows(spark, [("x", k), ("y", k)]), "replace")
+        db.load("a", rows(spark, [("x", k), ("y", k)]), overwrite=True)
     db.drop_collection("gone")
     assert contents(db.read("a", lease.meta["collections"]["a"])) == was
     assert len(contents(db.read("gone", lease.meta["collections"]["gone"]))) == 2
     lease.renew()
     lease.release()
     lease.release()
-    assert listed(spark, f"{db.folder}/gone/{next(iter(lease.meta['collections']['gone']['folders'].values()))}") == [] or not db._meta()["dropped"]
-    db.load("a", rows(spark, [("x", 9)]), "replace")
+    assert listed(spark, f"{db.folder}/gone/{next(iter(lease.meta['collections']['gone']['folders'].values()))[0][0]}") == [] or not db._meta()["dropped"]
+    for _ in range(2):
+        db.load("a", rows(spark, [("x", 9), ("y", 9)]), overwrite=True)
     with pytest.raises(Exception):
         contents(db.read("a", lease.meta["collections"]["a"]))
     with pytest.raises(CatalogError):
@@ -105,7 +106,7 @@ def test_an_expired_lease_frees_what_it_held(spark, tmp_path):
     lease = db.lease(seconds=0.2)
     time.sleep(0.3)
     for k in (1, 2):
-        db.load("a", rows(spark, [("x", k)]), "replace")
+        db.load("a", rows(spark, [("x", k)]), overwrite=True)
     assert db._meta()["leases"] == {}
     with pytest.raises(Exception):
         contents(db.read("a", lease.meta["collections"]["a"]))
