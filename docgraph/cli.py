@@ -10,6 +10,9 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Observation
@@ -19,7 +22,8 @@ from .operators import dump as dumps
 from .operators import export, rdf_graph
 from .operators.catalog import Database
 from .operators.edges import preflight
-from .operators.export import delete, listed, put
+from .operators.export import listed, put
+from .operators.resume import load_in_steps
 from .operators.reshape import refuse_reshape, to_documents, typed_cells
 from .options import OptionError, Reshape, infer_codec, infer_document_format, infer_rdf_format, spark_path
 from .scratch import new_folder
@@ -29,7 +33,34 @@ from .sources.turtle import read_turtle
 
 
 def event(kind: str, **fields) -> None:
-    print(json.dumps({"event": kind, **fields}), file=sys.stderr)
+    print(json.dumps({"event": kind, **fields}), file=sys.stderr, flush=True)
+
+
+@contextmanager
+def progress(spark: SparkSession, seconds: float):
+    """A progress event every ``seconds``, and one at the end: tasks done and bytes read by this command so far, over all executors."""
+    def totals() -> dict[str, int]:
+        found = spark._jsc.sc().statusStore().executorList(False)
+        each = [found.apply(k) for k in range(found.size())]
+        return {"tasks": sum(x.completedTasks() for x in each), "bytes_read": sum(x.totalInputBytes() for x in each), "bytes_shuffled": sum(x.totalShuffleWrite() for x in each)}
+
+    before, began, done = totals(), time.time(), threading.Event()
+
+    def tell() -> None:
+        event("progress", seconds=round(time.time() - began, 1), **{k: v - before[k] for k, v in totals().items()})
+
+    def keep() -> None:
+        while not done.wait(seconds):
+            tell()
+
+    thread = threading.Thread(target=keep, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+        tell()
 
 
 def read_documents(spark: SparkSession, path: str, kind: str | None, options: Reshape) -> DataFrame:
@@ -64,8 +95,21 @@ def import_documents(spark: SparkSession, db: Database, a: argparse.Namespace) -
         seen = Observation()
         ends = docs.select("*", *[F.get_json_object("doc", f"$.{e}").alias(e) for e in ("_from", "_to")])
         docs = preflight(ends, a.from_prefix, a.to_prefix, seen)
-    counts = db.load(a.collection, docs, a.on_duplicate, order=list(PLACE), overwrite=a.overwrite, complete=a.complete)
-    return counts | ({"skipped_no_edge": seen.get["skipped_no_edge"]} if seen else {})
+    if a.checkpoint:
+        if a.overwrite or a.complete or a.details:
+            raise OptionError("an import with a checkpoint is loaded in steps, so it takes no --overwrite, --complete or --details")
+        if a.input == "-":
+            raise OptionError("standard input cannot be read again, so it takes no --checkpoint")
+        counts = load_in_steps(db, a.collection, docs, a.checkpoint, a.on_duplicate, list(PLACE), max_docs=a.batch_docs)
+    else:
+        counts = db.load(a.collection, docs, a.on_duplicate, order=list(PLACE), overwrite=a.overwrite, complete=a.complete, details=a.details)
+    if a.details:
+        for row in spark.read.parquet(counts["refused"]).orderBy(*PLACE).toLocalIterator():
+            event("refused", key=row["_key"], reason=row["reason"], file=row["file"], line=row["line"])
+    skipped = seen.get["skipped_no_edge"] if seen else 0
+    if skipped:
+        event("warning", message=f"{skipped} rows name no edge and were left out")
+    return counts | ({"skipped_no_edge": skipped} if seen else {})
 
 
 def export_documents(spark: SparkSession, db: Database, a: argparse.Namespace) -> dict:
@@ -92,15 +136,8 @@ def import_rdf(spark: SparkSession, db: Database, a: argparse.Namespace) -> dict
     for side, rows, kind in (("vertices", rdf_graph.vertices(triples, fold), "document"), ("edges", rdf_graph.edges(triples, fold), "edge")):
         keep = [c for c in rows.columns if c != "collection"]
         ready = rows.select("collection", *[c for c in ("_key", "_from", "_to") if c in rows.columns], F.to_json(F.struct(*keep)).alias("doc"))
-        path = new_folder(spark, side)
-        ready.write.partitionBy("collection").parquet(path)  # a collection's load reads its own part only
-        ready = spark.read.schema(ready.schema).parquet(path)
-        for name in [r.collection for r in ready.select("collection").distinct().collect()]:
-            db.ensure_collection(name, kind)
-            counts = db.load(name, ready.where(F.col("collection") == name).drop("collection"), "ignore", order=["_key"])
-            out[f"{side}_created"] = out.get(f"{side}_created", 0) + counts["created"]
-            out[f"{side}_ignored"] = out.get(f"{side}_ignored", 0) + counts["ignored"]
-        delete(spark, path)
+        counts = db.load_many(ready, kind, "ignore")
+        out[f"{side}_created"], out[f"{side}_ignored"] = counts["created"], counts["ignored"]
     return out
 
 
@@ -114,6 +151,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="docgraph", description=__doc__.splitlines()[0])
     top.add_argument("--catalog", required=True, help="folder of the catalog")
     top.add_argument("--database", default="_system")
+    top.add_argument("--progress-seconds", type=float, default=5.0, help="between progress events")
     commands = top.add_subparsers(dest="command", required=True)
     c = commands.add_parser("import")
     c.add_argument("input", help="a path, or - for standard input")
@@ -124,6 +162,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(flag, action="append", default=[])
     for flag in ("--edges", "--overwrite", "--complete"):
         c.add_argument(flag, action="store_true")
+    c.add_argument("--details", action="store_true", help="list every refused row")
+    c.add_argument("--checkpoint", help="a name; an import of it that was stopped goes on where it was")
+    c.add_argument("--batch-docs", type=int, default=100_000, help="documents to a batch of a checkpoint")
     c.add_argument("--from-prefix")
     c.add_argument("--to-prefix")
     c = commands.add_parser("export")
@@ -179,6 +220,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.command == "dump":
         names = listed(spark, spark_path(a.catalog)) if a.all_databases else [a.database]
         databases = [Database(spark, spark_path(a.catalog), n) for n in names]
+        for name in [v for db in databases for v in dumps.views_left_out(db, a.include, a.exclude, a.include_system)]:
+            event("warning", message=f"view '{name}' rests on collections that are not dumped, and is left out")
         manifest = dumps.dump(databases, spark_path(a.output), a.overwrite, a.all_databases, include=a.include, exclude=a.exclude, include_system=a.include_system, codec=a.compression, lease_seconds=a.lease_seconds)
         return {"artifacts": len(manifest["artifacts"])}
     if a.command == "restore":
@@ -201,7 +244,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("docgraph").getOrCreate()
     event("started", command=a.command)
     try:
-        result = run(spark, a)
+        with progress(spark, a.progress_seconds):
+            result = run(spark, a)
     except Exception as error:
         place = _bad_place(spark, a, error)
         if place:

@@ -221,8 +221,9 @@ def _labels(rows: DataFrame, rule: Rule, first: int) -> DataFrame:
     return labels
 
 
-def _assign(df: DataFrame, order: str, stream: str | None, name: str, rule: Rule, first: int) -> DataFrame:
-    rows = ranged(df, [stream, order] if stream else [order])
+def _assign(df: DataFrame, order: str | list[str], stream: str | None, name: str, rule: Rule, first: int) -> DataFrame:
+    orders = [order] if isinstance(order, str) else list(order)
+    rows = ranged(df, [stream, *orders] if stream else orders)
     length = F.coalesce(F.octet_length("doc"), F.lit(0)).cast("long").alias("__length")
     if not stream:
         labels = _labels(rows.select("__range", "__place", length, F.lit(False).alias("__start")), rule, first)
@@ -237,7 +238,7 @@ def _assign(df: DataFrame, order: str, stream: str | None, name: str, rule: Rule
     return labelled.withColumn(name, F.col("__label") - F.col("__least") + F.lit(first)).drop("__range", "__place", "__label", "__stream", "__least")
 
 
-def assign_batches(df: DataFrame, order: str = "ordinal", max_bytes: int = MAX_BYTES, max_docs: int = MAX_DOCS, stream: str | None = None) -> DataFrame:
+def assign_batches(df: DataFrame, order: str | list[str] = "ordinal", max_bytes: int = MAX_BYTES, max_docs: int = MAX_DOCS, stream: str | None = None) -> DataFrame:
     """Adds ``batch_index``, from 1, to rows (doc, order, ...); with ``stream``, each value of that column is cut by itself.
 
     Rows of equal order come in some fixed order; a null document counts as empty.
@@ -246,7 +247,7 @@ def assign_batches(df: DataFrame, order: str = "ordinal", max_bytes: int = MAX_B
     return _assign(df, order, stream, "batch_index", import_batches(max_bytes, max_docs), 1)
 
 
-def assign_parts(df: DataFrame, order: str = "ordinal", part_bytes: int = PART_BYTES, framing: int = 0, stream: str | None = None) -> DataFrame:
+def assign_parts(df: DataFrame, order: str | list[str] = "ordinal", part_bytes: int = PART_BYTES, framing: int = 0, stream: str | None = None) -> DataFrame:
     """Adds ``part``, from 0; ``framing`` counts the bytes that open a part, such as a CSV header."""
     return _assign(df, order, stream, "part", export_parts(part_bytes, framing), 0)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.members import patched
 from ..options import OptionError, parse_edge_definition
 from ..scratch import discard, stored
-from .export import delete, get, listed, publish
+from .export import delete, get, listed, publish, rename
 from .upsert import MODES, patched_keys
 
 KINDS = {"document": 2, "edge": 3}
@@ -126,7 +126,7 @@ class Database:
         _checked(name)
 
         def edit(meta: dict) -> None:
-            known = meta["collections"].setdefault(name, {"kind": kind, "version": 0, "buckets": buckets, "folders": {}, "retired": [], "indexes": [], "properties": {}})
+            known = meta["collections"].setdefault(name, _new_entry(kind, buckets))
             if known["kind"] != kind:
                 raise CatalogError(f"collection '{name}' is of kind {known['kind']}, not {kind}")
 
@@ -203,12 +203,14 @@ class Database:
     def load(
         self, name: str, rows: DataFrame, mode: str = "error", order: list[str] | None = None,
         overwrite: bool = False, complete: bool = False, load_id: str | None = None, details: bool = False,
+        progress: tuple[str, int] | None = None,
     ) -> dict:
         """Load rows: the collection's columns, and those of ``order`` (by default ``ordinal``, which must be there).
 
         Returns created, updated, ignored and errors.  A row without a key gets one of its own, from ``load_id``
         (by default a new one) and the row's number.  ``overwrite`` empties the collection once, before the load;
-        ``complete`` refuses the whole load if it has errors; ``details`` stores the refused rows and returns their folder as ``refused``.  Of two loads of one collection at once, the second fails.
+        ``complete`` refuses the whole load if it has errors; ``details`` stores the refused rows and returns their folder as ``refused``;
+        ``progress`` (an import's name, what it has done) is published with the rows or not at all.  Of two loads of one collection at once, the second fails.
         """
         if mode not in MODES:
             raise CatalogError(f"unknown duplicate mode '{mode}'; known: {', '.join(MODES)}")
@@ -260,6 +262,8 @@ class Database:
             now["retired"] = [list(x) for x in retired if (name, *x) in held] + [[f, k] for f, k in _pieces({"folders": old}) if f not in [x for x, _ in fresh.get(k, [])]]
             now["retired"] += [[folder, k] for k in full]  # merged at once
             now["version"], now["folders"] = entry["version"] + 1, fresh
+            if progress:
+                now.setdefault("progress", {})[progress[0]] = progress[1]
 
         freed: list = []
         try:
@@ -316,6 +320,84 @@ class Database:
         out.select(*[F.col(f"order{i}").alias(c) for i, c in enumerate(order)], "_key", reason.alias("reason")).write.mode("overwrite").parquet(path)
         return path
 
+    def progress(self, name: str, mark: str) -> int:
+        """What the import ``mark`` has done of its work on this collection; 0 if nothing."""
+        return self._entry(name).get("progress", {}).get(mark, 0)
+
+    def load_many(self, rows: DataFrame, kind: str, mode: str = "ignore", order: list[str] | None = None) -> dict:
+        """Load rows of many collections (``collection`` and that kind's columns) in a fixed number of jobs and one change of the log.
+
+        Missing collections are created.  ``mode`` is error, ignore or replace; returns the counts over all collections.
+        """
+        if mode not in MODES or mode == "update":
+            raise CatalogError(f"many collections are loaded by error, ignore or replace, not '{mode}'")
+        order = order or ["_key"]
+        columns = [c.split()[0] for c in SCHEMAS[kind].split(", ")]
+        load_id = uuid.uuid4().hex
+        staged, path = f"{self.folder}/loads-{load_id}.rows", f"{self.folder}/loads-{load_id}"
+        seen = Observation()
+        orders = [F.col(f"`{c}`").alias(f"order{i}") for i, c in enumerate(order)]
+        numbered = rows.select("collection", *columns, *orders, F.monotonically_increasing_id().alias("row"))
+        numbered.observe(seen, F.collect_set("collection").alias("names")).write.parquet(staged)
+        names = sorted(seen.get["names"])  # the catalog's log lists every collection anyway
+        for n in names:
+            _checked(n)
+
+        def ensure(meta: dict) -> None:
+            for n in names:
+                known = meta["collections"].setdefault(n, _new_entry(kind, BUCKETS))
+                if known["kind"] != kind:
+                    raise CatalogError(f"collection '{n}' is of kind {known['kind']}, not {kind}")
+
+        entries = self._change(ensure)["collections"]
+        counted = self.spark.createDataFrame([(n, entries[n]["buckets"]) for n in names], "collection string, buckets int")
+        incoming = self.spark.read.schema(numbered.schema).parquet(staged).join(counted, "collection")
+        incoming = incoming.withColumn("bucket", F.pmod(F.xxhash64("_key"), F.col("buckets")).cast("int"))
+        paths = [f"{self.folder}/{n}/{f}" for n in names for f in sorted({f for f, _ in _pieces(entries[n])})]
+        live = {f"{n}/{f}/bucket={k}" for n in names for f, k in _pieces(entries[n])}
+        old = self.spark.createDataFrame([], "collection string, _key string")
+        if paths:
+            found = self.spark.read.schema(SCHEMAS[kind]).option("recursiveFileLookup", "true").parquet(*paths)
+            piece = F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+/bucket=[0-9]+)/[^/]*$", 1)
+            known = self.spark.createDataFrame([(x,) for x in sorted(live)], "piece string")
+            found = found.select("_key", piece.alias("piece")).join(known, "piece", "left_semi")
+            old = found.select(F.substring_index("piece", "/", 1).alias("collection"), "_key").distinct()
+        picked = (F.max if mode == "replace" else F.min)(F.struct(*[f"order{i}" for i in range(len(order))], "row", *[c for c in columns if c != "_key"])).alias("picked")
+        met = incoming.groupBy("collection", "bucket", "_key").agg(picked, F.count("*").alias("n")).join(old.withColumn("old", F.lit(True)), ["collection", "_key"], "left")
+        done = Observation()
+        after = _counted(met, done)
+        after = after if mode == "replace" else after.where("old IS NULL")
+        after.select(*["_key" if c == "_key" else f"picked.{c}" for c in columns], "collection", "bucket").write.partitionBy("collection", "bucket").parquet(path)
+        layers: dict[str, dict[str, list]] = {}
+        for n in names:
+            folder = f"v{entries[n]['version'] + 1}-{load_id[:16]}"
+            if rename(self.spark, f"{path}/collection={n}", f"{self.folder}/{n}/{folder}"):
+                buckets = [x.partition("=")[2] for x in listed(self.spark, f"{self.folder}/{n}/{folder}") if x.startswith("bucket=")]
+                layers[n] = {k: [folder, mode == "replace"] for k in buckets}
+
+        def publish(meta: dict) -> None:
+            for n, fresh in layers.items():
+                now = meta["collections"].get(n)
+                if now is None or now["version"] != entries[n]["version"]:
+                    raise CatalogError(f"collection '{n}' was changed by another load")
+                for k, layer in fresh.items():
+                    now["folders"].setdefault(k, []).append(layer)
+                now["version"] += 1
+
+        try:
+            self._change(publish)
+        except CatalogError:
+            for n, fresh in layers.items():
+                for folder in {f for f, _ in fresh.values()}:
+                    delete(self.spark, f"{self.folder}/{n}/{folder}")
+            raise
+        finally:
+            delete(self.spark, staged)
+            delete(self.spark, path)
+        counts = {"created": done.get["created"] or 0, "updated": 0, "ignored": 0, "errors": 0}
+        counts[{"error": "errors", "ignore": "ignored"}.get(mode, "updated")] = done.get["repeats"] or 0
+        return counts
+
     def inventory(self, include_system: bool = False, include: str | None = None, exclude: str | None = None, meta: dict | None = None) -> DataFrame:
         """(name, kind, is_system, version) of the collections that the filter lets pass."""
         rows = [(n, e["kind"], is_system(n, e["properties"]), e["version"]) for n, e in (meta or self._meta())["collections"].items()]
@@ -410,6 +492,10 @@ class Lease:
         self.release()
 
 
+def _new_entry(kind: str, buckets: int) -> dict:
+    return {"kind": kind, "version": 0, "buckets": buckets, "folders": {}, "retired": [], "indexes": [], "properties": {}}
+
+
 def _pieces(entry: dict) -> list[tuple[str, str]]:
     return [(folder, bucket) for bucket, layers in entry["folders"].items() for folder, _ in layers]
 

@@ -81,6 +81,16 @@ def dump_database(db: Database, folder: str, meta: dict, prefix: str = "", datab
     return artifacts
 
 
+def views_left_out(db: Database, include: str | None = None, exclude: str | None = None, include_system: bool = False) -> list[str]:
+    """Names of the views of which a dump with these filters lacks a collection."""
+    views = db.views()
+    if not views:
+        return []
+    table = db.spark.createDataFrame([(n, json.dumps(v)) for n, v in views.items()], "name string, doc string")
+    kept = {r.name for r in complete_views(table, db.inventory(include_system, include, exclude).select("name")).collect()}
+    return sorted(set(views) - kept)
+
+
 def _stored(parts: DataFrame, folder: str) -> list[dict]:
     """Writes parts and describes them, in order; no rows is no data artifact."""
     return [

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ from .batching import PART_BYTES, assign_parts
 FORMATS = {"jsonl": "jsonl", "json": "json", "csv": "csv"}
 SUFFIX = {None: "", "gzip": ".gz", "zstd": ".zst"}
 MANIFEST_VERSION = 1
+FRAME_DOCS, FRAME_BYTES = 4096, 4 << 20
 
 
 def csv_lines(df: DataFrame, fields: list[str], doc_col: str = "doc", order: str | None = None) -> DataFrame:
@@ -50,8 +52,44 @@ def _quoted(text):
 
 
 def write_jsonl(df: DataFrame, path: str, codec: str | None = None) -> None:
-    """Distributed: a file for each task.  zstd is left to part exports, the text writer has none."""
-    df.select("doc").write.text(path, compression=codec or "none")
+    """Distributed: a file for each task.  With zstd, which the text writer has not, each task writes frames of a bounded size."""
+    if codec != "zstd":
+        df.select("doc").write.text(path, compression=codec or "none")
+        return
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        out = None
+        for batch in batches:
+            if out is None:
+                out = _output(f"{path}/part-{TaskContext.get().partitionId():05d}.{TaskContext.get().taskAttemptId()}.jsonl.zst")
+            for at in range(0, len(batch), FRAME_DOCS):
+                out.write(zstandard.ZstdCompressor().compress("".join(f"{d}\n" for d in batch["doc"][at : at + FRAME_DOCS]).encode()))
+        if out is not None:
+            out.close()
+            yield pd.DataFrame({"path": [out.name]})
+
+    put(df.sparkSession, f"{path}/_WRITING", b"")
+    # Only what the tasks that count have written stays: an attempt that was lost leaves a file of another number.
+    whole = {r.path for r in df.select("doc").mapInPandas(store, "path string").collect()}
+    for name in listed(df.sparkSession, path):
+        if name.endswith(".zst") and name not in {w.rpartition("/")[2] for w in whole}:
+            delete(df.sparkSession, f"{path}/{name}")
+    delete(df.sparkSession, f"{path}/_WRITING")
+    put(df.sparkSession, f"{path}/_SUCCESS", b"")
+
+
+class _output:
+    """A file that a task writes through the file system its path names."""
+
+    def __init__(self, path: str):
+        import pyarrow.fs as fs
+
+        system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(place.rpartition("/")[0])
+        self.name, self._stream = place, system.open_output_stream(place, compression=None)
+        self.write, self.close = self._stream.write, self._stream.close
 
 
 def _frame(kind: str, fields: list[str] | None) -> tuple[str, str, str]:
@@ -80,7 +118,7 @@ def write_single(df: DataFrame, path: str, kind: str = "jsonl", order: str = "or
     Sorting and encoding are spread; one task writes, as a stream.  The object appears under its name when it is whole.
     """
     if codec == "zstd":
-        raise OptionError("a single object is written plain or with gzip; parts can be zstd")
+        return _single_of_frames(df, path, kind, order, fields)
     rows = stored(csv_lines(df, fields or [], order=order) if kind == "csv" else df.select(order, "doc"), "export")
     spark, first = df.sparkSession, rows.agg(F.min(order)).first()[0]
     if first is None:
@@ -104,6 +142,42 @@ def write_single(df: DataFrame, path: str, kind: str = "jsonl", order: str = "or
     return head(spark, path)
 
 
+def _single_of_frames(df: DataFrame, path: str, kind: str, order: str, fields: list[str] | None) -> int:
+    """The single object as zstd frames, which tasks make of consecutive documents, one after another in one task's stream."""
+    spark = df.sparkSession
+    opening, between, closing = _frame(kind, fields)
+    rows = csv_lines(df, fields or [], order=order) if kind == "csv" else df.select(order, "doc")
+    parted = stored(assign_parts(rows, order, FRAME_BYTES).withColumnRenamed(order, "__order"), "frames")
+    last = parted.agg(F.max("part")).first()[0]
+    if last is None:
+        put(spark, path, part_bytes_of([], kind, fields, "zstd"))
+        return head(spark, path)
+
+    def frame(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        number = int(key[0])
+        text = (opening if number == 0 else between if kind == "json" else "") + between.join(group.sort_values("__order")["doc"])
+        text += closing if kind != "json" or number == last else ""
+        return pd.DataFrame([(number, zstandard.ZstdCompressor().compress(text.encode()))], columns=["part", "frame"])
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = _output(f"{path}.writing")
+        for batch in batches:
+            for content in batch["frame"]:
+                out.write(content)
+        out.close()
+        yield pd.DataFrame({"path": [out.name]})
+
+    frames = stored(parted.groupBy("part").applyInPandas(frame, "part long, frame binary"), "frames")
+    frames.orderBy("part").select("frame").coalesce(1).mapInPandas(store, "path string").collect()
+    system, target = _system(spark, path)
+    system.delete(target, True)
+    system.rename(_system(spark, f"{path}.writing")[1], target)
+    discard(parted, frames)
+    return head(spark, path)
+
+
 PARTS = "part int, path string, format string, compression string, byte_size long, sha256 string"
 
 
@@ -253,6 +327,16 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in system.listStatus(target)) if system.exists(target) else []
 
 
+def rename(spark: SparkSession, path: str, target: str) -> bool:
+    """Move a folder to where there is none; False if there is nothing to move."""
+    system, old = _system(spark, path)
+    if not system.exists(old):
+        return False
+    new = _system(spark, target)[1]
+    system.mkdirs(new.getParent())
+    return system.rename(old, new)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -296,5 +380,6 @@ def decompressed(content: bytes, codec: str) -> bytes:
     if codec == "zstd":
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompressobj().decompress(content)
+        with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as frames:
+            return frames.read()
     return content

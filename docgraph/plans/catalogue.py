@@ -123,6 +123,27 @@ def load_replace_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attributes(db.read("last"), "o_custkey long, o_orderkey long, o_orderstatus string")
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def load_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order once; a second load of the even ones is refused row by row."""
+    db, orders = _database(spark, "orders"), table(spark, sf_dir, "orders")
+    rows = _documents(orders, "o_orderkey", "o_orderkey", o_orderkey="o_orderkey", o_custkey="o_custkey", o_orderstatus="o_orderstatus")
+    db.load("orders", rows)
+    db.load("orders", rows.where("ordinal % 2 = 0").withColumn("doc", F.lit("{}")))
+    return _attributes(db.read("orders"), "o_orderkey long, o_custkey long, o_orderstatus string")
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'was ' || o_orderstatus ELSE o_orderstatus END AS o_orderstatus,
+    CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS o_orderpriority FROM orders""")
+def load_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order, and then a patch of each third one: one attribute over another, and one more."""
+    db, orders = _database(spark, "orders"), table(spark, sf_dir, "orders")
+    db.load("orders", _documents(orders, "o_orderkey", "o_orderkey", o_orderkey="o_orderkey", o_custkey="o_custkey", o_orderstatus="o_orderstatus"))
+    patch = orders.where("o_orderkey % 3 = 0").withColumn("status", F.concat(F.lit("was "), "o_orderstatus"))
+    db.load("orders", _documents(patch, "o_orderkey", "o_orderkey", o_orderstatus="status", o_orderpriority="o_orderpriority"), "update")
+    return _attributes(db.read("orders"), "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+
+
 @query("SELECT o_orderkey, 'customer/' || o_custkey AS _to, o_orderstatus FROM orders UNION ALL SELECT c_custkey, NULL, c_name FROM customer")
 def dump_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document and an edge collection, dumped and restored into another catalog."""
