@@ -232,7 +232,7 @@ class Database:
         incoming = self.spark.read.schema(numbered.schema).parquet(staged)
         touched = [str(k) for k in seen.get["buckets"]]  # at most the number of buckets
         ordered = [*[f"order{i}" for i in range(len(order))], "row"]
-        base = {"folders": {}, "kind": entry["kind"]} if overwrite else entry
+        base = {**entry, "folders": {}} if overwrite else entry
         counts, over = self._write_layer(name, base, incoming, touched, ordered, mode, path)
         if details:
             counts["refused"] = self._refused(name, base, incoming, touched, ordered, order, mode, f"{self.folder}/{name}/refused-{load_id}")
@@ -245,7 +245,7 @@ class Database:
         full = [k for k, found in layers.items() if len(found) > MOST_LAYERS]
         if full:
             merged = self._rows(name, {**entry, "folders": layers}, full).withColumn("bucket", _bucket(entry["buckets"]))
-            merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}m")
+            merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}m")
             layers |= {k: [[f"{folder}m", False]] for k in full}
 
         def publish(meta: dict) -> None:
@@ -281,7 +281,7 @@ class Database:
         """Write what a load adds or changes, and only that; returns the counts, and whether keys of before are among it."""
         columns = [c.split()[0] for c in SCHEMAS[base["kind"]].split(", ")]
         old = self._keys(name, base, touched).select("_key", F.lit(True).alias("old"))
-        seen, more = Observation(), {}
+        seen, more, buckets = Observation(), {}, base["buckets"]
         if mode == "update":
             again = stored(incoming.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
             single = incoming.join(again, "_key", "left_anti") if not again.isEmpty() else incoming
@@ -302,7 +302,7 @@ class Database:
             after = _counted(met, seen)
             after = after if mode == "replace" else after.where("old IS NULL")
             after = after.select(*["_key" if c == "_key" else f"picked.{c}" for c in columns])
-        after.withColumn("bucket", _bucket(base.get("buckets") or self._entry(name)["buckets"])).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        after.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
         total = {k: (seen.get.get(k) or 0) + (more.get(k) or 0) for k in ("created", "repeats", "known")}
         if mode == "update":
             discard(again)
@@ -367,7 +367,7 @@ class Database:
         done = Observation()
         after = _counted(met, done)
         after = after if mode == "replace" else after.where("old IS NULL")
-        after.select(*["_key" if c == "_key" else f"picked.{c}" for c in columns], "collection", "bucket").write.partitionBy("collection", "bucket").parquet(path)
+        after.select(*["_key" if c == "_key" else f"picked.{c}" for c in columns], "collection", "bucket").hint("rebalance", "collection", "bucket").write.partitionBy("collection", "bucket").parquet(path)
         layers: dict[str, dict[str, list]] = {}
         for n in names:
             folder = f"v{entries[n]['version'] + 1}-{load_id[:16]}"
