@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import sys
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -15,6 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
+
+from ..scratch import stored
+from .ranges import bytes_of, chunks, opened, spread
 
 _SPACE = " \t\r\n"
 PLACE = ("file", "file_start", "line")
@@ -110,51 +115,64 @@ def json_elements(source: str | Callable[[int], str]) -> Iterator[str]:
 def _opened(path: str) -> io.TextIOWrapper:
     """A file's text, read as it is needed; the codec follows from the name."""
     import pyarrow as pa
-    import pyarrow.fs as fs
 
-    system, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    system, place = opened(path)
     codec = {"gz": "gzip", "gzip": "gzip", "zst": "zstd", "zstd": "zstd"}.get(place.lower().rpartition(".")[2])
     stream = system.open_input_stream(place, compression=None)
     return io.TextIOWrapper(pa.CompressedInputStream(stream, codec) if codec else stream, encoding="utf-8", newline="")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(path) of the files of a read, each in a partition of its own; their contents are not read."""
-    names = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
-    return spark.createDataFrame([(n,) for n in sorted(names)], "path string").repartition(max(1, len(names)), "path")
+def _elements_of(path: str, start: int, stop: int, whole: bool, length_known: bool) -> Iterator[str]:
+    if whole:
+        with _opened(path) as text:
+            yield from json_elements(text.read)
+        return
+    text = bytes_of(path, start, stop).decode()
+    ended = length_known  # the file's last chunk closes the array itself
+    yield from json_elements("[" + text[1:] + ("" if ended else "]"))
 
 
 def read_json_array(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
     """(ordinal, doc[, place]) of the elements of each file.
 
-    One array is scanned by one task, as a stream: memory holds a chunk or the longest element, not the file.
+    A large file is split among tasks between elements (see ``ranges``).  A compressed one, or one that is no whole array, is scanned by
+    one task as a stream, which holds a chunk or the longest element.
     """
+    parts = chunks(spark, path, json=True)
+    last = parts.groupBy("path").agg(F.max("stop").alias("end"))
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name in batch["path"]:
-                with _opened(name) as text:
-                    found, first = json_elements(text.read), 1
-                    while docs := list(islice(found, 2000)):
-                        yield pd.DataFrame({"file": name, "ordinal": range(first, first + len(docs)), "doc": docs})
-                        first += len(docs)
+            for row in batch.itertuples():
+                found, first = _elements_of(row.path, row.start, row.stop, row.whole, row.stop == row.end), 1
+                while docs := list(islice(found, 2000)):
+                    yield pd.DataFrame({"file": row.path, "file_start": row.start, "line": range(first, first + len(docs)), "doc": docs})
+                    first += len(docs)
 
-    rows = _files(spark, path).mapInPandas(elements, "file string, ordinal long, doc string")
-    return rows.select("ordinal", "doc", *(["file", F.lit(0).cast("long").alias("file_start"), F.col("ordinal").alias("line")] if place else []))
+    rows = spread(parts.join(last, "path")).mapInPandas(elements, "file string, file_start long, line long, doc string")
+    if place or parts.where("NOT whole").isEmpty():
+        return rows.select(F.col("line").alias("ordinal"), "doc", *(PLACE if place else []))
+    rows = stored(rows, "elements")
+    before = Window.partitionBy("file").orderBy("file_start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("file", "file_start").agg(F.count("*").alias("n")).select("file", "file_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    return rows.join(counts, ["file", "file_start"]).select((F.col("earlier") + F.col("line")).alias("ordinal"), "doc")
 
 
 def _ragged(width: int, separator: str):
     names = [f"c{i}" for i in range(width)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(sys.maxsize)
         for batch in batches:
-            for name in batch["path"]:
-                with _opened(name) as text:
+            for row in batch.itertuples():
+                text = _opened(row.path) if row.whole else io.StringIO(bytes_of(row.path, row.start, row.stop).decode(), newline="")
+                with text:
                     records, first = csv.reader(text, delimiter=separator), 1
-                    next(records, None)
+                    if row.start == 0:
+                        next(records, None)
                     while chunk := list(islice((r for r in records if r), 10_000)):
                         cells = [[*r[:width], *[None] * (width - len(r))] for r in chunk]
-                        yield pd.DataFrame(cells, columns=names, dtype=object).assign(file=name, file_start=0, line=range(first, first + len(cells)))
+                        yield pd.DataFrame(cells, columns=names, dtype=object).assign(file=row.path, file_start=row.start, line=range(first, first + len(cells)))
                         first += len(cells)
 
     return run
@@ -164,9 +182,8 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", multi_l
     """Text columns named by the header line; duplicate header names keep the last column.
 
     Files of one read share their header.  An empty cell is empty text, a cell that a short row lacks is null, and
-    what a long row has too much is left out.  Files are split among tasks; only where records run over several
-    lines (``multi_line``; by default that is found out, by lines with an odd number of quotes) one task
-    reads a file, as a stream.
+    what a long row has too much is left out.  Files are split among tasks, between records where those run over several
+    lines (``multi_line``; by default that is found out, by lines with an odd number of quotes; see ``ranges``).
     """
     header = spark.read.csv(path, sep=separator, quote='"', escape='"', multiLine=True, header=False, inferSchema=False).limit(1).collect()
     if not header:
@@ -179,7 +196,7 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", multi_l
     text = [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
     if multi_line:
         schema = T.StructType([*text, T.StructField("file", T.StringType()), T.StructField("file_start", T.LongType()), T.StructField("line", T.LongType())])
-        rows = _files(spark, path).mapInPandas(_ragged(width, separator), schema)
+        rows = spread(chunks(spark, path, json=False, separator=separator)).mapInPandas(_ragged(width, separator), schema)
         cells = [F.col(f"c{i}") for i in range(width)]
     else:
         schema = T.StructType([*text, T.StructField("odd", T.StringType())])
