@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ from .shared import bounded, save
 
 A_END, B_END, BOTH = 1, 2, 3
 BLOCK_BYTES = 4 << 20
-CACHED = 200_000
+CACHED = 500_000
 GROUP_BYTES = 1 << 20  # of texts aligned side by side
 _SPAN = re.compile(rb"[^\x03]*\x03")
 
@@ -64,12 +65,12 @@ def byte_labels(a_ends: np.ndarray, b_ends: np.ndarray, size: int) -> np.ndarray
 
 def spans(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(end, tokens of A, tokens of B) of each span up to a both-label."""
-    ends = np.array([m.end() for m in _SPAN.finditer(labels)], np.int64)
+    found = _SPAN.findall(labels)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
     if not len(ends):
         return ends, ends, ends
     starts = np.append(0, ends[:-1])
-    count = lambda bit: np.add.reduceat((labels & bit) // bit, starts, dtype=np.int64)
-    return ends, count(A_END), count(B_END)
+    return ends, np.add.reduceat(labels & A_END, starts, dtype=np.int64), np.add.reduceat(labels >> 1, starts, dtype=np.int64)
 
 
 class Alignment:
@@ -143,8 +144,12 @@ def _blocks(a_path: str | None, b_path: str | None, id_type: pa.DataType):
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal count, size
             owner, pair = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
-            pairs, place = np.unique(pair, return_inverse=True)
-            key, times = np.unique(owner * max(1, len(pairs)) + place, return_counts=True)
+            place, pairs = pd.factorize(pair)
+            order = np.argsort(pairs)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            each, key = pd.factorize(owner * max(1, len(pairs)) + rank[place])  # in order of documents
+            pairs, times = pairs[order], np.bincount(each, minlength=len(key))
             owner, place = key // max(1, len(pairs)), key % max(1, len(pairs))
             n_a, n_b, n_groups = np.concatenate(stats).T
             columns = [pairs, np.bincount(place, minlength=len(pairs)), n_a, n_b, n_groups, digests, np.bincount(owner, minlength=len(ids)), place, times]
