@@ -230,7 +230,7 @@ class Database:
         numbered = rows.select(*kept, *orders, F.monotonically_increasing_id().alias("row")).withColumn("_key", given).withColumn("bucket", _bucket(entry["buckets"]))
         numbered.observe(seen, F.collect_set("bucket").alias("buckets")).write.mode("overwrite").parquet(staged)
         incoming = self.spark.read.schema(numbered.schema).parquet(staged)
-        touched = [str(k) for k in seen.get["buckets"]]  # at most the number of buckets
+        touched = [str(k) for k in _seen(seen, incoming, F.collect_set("bucket").alias("buckets"))["buckets"]]  # at most the number of buckets
         ordered = [*[f"order{i}" for i in range(len(order))], "row"]
         base = {**entry, "folders": {}} if overwrite else entry
         counts, over = self._write_layer(name, base, incoming, touched, ordered, mode, path)
@@ -289,6 +289,7 @@ class Database:
             late = [c for c in columns if c not in ("_key", "doc")]
             was = before.select("_key", F.col("doc").alias("old_doc"), F.lit(True).alias("old"), *[F.col(c).alias(f"old_{c}") for c in late])
             met = single.join(was, "_key", "left").withColumn("n", F.lit(1))
+            keys = met
             met = _counted(met, seen).select("_key", *[F.coalesce(c, f"old_{c}").alias(c) for c in late], "old_doc", F.col("doc").alias("new_doc"))
             after = patched(met, "old_doc", "new_doc").select(*columns)
             if not again.isEmpty():
@@ -299,11 +300,12 @@ class Database:
             row = F.struct(*ordered, *[c for c in columns if c != "_key"])
             picked = (F.max if mode == "replace" else F.min)(row).alias("picked")
             met = incoming.groupBy("bucket", "_key").agg(picked, F.count("*").alias("n")).join(old, "_key", "left")
-            after = _counted(met, seen)
+            keys, after = met, _counted(met, seen)
             after = after if mode == "replace" else after.where("old IS NULL")
             after = after.select(*["_key" if c == "_key" else f"picked.{c}" for c in columns])
         after.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        total = {k: (seen.get.get(k) or 0) + (more.get(k) or 0) for k in ("created", "repeats", "known")}
+        found = _seen(seen, keys, *_measures())
+        total = {k: (found[k] or 0) + (more.get(k) or 0) for k in ("created", "repeats", "known")}
         if mode == "update":
             discard(again)
         counts = {"created": total["created"], "updated": 0, "ignored": 0, "errors": 0}
@@ -339,7 +341,8 @@ class Database:
         orders = [F.col(f"`{c}`").alias(f"order{i}") for i, c in enumerate(order)]
         numbered = rows.select("collection", *columns, *orders, F.monotonically_increasing_id().alias("row"))
         numbered.observe(seen, F.collect_set("collection").alias("names")).write.parquet(staged)
-        names = sorted(seen.get["names"])  # the catalog's log lists every collection anyway
+        incoming = self.spark.read.schema(numbered.schema).parquet(staged)
+        names = sorted(_seen(seen, incoming, F.collect_set("collection").alias("names"))["names"])  # the catalog's log lists every collection anyway
         for n in names:
             _checked(n)
 
@@ -351,7 +354,7 @@ class Database:
 
         entries = self._change(ensure)["collections"]
         counted = self.spark.createDataFrame([(n, entries[n]["buckets"]) for n in names], "collection string, buckets int")
-        incoming = self.spark.read.schema(numbered.schema).parquet(staged).join(counted, "collection")
+        incoming = incoming.join(counted, "collection")
         incoming = incoming.withColumn("bucket", F.pmod(F.xxhash64("_key"), F.col("buckets")).cast("int"))
         paths = [f"{self.folder}/{n}/{f}" for n in names for f in sorted({f for f, _ in _pieces(entries[n])})]
         live = {f"{n}/{f}/bucket={k}" for n in names for f, k in _pieces(entries[n])}
@@ -368,6 +371,9 @@ class Database:
         after = _counted(met, done)
         after = after if mode == "replace" else after.where("old IS NULL")
         after.select(*["_key" if c == "_key" else f"picked.{c}" for c in columns], "collection", "bucket").hint("rebalance", "collection", "bucket").write.partitionBy("collection", "bucket").parquet(path)
+        total = _seen(done, met, *_measures())
+        counts = {"created": total["created"] or 0, "updated": 0, "ignored": 0, "errors": 0}
+        counts[{"error": "errors", "ignore": "ignored"}.get(mode, "updated")] = total["repeats"] or 0
         layers: dict[str, dict[str, list]] = {}
         for n in names:
             folder = f"v{entries[n]['version'] + 1}-{load_id[:16]}"
@@ -394,8 +400,6 @@ class Database:
         finally:
             delete(self.spark, staged)
             delete(self.spark, path)
-        counts = {"created": done.get["created"] or 0, "updated": 0, "ignored": 0, "errors": 0}
-        counts[{"error": "errors", "ignore": "ignored"}.get(mode, "updated")] = done.get["repeats"] or 0
         return counts
 
     def inventory(self, include_system: bool = False, include: str | None = None, exclude: str | None = None, meta: dict | None = None) -> DataFrame:
@@ -506,6 +510,14 @@ def _measures() -> list[Column]:
     return [F.count_if(F.col("old").isNull()).alias("created"), repeats.alias("repeats"), F.count_if(F.col("old")).alias("known")]
 
 
+def _seen(seen: Observation, rows: DataFrame, *measures: Column) -> dict:
+    """What was observed while ``rows`` were written, or, where nothing was and the plan ended as an empty one, what they measure."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return rows.agg(*measures).first().asDict()
+
+
 def _counted(keys: DataFrame, seen: Observation) -> DataFrame:
     return keys.observe(seen, *_measures())
 

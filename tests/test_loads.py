@@ -213,3 +213,13 @@ def test_refused_rows_are_listed(spark, tmp_path):
     counts = db.load("c", rows(spark, ['{"_key":"b"}', '{"_key":"a"}', '{"_key":"b","v":2}', '{"_key":"c"}']), details=True)
     refused = sorted(map(tuple, spark.read.parquet(counts["refused"]).select("ordinal", "_key", "reason").collect()))
     assert refused == [(1, "a", "the collection has the key"), (2, "b", "an earlier row has the key")] and counts["errors"] == 2
+
+
+def test_loads_that_change_nothing_are_counted(spark, tmp_path):
+    db = database(spark, tmp_path)
+    docs = [f'{{"_key":"{k}"}}' for k in range(30)]
+    db.load("c", rows(spark, docs))
+    assert db.load("c", rows(spark, docs)) == {"created": 0, "updated": 0, "ignored": 0, "errors": 30}
+    for mode in ("error", "ignore", "replace", "update"):
+        assert set(db.load("c", rows(spark, docs).limit(0), mode).values()) == {0}
+    assert db.count("c") == 30
