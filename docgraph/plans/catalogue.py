@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, keys
@@ -163,11 +164,20 @@ def dump_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.read("orders").select(key, "_to", name).unionByName(back.read("customer").select(key, F.lit(None).cast("string").alias("_to"), name))
 
 
-@query("SELECT * FROM (VALUES ('customer', 'document'), ('nation', 'document'), ('placed', 'edge'), ('region', 'document')) t(name, kind)")
+@query("""SELECT 'customer' AS name, 'document' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'nation', 'document', count(*) FROM nation
+    UNION ALL SELECT 'placed', 'edge', count(*) FROM customer UNION ALL SELECT 'region', 'document', count(*) FROM region""")
 def graph_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named graph creates the collections that it lacks; they are loaded and counted."""
     db = _database(spark)
     db.create_graph("g", ["placed:customer->nation"], ["region"])
-    return db.inventory().select("name", "kind")
+    customers = table(spark, sf_dir, "customer")
+    db.load("customer", _documents(customers, "c_custkey", "c_custkey", c_name="c_name"))
+    db.load("nation", _documents(table(spark, sf_dir, "nation"), "n_nationkey", "n_nationkey", n_name="n_name"))
+    db.load("region", _documents(table(spark, sf_dir, "region"), "r_regionkey", "r_regionkey", r_name="r_name"))
+    ends = [F.concat(F.lit(f"{kind}/"), F.col(c).cast("string")).alias(end) for end, kind, c in (("_from", "customer", "c_custkey"), ("_to", "nation", "c_nationkey"))]
+    db.load("placed", customers.select(F.col("c_custkey").alias("ordinal"), F.col("c_custkey").cast("string").alias("_key"), *ends, F.lit("{}").alias("doc")))
+    counts = [db.read(r.name).agg(F.count("*").alias("n")).select(F.lit(r.name).alias("name"), F.lit(r.kind).alias("kind"), "n") for r in db.inventory().collect()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 # Files written and read again
@@ -560,30 +570,37 @@ def turtle_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Catalog metadata
 
-_NAMES = ["customer", "orders", "lineitem", "part", "_users", "_graphs", "part_tmp", "orders_tmp", "nation"]
+_NAME = "CASE WHEN c_custkey % 10 = 0 THEN '_' ELSE '' END || c_mktsegment || '_' || c_custkey || CASE WHEN c_custkey % 7 = 0 THEN '_tmp' ELSE '' END"
 
 
-@query("SELECT name FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") t(name) WHERE left(name, 1) <> '_' AND regexp_matches(name, 'or|part') AND NOT regexp_matches(name, '_tmp$')")
+@query(f"SELECT name FROM (SELECT {_NAME} AS name FROM customer) WHERE left(name, 1) <> '_' AND regexp_matches(name, '[13]|BU') AND NOT regexp_matches(name, '_tmp$')")
 def collection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(n, catalog.is_system(n)) for n in _NAMES], "name string, is_system boolean")
-    return catalog.filter_collections(df, include="or|part", exclude="_tmp$").select("name")
+    names = table(spark, sf_dir, "customer").select(F.expr(_NAME).alias("name"))
+    return catalog.filter_collections(names.withColumn("is_system", F.startswith("name", F.lit("_"))), include="[13]|BU", exclude="_tmp$").select("name")
 
 
-@query("SELECT * FROM (VALUES ('v1', 'docs'), ('v1', 'more'), ('v2', 'docs')) t(name, target)")
+@query("""SELECT 'v' || c_custkey AS name, 'segment_' || c_mktsegment AS target FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT 'v' || c_custkey, 'nation_' || c_nationkey FROM customer WHERE c_custkey % 3 < 2""")
 def view_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = [("v1", '{"links":{"more":{},"docs":{"fields":{"a":1}}}}'), ("v2", '{"indexes":[{"collection":"docs"},{"collection":"docs"}]}'), ("v3", '{"other":1}')]
-    return catalog.view_targets(spark.createDataFrame(views, "name string, doc string"))
+    """What a view for each customer rests on: two links, an index listed twice, or nothing."""
+    links = F.format_string('{"links":{"segment_%s":{"fields":{"a":1}},"nation_%d":{}}}', "c_mktsegment", "c_nationkey")
+    indexes = F.format_string('{"indexes":[{"collection":"nation_%d"},{"collection":"nation_%d"}]}', "c_nationkey", "c_nationkey")
+    kind = F.col("c_custkey") % 3
+    doc = F.when(kind == 0, links).when(kind == 1, indexes).otherwise('{"other":1}')
+    return catalog.view_targets(table(spark, sf_dir, "customer").select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("name"), doc.alias("doc")))
 
 
-@query("""SELECT database, collection, CAST(row_number() OVER (ORDER BY database DESC, is_edge, position) AS INTEGER) AS step FROM (VALUES
-    (1, 'db2', 'knows', true), (2, 'db2', 'people', false), (3, 'db1', 'users', false), (5, 'db2', 'things', false)) t(position, database, collection, is_edge)""")
+@query("""WITH u AS (SELECT o_orderstatus AS database, 'c' || (o_custkey % 50) AS collection, min(o_orderkey) AS position, max(o_custkey % 50 % 3 = 0) AS is_edge FROM orders GROUP BY 1, 2),
+    d AS (SELECT database, min(position) AS first FROM u GROUP BY 1)
+    SELECT u.database, collection, CAST(row_number() OVER (ORDER BY first, is_edge, position) AS INTEGER) AS step FROM u JOIN d ON u.database = d.database""")
 def restore_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "db2", "knows", True), (2, "db2", "people", False), (3, "db1", "users", False), (4, "db2", "knows", True), (5, "db2", "things", False)]
-    from pyspark.sql import Window
-
-    units = restore_units(spark.createDataFrame(rows, "position int, database string, collection string, is_edge boolean"))
+    """Artifacts listed by orders: a database for each status, and collections of both kinds."""
+    group = F.col("o_custkey") % 50
+    listed = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("position"), F.col("o_orderstatus").alias("database"), F.concat(F.lit("c"), group.cast("string")).alias("collection"), (group % 3 == 0).alias("is_edge")
+    )
     step = F.row_number().over(Window.orderBy("database_position", "is_edge", "position"))
-    return units.select("database", "collection", step.alias("step"))
+    return restore_units(listed).select("database", "collection", step.alias("step"))
 
 
 # Relational queries over collections: what Spark SQL supplies
