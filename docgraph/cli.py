@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 import threading
 import time
@@ -25,7 +26,7 @@ from .operators.edges import preflight
 from .operators.export import listed, put
 from .operators.resume import load_in_steps
 from .operators.reshape import refuse_reshape, to_documents, typed_cells
-from .options import OptionError, Reshape, infer_codec, infer_document_format, infer_rdf_format, spark_path
+from .options import OptionError, Reshape, infer_codec, infer_document_format, infer_rdf_format, redacted, spark_path
 from .scratch import new_folder
 from .sources.documents import PLACE, first_bad_line, read_delimited, read_json_array, read_jsonl
 from .sources.rdf_lines import read_statements
@@ -241,6 +242,7 @@ def _bad_place(spark: SparkSession, a: argparse.Namespace, error: Exception) ->
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL + 1)  # which would repeat a failing query on standard error
     spark = SparkSession.builder.appName("docgraph").getOrCreate()
     event("started", command=a.command)
     try:
@@ -253,8 +255,12 @@ def main(argv: list[str] | None = None) -> int:
             event("failed", error=message)
             print(json.dumps({"ok": False, "error": message}))
             return 2
-        event("failed", error=str(error).splitlines()[0])
-        print(json.dumps({"ok": False, "error": str(error).splitlines()[0]}))
+        message = str(error).splitlines()[0]
+        if getattr(a, "query", None):  # Spark's own errors repeat parts of a query
+            message = redacted(message, [a.query, *(x.split("=", 1)[-1] for x in a.bind)])
+        message = redacted(message) if "://" in message and "@" in message else message
+        event("failed", error=message)
+        print(json.dumps({"ok": False, "error": message}))
         return 2
     event("finished", command=a.command)
     print(json.dumps({"ok": not result.get("errors"), **result}))

@@ -136,3 +136,15 @@ def spark_path(uri: str) -> str:
     if scheme not in SCHEMES:
         raise OptionError(f"unknown storage scheme '{scheme}'")
     return f"{SCHEMES[scheme]}://{rest}"
+
+
+_TEXT = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*\"""")
+_LOGIN = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]+@")
+
+
+def redacted(message: str, values: list[str] = ()) -> str:
+    """A message without the texts that a query's literals hold, bound ``values``, and the logins of addresses."""
+    message = _LOGIN.sub(r"\1***@", message)
+    for value in sorted({v for v in values if v}, key=len, reverse=True):
+        message = message.replace(value, "***")
+    return _TEXT.sub("'***'", message)
