@@ -20,9 +20,9 @@ _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.?)", re.DOTALL)
 _PLAIN = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(values: pd.Series) -> pd.Series:
-    """Escapes decoded; only lines with a backslash come here."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescaped(groups: pd.Series) -> pd.Series:
+    """The groups of statements with their escapes decoded; only lines with a backslash come here, once each."""
 
     def one(m: re.Match) -> str:
         code = m[1]
@@ -35,7 +35,7 @@ def unescaped(values: pd.Series) -> pd.Series:
             raise ValueError(f"unknown escape {m[0]}")
         return _PLAIN[code]
 
-    return pd.Series([_ESCAPE.sub(one, v) if isinstance(v, str) and "\\" in v else v for v in values], dtype=object)
+    return pd.Series([[_ESCAPE.sub(one, v) if "\\" in v else v for v in row] for row in groups], dtype=object)
 
 
 def parse_statements(lines: DataFrame, quads: bool, line_col: str = "value", ordinal_col: str | None = None) -> DataFrame:
@@ -59,8 +59,8 @@ def _parsed(rows: DataFrame, quads: bool, numbered: bool, escapes: bool) -> Data
     rows = rows.select("ordinal", "which", F.when(F.size("m") == 11, F.col("m")).otherwise(refused).alias("m"))
     got = {n: F.col("m")[n - 1] for n in range(1, 12)}
     if escapes:
-        rows = rows.select("ordinal", "which", *[unescaped(got[n]).alias(f"g{n}") for n in range(1, 12)], F.col("m"))
-        got = {n: F.col(f"g{n}") for n in range(1, 12)}
+        rows = rows.withColumn("decoded", unescaped("m"))
+        got = {n: F.col("decoded")[n - 1] for n in range(1, 12)}
     raw = {n: F.col("m")[n - 1] for n in range(1, 12)}
     literal = raw[6] != ""
     out = rows.select(
