@@ -20,24 +20,29 @@ from .shared import new_path, save
 
 SLOTS = 8192
 ROW_OVERHEAD = 16
+#: Equal rows that are numbered together.
+REPEATS = 65_536
 
 
 def record_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """Narrow rows (doc_id, size, text_crc32, virtual_slot), stored once; texts are read a single time.
 
-    The row's number salts the slot, so that a row that is repeated very often, or ids that are null, fill no slot; the
-    stored table keeps what was drawn.
+    A slot follows from the record alone: its id, checksum, size, and its number among the rows that are equal in these, so that a
+    row that is repeated very often fills no slot.  Equal rows are counted, with partial counts before the
+    exchange, and written out again by number, in blocks that tasks of their own take; which of them gets which number makes no difference.
     """
     text = F.col(text_col).cast("string")
-    return save(
-        df.select(
-            F.col(id_col).alias("doc_id"),
-            (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_OVERHEAD).alias("size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-            F.pmod(F.xxhash64(F.col(id_col), text, F.monotonically_increasing_id()), F.lit(slots)).cast("int").alias("virtual_slot"),
-        ),
-        "shard-records",
+    narrow = df.select(
+        F.col(id_col).alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_OVERHEAD).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
+    record = ("doc_id", "size", "text_crc32")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS).cast("long"))).alias("block")
+    spread = narrow.groupBy(*record).agg(F.count("*").alias("n")).select(*record, "n", blocks).repartition(*record, "block")
+    number = F.explode(F.sequence("block", F.least(F.col("block") + REPEATS, "n") - 1)).alias("number")
+    slot = F.pmod(F.xxhash64(*record, "number"), F.lit(slots)).cast("int").alias("virtual_slot")
+    return save(spread.select(*record, number).select(*record, slot), "shard-records")
 
 
 def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -143,6 +148,10 @@ class SlotMap:
         table.where(F.col("version") == number).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/version={number}")
         return self.version(number)
 
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def newest(self) -> int:
         return self._all().agg(F.max("version")).first()[0]
 
@@ -178,11 +187,16 @@ def shard_documents(df: DataFrame, shards: int, id_col: str = "doc_id", text_col
     the checksum of the empty text; a null id is hashed like any value; equal rows, and the
     rows of a group of equal texts, are spread over slots and shards like any others (the law asks for
     equal bytes, and one group may hold a third of them), and get places of their own; an empty table
-    gives no rows; other columns are not read.
+    gives no rows; other columns are not read.  However the table is partitioned, a record keeps its slot.
+
+    Where ``path`` holds a map, its newest version is edited for the present bytes and ``shards``, and stored as the next
+    one: only slots move that restore the balance.  Otherwise version 1 is stored there.
     """
     records = record_table(df, id_col, text_col, slots)
     sizes = save(slot_bytes(records, slots), "slot-bytes")
-    slot_map = SlotMap(df.sparkSession, path).store(new_map(sizes, shards))
+    stored = SlotMap(df.sparkSession, path)
+    known = stored.exists()
+    slot_map = stored.store(rebalanced_map(stored.version(stored.newest()), sizes, shards) if known else new_map(sizes, shards))
     return assign(records, sizes, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",

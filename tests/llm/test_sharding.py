@@ -2,6 +2,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from docgraph.llm import sharding
 from docgraph.llm.sharding import SlotMap, new_map, rebalanced_map, record_table, shard_documents, slot_bytes
 
 
@@ -47,3 +48,28 @@ def test_empty_table_and_native_plan(spark):
     plan = shard_documents(spark.createDataFrame(texts(20), "doc_id long, text string, s string"), 3, slots=64)
     assert not any(w in plan._jdf.queryExecution().toString() for w in ("Python", "Pandas", "Arrow"))
     assert plan.agg(F.count("*")).first()[0] == 23
+
+
+def test_slots_follow_from_records_alone(spark):
+    data = texts() + [(9, "again and again", "x")] * 3000
+    df = spark.createDataFrame(data, "doc_id long, text string, shard string")
+    one, two = (sorted(map(repr, shard_documents(df.repartition(n), 7, slots=512).collect())) for n in (1, 5))
+    assert one == two
+    again = [r.virtual_slot for r in record_table(df, slots=512).where("doc_id = 9 AND size = 31").collect()]
+    assert len(again) == 3000 and len(set(again)) > 450
+
+
+def test_repeats_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 7)
+    df = spark.createDataFrame([(1, "a", "x")] * 50 + [(2, None, "y")], "doc_id long, text string, number string")
+    assert record_table(df, slots=64).count() == 51
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    df = spark.createDataFrame(texts(), "doc_id long, text string, shard string")
+    path = str(tmp_path / "map")
+    one = {r.virtual_slot: r.shard for r in shard_documents(df, 7, slots=512, path=path).collect()}
+    two = {r.virtual_slot: r.shard for r in shard_documents(df.repartition(3), 8, slots=512, path=path).collect()}
+    assert one.keys() == two.keys() and SlotMap(spark, path).newest() == 2
+    moved = [s for s in one if one[s] != two[s]]
+    assert moved and all(two[s] == 7 for s in moved)
