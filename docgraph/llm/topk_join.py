@@ -1,10 +1,11 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
 Pivots, chosen from a bounded sample, divide the vectors into cells.  Summaries of
-the cells (the least distances to the pivot) give every group of queries a score
-that at least k candidates are sure to reach.  A vector is replicated to a group
-only if its cell and its distance to the pivot leave a chance of that score.  Each
-(group, block of vectors) is solved locally, and the local winners are merged.
+the cells (the least distances to the pivot) and the sample itself give every query a
+score that at least k candidates are sure to reach, and with it, for every cell, the distance to the
+pivot from which a vector has a chance of that score.  Queries of near cells form groups; a group's
+bound is its lowest.  A vector is replicated to a group only if it lies beyond the group's bound for
+its cell.  Each (group, piece of a cell) is solved locally, and the local winners are merged.
 
 Vectors are whole numbers (floor(scale * x)); scores are exact integers.  The bounds
 only prune, with slack for rounding.
@@ -23,9 +24,11 @@ from pyspark.sql import Window
 
 from .shared import lowest_hashes, save
 
+#: Bounds of what the driver holds: pivots are the root of the rows, within these, and the sample has some rows for each.
+PIVOTS = (16, 4096)
+SAMPLE_PER_PIVOT = 16
 SAMPLE = 4096
-PIVOTS = 64
-GROUP_QUERIES = 2048
+GROUP_QUERIES = 256
 BLOCK_VECTORS = 16_384
 _NO_ID = (1 << 63) - 1  # stands for a null id while vectors are compared
 
@@ -86,22 +89,37 @@ def _cells(pivots: np.ndarray):
     return run
 
 
-def _thresholds(pivots: np.ndarray, groups: pd.DataFrame, least: pd.DataFrame, k: int) -> np.ndarray:
-    """[group, cell]: the distance to the cell's pivot from which a vector may matter to the group."""
-    lengths = np.sqrt((pivots**2).sum(1))
-    out = np.full((int(groups.grp.max()) + 1 if len(groups) else 0, len(pivots)), np.inf)
+def _chain(pivots: np.ndarray) -> list[int]:
+    """The cells in an order in which each is followed by the nearest of those left."""
+    left, order = np.ones(len(pivots), bool), [0]
+    left[0] = False
+    while left.any():
+        far = ((pivots - pivots[order[-1]]) ** 2).sum(1)
+        order.append(int(np.argmin(np.where(left, far, np.inf))))
+        left[order[-1]] = False
+    return order
+
+
+def _bounds(pivots: np.ndarray, sample: np.ndarray, least: pd.DataFrame, k: int):
+    """Of a group of queries: for each cell, the distance to its pivot from which a vector may matter to one of them."""
     cell, far = least.cell.to_numpy(), least.far.to_numpy()
-    for grp, members in groups.groupby("grp"):
-        # One group holds queries of several cells: bounds are the worst of its cells.
-        centre = pivots[members.cell.to_numpy()]
-        reach, norm = members.reach.to_numpy()[:, None], members.norm.max()
-        low = (centre @ pivots.T - reach * lengths).min(axis=0)
-        high = (centre @ pivots.T + reach * lengths).max(axis=0)
-        sure = np.sort(low[cell] - norm * far)[::-1]
-        reached = sure[k] if len(sure) > k else -np.inf  # k + 1 of them: one may be the query itself
-        slack = 1e-9 * (np.abs(high).max() + norm * (far.max() if len(far) else 0) + 1)
-        out[grp] = (reached - high - slack) / max(norm, 1e-12) if norm > 0 else -np.inf
-    return out
+    farthest = far.max() if len(far) else 0.0
+
+    def best(scores: np.ndarray) -> np.ndarray:
+        """The score of place k + 1 in each line, since one of them may be the query itself."""
+        return -np.partition(-scores, k, axis=1)[:, k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+
+    def run(queries: pd.DataFrame) -> pd.DataFrame:
+        q = _matrix(queries.v, pivots.shape[1])
+        norm = np.sqrt((q**2).sum(1))[:, None]
+        to_pivot, to_sample = q @ pivots.T, q @ sample.T
+        reached = np.maximum(best(to_pivot[:, cell] - norm * far), best(to_sample))[:, None]
+        slack = 1e-9 * (np.abs(to_pivot).max() + np.abs(to_sample).max() + norm * farthest + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bound = np.where(norm > 0, (reached - to_pivot - slack) / norm, -np.inf)
+        return pd.DataFrame({"grp": queries.grp.iat[0], "cell": np.arange(len(pivots)), "bound": bound.min(axis=0)})
+
+    return run
 
 
 def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
@@ -121,8 +139,10 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     dim, total, queries = vectors.agg(F.max("dim"), F.count("*"), F.count_if("query")).first()
     if not queries:
         return spark.createDataFrame([], result)
-    sample = lowest_hashes(vectors, "row", SAMPLE, total).select("v").collect()
-    pivots = _pivots(_matrix([r.v for r in sample], max(1, dim)), PIVOTS)
+    width = max(1, dim)
+    count = int(min(max(total**0.5, PIVOTS[0]), PIVOTS[1]))
+    sample = _matrix((r.v for r in lowest_hashes(vectors, "row", max(SAMPLE, SAMPLE_PER_PIVOT * count), total).select("v").collect()), width)
+    pivots = _pivots(sample, count)
     placed = save(vectors.mapInArrow(_cells(pivots), "id long, row long, query boolean, v binary, cell int, far double, norm double"), "cells")
 
     nearest = Window.partitionBy("cell").orderBy("far")
@@ -130,38 +150,25 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     few = part.withColumn("r", F.row_number().over(Window.partitionBy("part", "cell").orderBy("far"))).where(F.col("r") <= k + 1)
     least = few.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1).select("cell", "far").toPandas()
 
-    # Query groups: runs of cells, cut so that none holds more than GROUP_QUERIES queries of a hash bucket.
-    per_cell = placed.where("query").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("reach"), F.max("norm").alias("norm")).orderBy("cell").toPandas()
-    first, parts, rows, at, held = {}, {}, [], 0, 0
-    for cell, n, reach, norm in per_cell.itertuples(index=False):
-        pieces = -(-n // GROUP_QUERIES)
-        if held and (pieces > 1 or held + n > GROUP_QUERIES):
+    # One row for each cell, of which there are at most PIVOTS[1]: its vectors' number and reach, and its queries' groups.
+    cells = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("query").alias("queries"), F.max("far").alias("reach")).collect()}
+    rows, at, held = [], 0, 0
+    for cell in (c for c in _chain(pivots) if c in cells):
+        n = cells[cell].queries
+        split = max(1, -(-n // GROUP_QUERIES))
+        if held and held + n > GROUP_QUERIES:
             at, held = at + 1, 0
-        first[int(cell)], parts[int(cell)] = at, int(pieces)
-        rows += [(at + p, int(cell), reach, norm) for p in range(int(pieces))]
-        at, held = (at + int(pieces), 0) if pieces > 1 else (at, held + n)
-    groups = pd.DataFrame(rows, columns=["grp", "cell", "reach", "norm"])
-    bounds = _thresholds(pivots, groups, least, k)
-    blocks = max(1, -(-total // BLOCK_VECTORS))
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, far = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            for grp in range(len(bounds)):
-                at = pa.array(np.flatnonzero(far >= bounds[grp, cell]))
-                block = pa.array((batch.column(1).take(at).to_numpy() % blocks).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), grp, np.int32)), block, *(batch.column(i).take(at) for i in (0, 1, 3))], names=["grp", "block", "id", "row", "v"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grp = np.array([first[c] + r % parts[c] for c, r in zip(batch.column(4).to_pylist(), batch.column(1).to_pylist())], np.int32)
-            for block in range(blocks):
-                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(np.full(len(grp), block, np.int32)), *(batch.column(i) for i in (0, 1, 3))], names=["grp", "block", "id", "row", "v"])
-
-    schema = "grp int, block int, id long, row long, v binary"
-    asked = placed.where("query").mapInArrow(spread, schema).groupBy("grp", "block")
-    needed = placed.mapInArrow(replicate, schema).groupBy("grp", "block")
-    width = max(1, dim)
+        rows.append((cell, at, split, max(1, -(-cells[cell].n // BLOCK_VECTORS)), cells[cell].reach))
+        at, held = (at + split, 0) if split > 1 else (at, held + n)
+    layout = F.broadcast(spark.createDataFrame(rows, "cell int, first int, split int, pieces int, reach double"))
+    drawn = F.xxhash64("row")
+    grp = (F.col("first") + F.pmod(drawn, F.col("split"))).cast("int").alias("grp")
+    queries_of = save(placed.where("query").join(layout, "cell").select(grp, "id", "row", "v"), "queries")
+    bounds = queries_of.groupBy("grp").applyInPandas(_bounds(pivots, sample[:SAMPLE], least, k), "grp int, cell int, bound double")
+    bounds = save(bounds.join(layout.select("cell", "pieces", "reach"), "cell").where("reach >= bound").drop("reach"), "bounds")
+    needed = placed.join(bounds, "cell").where("far >= bound").select("grp", "cell", F.pmod(drawn, F.col("pieces")).cast("int").alias("piece"), "id", "row", "v")
+    wanted = bounds.select("grp", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    asked = queries_of.join(wanted, "grp").select("grp", "cell", "piece", "id", "row", "v")
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -187,7 +194,8 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                 out += [(own, q.id.iat[at + i], ids[near[o]], value[o], rows[near[o]]) for o in order]
         return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score", "vec_row"]).astype("Int64")
 
-    local = asked.cogroup(needed).applyInPandas(solve, "row long, query_id long, vec_id long, score long, vec_row long")
+    by = ("grp", "cell", "piece")
+    local = asked.groupBy(*by).cogroup(needed.groupBy(*by)).applyInPandas(solve, "row long, query_id long, vec_id long, score long, vec_row long")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "vec_row")
     ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     id_or_null = F.when(F.col("vec_id") != _NO_ID, F.col("vec_id"))

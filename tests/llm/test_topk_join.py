@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docgraph.llm import topk_join
-from docgraph.llm.shared import lowest_hashes
+from docgraph.llm.shared import lowest_hashes, save
 from docgraph.llm.topk_join import exact_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
@@ -44,6 +44,7 @@ def test_many_groups_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk_join, "GROUP_QUERIES", 6)
     monkeypatch.setattr(topk_join, "BLOCK_VECTORS", 50)
     monkeypatch.setattr(topk_join, "SAMPLE", 40)
+    monkeypatch.setattr(topk_join, "SAMPLE_PER_PIVOT", 2)
     check(spark, vectors(200), 3)
 
 
@@ -69,3 +70,21 @@ def test_components_beyond_a_long_fail_the_job(spark):
     df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="no long"):
         exact_top_k(df, F.col("vec_id") == 0).collect()
+
+
+def test_near_vectors_only_are_replicated(spark, monkeypatch):
+    """Of 40 clusters, a group of queries gets a part; results are those of brute force."""
+    r = random.Random(3)
+    centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, [x + r.gauss(0, 0.05) for x in centres[i % 40]]) for i in range(1200)]
+    seen = {}
+
+    def kept(df, name):
+        seen[name] = save(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(topk_join, "save", kept)
+    monkeypatch.setattr(topk_join, "GROUP_QUERIES", 32)
+    check(spark, rows)
+    share = seen["cells"].join(seen["bounds"], "cell").where("far >= bound").count() / 1200 / seen["queries"].select("grp").distinct().count()
+    assert share < 0.3
