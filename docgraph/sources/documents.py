@@ -112,19 +112,19 @@ def json_elements(source: str | Callable[[int], str]) -> Iterator[str]:
         raise ValueError("data after the JSON array")
 
 
-def _opened(path: str) -> io.TextIOWrapper:
+def opened_text(path: str, errors: str = "strict") -> io.TextIOWrapper:
     """A file's text, read as it is needed; the codec follows from the name."""
     import pyarrow as pa
 
     system, place = opened(path)
     codec = {"gz": "gzip", "gzip": "gzip", "zst": "zstd", "zstd": "zstd"}.get(place.lower().rpartition(".")[2])
     stream = system.open_input_stream(place, compression=None)
-    return io.TextIOWrapper(pa.CompressedInputStream(stream, codec) if codec else stream, encoding="utf-8", newline="")
+    return io.TextIOWrapper(pa.CompressedInputStream(stream, codec) if codec else stream, encoding="utf-8", errors=errors, newline="")
 
 
 def _elements_of(path: str, start: int, stop: int, whole: bool, length_known: bool) -> Iterator[str]:
     if whole:
-        with _opened(path) as text:
+        with opened_text(path) as text:
             yield from json_elements(text.read)
         return
     text = bytes_of(path, start, stop).decode()
@@ -165,7 +165,7 @@ def _ragged(width: int, separator: str):
         csv.field_size_limit(sys.maxsize)
         for batch in batches:
             for row in batch.itertuples():
-                text = _opened(row.path) if row.whole else io.StringIO(bytes_of(row.path, row.start, row.stop).decode(), newline="")
+                text = opened_text(row.path) if row.whole else io.StringIO(bytes_of(row.path, row.start, row.stop).decode(), newline="")
                 with text:
                     records, first = csv.reader(text, delimiter=separator), 1
                     if row.start == 0:

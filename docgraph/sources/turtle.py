@@ -1,33 +1,43 @@
-"""Turtle: a whole file is one row of one task, since its grammar cannot be split.
+"""Turtle: a file is read as a stream by one task, since prefixes and blank nodes carry state from its start to its end.
 
-A small helper turns a document's text into statement tuples; everything after
-that is the same DataFrame work as for N-Triples.
+A small helper turns the stream into statement tuples, a batch at a time; everything after
+that is the same DataFrame work as for N-Triples.  What is held is a chunk of text, the longest token, a batch of
+statements, and the prefixes; a nested node or a list is held until it ends.
 """
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import stored
+from .documents import opened_text
+from .ranges import spread
 from .rdf_lines import _ESCAPE, _PLAIN
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 COLUMNS = ["s_kind", "s_value", "predicate", "o_kind", "o_value", "o_datatype", "o_language"]
+CHUNK = 1 << 20
+ROWS = 10_000
+#: No token needs more than this many characters after it, but for dots, to be known as whole.
+_AHEAD = 4
+# What stands before a token and the inside of a string are possessive: what is cut off is not read as something shorter.
 _TOKEN = re.compile(
-    r"""\s*(?:\#[^\n]*\s*)*(?:
+    r"""\s*+(?:\#[^\n]*+\s*+)*+(?:
     (?P<iri><[^<>"{}|^`\\\s]*>)
-  | (?P<long>\"\"\"(?:(?:\"|\"\")?(?:[^\"\\]|\\.))*\"\"\"|'''(?:(?:'|'')?(?:[^'\\]|\\.))*''')
-  | (?P<string>"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\.)*')
+  | (?P<long>\"\"\"(?:\"{0,2}+(?:[^\"\\]++|\\.))*+\"\"\"|'''(?:'{0,2}+(?:[^'\\]++|\\.))*+''')
+  | (?P<string>"(?:[^"\\\n\r]++|\\.)*+"|'(?:[^'\\\n\r]++|\\.)*+')
   | (?P<directive>@prefix\b|@base\b|(?i:PREFIX|BASE)\b(?=\s))
   | (?P<language>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
   | (?P<blank>_:[^\s<"\[\](),;]+)
   | (?P<number>[+-]?(?:[0-9]*\.[0-9]+(?:[eE][+-]?[0-9]+)?|[0-9]+(?:\.?[eE][+-]?[0-9]+)?))
   | (?P<word>true\b|false\b|a(?=[\s<"']))
-  | (?P<name>[^\s:<>"'()\[\],;.@#]*:[^\s<>"'()\[\],;#]*[^\s<>"'()\[\],;.#]|[^\s:<>"'()\[\],;.@#]*:)
+  | (?P<name>[^\s:<>"'()\[\],;.@#^]*:[^\s<>"'()\[\],;#]*[^\s<>"'()\[\],;.#]|[^\s:<>"'()\[\],;.@#^]*:)
   | (?P<mark>\^\^|[.,;()\[\]])
   | (?P<end>\Z))""",
     re.VERBOSE | re.DOTALL,
@@ -39,18 +49,45 @@ class TurtleError(ValueError):
 
 
 class Turtle:
-    """Statements of one document, in reading order; nested ones come before the statement that holds them."""
+    """Statements of one document, in reading order; nested ones come before the statement that holds them.
 
-    def __init__(self, text: str):
-        self.text, self.at, self.prefixes, self.base, self.blanks = text, 0, {}, "", 0
+    ``source`` is a text, or reads the next so many characters.
+    """
+
+    def __init__(self, source: str | Callable[[int], str]):
+        self.read = io.StringIO(source).read if isinstance(source, str) else source
+        self.text, self.at, self.gone, self.ended = "", 0, 0, False
+        self.prefixes, self.base, self.blanks = {}, "", 0
         self.out: list[tuple] = []
         self._next()
 
+    def _more(self, size: int) -> None:
+        chunk = self.read(size)
+        self.ended = not chunk
+        self.gone += self.at
+        self.text, self.at = self.text[self.at :] + chunk, 0
+
+    def _whole(self, m: re.Match | None) -> bool:
+        """Whether what follows in the stream can change nothing about a token."""
+        if m is None or m.end() == len(self.text):
+            return False
+        if m.end() + _AHEAD > len(self.text) or self.text[m.end()] == ".":
+            after = m.end()
+            while self.text[after : after + 1] == ".":
+                after += 1
+            if after + _AHEAD > len(self.text):
+                return False
+        # Two quotes before a third begin a long string whose end is still to come.
+        return m.lastgroup != "string" or len(m["string"]) > 2 or self.text[m.end()] != m["string"][0]
+
     def _next(self) -> tuple[str, str]:
         before = getattr(self, "token", None)
-        m = _TOKEN.match(self.text, self.at)
+        m, size = _TOKEN.match(self.text, self.at), CHUNK
+        while not self.ended and not self._whole(m):
+            self._more(size)
+            m, size = _TOKEN.match(self.text, self.at), size * 2  # a long token is tried a few times, not once for each chunk
         if not m:
-            raise TurtleError(f"unexpected text at {self.at}: {self.text[self.at : self.at + 20]!r}")
+            raise TurtleError(f"unexpected text at {self.gone + self.at}: {self.text[self.at : self.at + 20]!r}")
         self.at = m.end()
         self.token = (m.lastgroup, m[m.lastgroup])
         return before
@@ -63,20 +100,29 @@ class Turtle:
 
     def _need(self, mark: str) -> None:
         if not self._take(mark):
-            raise TurtleError(f"expected {mark!r} before {self.token[1]!r} at {self.at}")
+            raise TurtleError(f"expected {mark!r} before {self.token[1]!r} at {self.gone + self.at}")
 
     def statements(self) -> list[tuple]:
+        return [row for batch in self.batches() for row in batch]
+
+    def batches(self, rows: int = ROWS) -> Iterator[list[tuple]]:
+        """The statements, some ``rows`` at a time, as they are read."""
         while self.token[0] != "end":
             if self.token[0] == "directive":
                 self._directive(self._next()[1])
-            else:
-                nested = self.token == ("mark", "[")
-                subject = self._term(literals=False)
-                if nested and self.token == ("mark", "."):
-                    raise TurtleError("a blank node alone is no statement")
-                self._predicates(subject)
-                self._need(".")
-        return self.out
+                continue
+            nested = self.token == ("mark", "[")
+            subject = self._term(literals=False)
+            if nested and self.token == ("mark", "."):
+                raise TurtleError("a blank node alone is no statement")
+            for _ in self._objects(subject):
+                if len(self.out) >= rows:
+                    yield self.out
+                    self.out = []
+            self._need(".")
+        if self.out:
+            yield self.out
+            self.out = []
 
     def _directive(self, word: str) -> None:
         prefix = None
@@ -98,6 +144,11 @@ class Turtle:
         return iri if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri) else self.base + iri
 
     def _predicates(self, subject: tuple) -> None:
+        for _ in self._objects(subject):
+            pass
+
+    def _objects(self, subject: tuple) -> Iterator[None]:
+        """Reads what is said of a subject, and stops after each object."""
         while True:
             if self.token == ("word", "a"):
                 self._next()
@@ -110,6 +161,7 @@ class Turtle:
             while True:
                 value = self._term()
                 self.out.append((*subject[:2], predicate, *value))
+                yield
                 if not self._take(","):
                     break
             if not self._take(";") or self.token in (("mark", "."), ("mark", "]")):
@@ -145,7 +197,7 @@ class Turtle:
             return ("literal", text, XSD + name, None)
         if literals and kind == "word" and text != "a":
             return ("literal", text, XSD + "boolean", None)
-        raise TurtleError(f"unexpected {text!r} at {self.at}")
+        raise TurtleError(f"unexpected {text!r} at {self.gone + self.at}")
 
     def _list(self) -> tuple:
         items = []
@@ -181,19 +233,37 @@ def _decoded(m: re.Match) -> str:
     return _PLAIN[code]
 
 
+_SCHEMA = "ordinal long, " + ", ".join(f"{c} string" for c in [*COLUMNS, "graph"])
+
+
+def _frames(batches: Iterable[list[tuple]]) -> Iterator[pd.DataFrame]:
+    first = 1
+    for batch in batches:
+        rows = pd.DataFrame(batch, columns=COLUMNS)
+        rows.insert(0, "ordinal", range(first, first + len(rows)))
+        first += len(rows)
+        yield rows.assign(graph=None)
+
+
 def parse_documents(texts: DataFrame, text_col: str = "value") -> DataFrame:
     """(ordinal, statement columns, graph) of every document of ``texts``; ordinals count within a document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text in batch[text_col]:
-                rows = pd.DataFrame(Turtle(text).statements(), columns=COLUMNS)
-                rows.insert(0, "ordinal", range(1, len(rows) + 1))
-                yield rows.assign(graph=None)
+                yield from _frames(Turtle(text).batches())
 
-    schema = "ordinal long, " + ", ".join(f"{c} string" for c in [*COLUMNS, "graph"])
-    return texts.select(text_col).mapInPandas(run, schema)
+    return texts.select(text_col).mapInPandas(run, _SCHEMA)
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    return parse_documents(spark.read.text(path, wholetext=True))
+    """The same of every file of a read, of any length; each file is one task's stream, compressed ones too."""
+    files = stored(spark.read.format("binaryFile").load(path).select("path"), "files")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["path"]:
+                with opened_text(name, errors="replace") as text:
+                    yield from _frames(Turtle(text.read).batches())
+
+    return spread(files).mapInPandas(run, _SCHEMA)

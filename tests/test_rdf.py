@@ -5,7 +5,8 @@ from pyspark.errors import PySparkException
 
 from docgraph.operators.rdf_graph import Fold, edges, new_only, summary, vertices
 from docgraph.sources.rdf_lines import parse_statements
-from docgraph.sources.turtle import RDF, XSD, Turtle, TurtleError, parse_documents
+from docgraph.sources import turtle as turtle_source
+from docgraph.sources.turtle import RDF, XSD, Turtle, TurtleError, parse_documents, read_turtle
 
 A = "http://a/"
 
@@ -46,24 +47,65 @@ def turtle(text):
 
 
 def test_turtle():
-    assert len(turtle("@prefix ex: <http://a/> . ex:s a ex:T ; ex:p ex:o .")) == 2
-    assert turtle("PREFIX ex: <http://a/>\nex:s ex:p ex:o .") == [("iri", A + "s", A + "p", "iri", A + "o", None, None)]
-    assert len(turtle("@prefix ex: <http://a/> . ex:s ex:p ex:a , ex:b ; ex:q ex:c .")) == 3
-    got = turtle('@prefix ex: <http://a/> . ex:s ex:p "ober"@de-AT, 42, 3.14, 1.0e6, true .')
-    assert [x[4:] for x in got] == [("ober", None, "de-AT"), ("42", XSD + "integer", None), ("3.14", XSD + "decimal", None), ("1.0e6", XSD + "double", None), ("true", XSD + "boolean", None)]
-    assert turtle('<s> <p> """a\nb "c" """ .')[0][4] == 'a\nb "c" '
-    nested = turtle('@prefix ex: <http://a/> . ex:s ex:knows [ ex:name "Bob" ] .')
-    assert [x[2] for x in nested] == [A + "name", A + "knows"] and nested[0][1] == nested[1][4]
-    listed = turtle("@prefix ex: <http://a/> . ex:s ex:p ( ex:a ex:b ) .")
-    assert [x[2] for x in listed] == [RDF + "first", RDF + "rest", RDF + "first", RDF + "rest", A + "p"] and listed[3][4] == RDF + "nil"
-    assert turtle("<s> <p> () .")[0][4] == RDF + "nil"
-    assert turtle("@base <http://a/> . <alice> <p> <bob> . # end")[0][:2] == ("iri", A + "alice")
-    assert turtle("_:b <p> 5.")[0] == ("bnode", "u_b", "p", "literal", "5", XSD + "integer", None)
-    for bad in ("<s> <p> TRUE .", "@PREFIX ex: <http://a/> . <s> <p> <o> .", '<s> <p> "\\uD800" .', "nope:s <p> <o> .", '[ <p> "x" ] .', "<s> <p> <o> ;; <q> <r> .", "<s> <p> <o>", '<s> <p> "open .'):
+    assert len(turtle("@prefix geo: <http://a/> . geo:rhine a geo:River ; geo:into geo:north_sea .")) == 2
+    assert turtle("PREFIX geo: <http://a/>\ngeo:rhine geo:into geo:sea .") == [("iri", A + "rhine", A + "into", "iri", A + "sea", None, None)]
+    assert len(turtle("@prefix geo: <http://a/> . geo:rhine geo:past geo:bonn , geo:mainz ; geo:from geo:alps .")) == 3
+    got = turtle('@prefix geo: <http://a/> . geo:rhine geo:told "ober"@de-AT, 1233, -0.75, 2E3, false .')
+    assert [x[4:] for x in got] == [("ober", None, "de-AT"), ("1233", XSD + "integer", None), ("-0.75", XSD + "decimal", None), ("2E3", XSD + "double", None), ("false", XSD + "boolean", None)]
+    assert turtle('<r> <says> """low\n"water" """ .')[0][4] == 'low\n"water" '
+    nested = turtle("@prefix geo: <http://a/> . geo:rhine geo:mouth [ geo:land geo:holland ] .")
+    assert [x[2] for x in nested] == [A + "land", A + "mouth"] and nested[0][1] == nested[1][4]
+    listed = turtle("@prefix geo: <http://a/> . geo:rhine geo:past ( geo:chur geo:basel ) .")
+    assert [x[2] for x in listed] == [RDF + "first", RDF + "rest", RDF + "first", RDF + "rest", A + "past"] and listed[3][4] == RDF + "nil"
+    assert turtle("<r> <past> () .")[0][4] == RDF + "nil"
+    assert turtle("@base <http://a/> . <aare> <into> <rhine> . # end")[0][:2] == ("iri", A + "aare")
+    assert turtle("_:w <depth> 7.")[0] == ("bnode", "u_w", "depth", "literal", "7", XSD + "integer", None)
+    for bad in ("<r> <p> TRUE .", "@PREFIX geo: <http://a/> . <r> <p> <o> .", '<r> <p> "\\uD800" .', "none:r <p> <o> .", '[ <p> "x" ] .', "<r> <p> <o> ;; <q> <t> .", "<r> <p> <o>", '<r> <p> "open .', '<r> <p> """open" .', '# "a" .\n<r> <p> "open .'):
         with pytest.raises(TurtleError):
             turtle(bad)
 
 
+STREAM = """@prefix geo: <http://a/> . # a comment with "quotes" and <angles>
+geo:rhine geo:told "", '', \"\"\"a "" b\nc\"\"\", '''it's''', "x\\"y", 5, 5.25, 1.5e+3, -2.e4, true, false , "z"@de-AT, "1"^^geo:kind.
+PREFIX sea: <http://b/>
+geo:a.b.c a sea:T ; sea:in [ sea:p ( 1 2.5 geo:x ) ; sea:q _:lake ] , "\\u00e9".
+_:lake sea:p geo:end...more , sea: .
+@base <http://c/> .
+<one> <two> <three> , 7.
+"""
+
+
+def test_turtle_reads_the_same_in_chunks_of_any_length(monkeypatch):
+    whole = turtle(STREAM)
+    assert len(whole) == 13 + 11 + 2 + 2
+    assert [x[4] for x in whole[:13]] == ["", "", 'a "" b\nc', "it's", 'x"y', "5", "5.25", "1.5e+3", "-2.e4", "true", "false", "z", "1"] and whole[12][5] == A + "kind"
+    for size in (1, 2, 3, 5, 17, 64):
+        monkeypatch.setattr(turtle_source, "CHUNK", size)
+        assert turtle(STREAM) == whole
+        assert [r for b in Turtle(STREAM).batches(2) for r in b] == whole
+
+
+def test_turtle_holds_a_chunk_and_a_batch():
+    total, longest, read = 0, 0, (f"<http://a/s{i}> <http://a/p> {', '.join(map(str, range(200)))} .\n" for i in range(3000))
+    parser = Turtle(lambda size: next(read, ""))
+    for batch in parser.batches(500):
+        total, longest = total + len(batch), max(longest, len(batch), len(parser.text) // 10)
+    assert total == 600_000 and longest < 1000
+
+
+def test_turtle_files(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.ttl").write_text(STREAM)
+    (tmp_path / "b.ttl.gz").write_bytes(gzip.compress(STREAM.encode()))
+    (tmp_path / "c.ttl").write_text("")
+    got = [tuple(r) for r in read_turtle(spark, str(tmp_path)).orderBy("ordinal").collect()]
+    assert sorted(got, key=repr) == sorted([(i, *row, None) for i, row in enumerate(turtle(STREAM), 1)] * 2, key=repr)
+    (tmp_path / "d.ttl").write_text("<s> <p> <o>")
+    with pytest.raises(PySparkException, match="expected '.'"):
+        read_turtle(spark, str(tmp_path)).count()
+
+
 def triples(spark, text):
     return parse_documents(spark.createDataFrame([(text,)], "value string"))
 
