@@ -10,16 +10,15 @@ background, segments with E below ``MAX_E`` are toxic passages, and a
 document's evidence is the sum of their -ln E, turned into a probability by a
 logistic curve fitted on the labelled documents.
 
-Bounds (documented parameters): at most ``MAX_LABELLED`` labelled rows are used for fitting,
-taken in hash order (their evidence reaches the driver as counts by step), and the model keeps at most ``MAX_TOKENS`` tokens.  Corpus
-counts and scores cover every document.
+Bound (a documented parameter): at most ``MAX_LABELLED`` labelled rows are used for fitting,
+taken in hash order; their evidence reaches the driver as counts by step.  The model holds every token that tells
+by that test, which only tokens of those rows can.  Corpus counts and scores cover every document.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +35,6 @@ from pyspark.sql import types as T
 from .shared import bounded, discard, lowest_hashes, save
 
 MAX_LABELLED = 200_000
-MAX_TOKENS = 50_000
 EVIDENCE_STEPS = 1000  # for each unit of the logarithm of the evidence, in the logistic fit
 COUNTED_TOKENS = 200_000  # held by a task before it passes its counts on
 DRIFT = -0.25
@@ -125,14 +124,15 @@ def in_training(id_col: Column) -> Column:
 
 
 def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the least shingle of each text (three words) under three hash functions, which only near copies share."""
+    """Adds the least shingle of each text (three words) under three hash functions, which only near copies share, and its number of words."""
     for batch in batches:
-        keys = []
+        keys, sizes = [], []
         for text in batch.column(0).to_pylist():
             words = tokens(text)
             shingles = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
-            keys.append("-".join(str(min(zlib.crc32(s, start) for s in shingles)) for start in (0, 1, 2)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=["__text", "__toxic", "__key"])
+            keys.append("-".join(str(min(xxhash.xxh64_intdigest(s, seed) for s in shingles)) for seed in (1, 2, 3)))
+            sizes.append(len(words))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], names=["__text", "__toxic", "__key", "__words"])
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sample = lowest_hashes(usable, id_col, MAX_LABELLED, usable.count())
     texts = documents.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     train = texts.join(F.broadcast(save(sample, "label-sample")), id_col).select("__text", (F.col("__toxic") > 0).cast("int").alias("__toxic"))
-    train = save(train.mapInArrow(_copy_keys, "__text string, __toxic int, __key string"), "labelled")
+    train = save(train.mapInArrow(_copy_keys, "__text string, __toxic int, __key string, __words long"), "labelled")
     single = save(train.groupBy("__key", "__toxic").agg(F.min("__text").alias("__text")).select("__text", "__toxic"), "labelled-once")
     shares = dict(single.groupBy("__toxic").count().collect())
     clean_docs, toxic_docs = shares.get(0, 0), shares.get(1, 0)
@@ -191,16 +191,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     lead = F.col("toxic") / F.lit(toxic_docs) - F.col("clean") / F.lit(clean_docs)
     counts = save(counts.where("toxic >= 2").withColumn("lead", lead).where("lead > 0"), "label-tokens")
     chance = math.sqrt(2 * math.log(counts.count() + 2))
-    telling = counts.where(_signed_ratio(clean_docs, toxic_docs) > chance)
-    found = telling.count()
-    if found > MAX_TOKENS:  # few more than the limit are sorted
-        telling = telling.where(F.col("lead") >= telling.approxQuantile("lead", [1 - MAX_TOKENS / found], 0.001)[0])
-    top = telling.orderBy(F.desc("lead"), "token").limit(MAX_TOKENS).collect()
+    top = counts.where(_signed_ratio(clean_docs, toxic_docs) > chance).orderBy("token").collect()
     known = frozenset(r.token for r in top)
     everywhere = texts.select("__text").mapInArrow(_known_counts(known), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     everywhere = {r.token: r.n for r in everywhere}
     corpus = max(1, everywhere.pop(None, 0))
-    clean_words = max(1, train.where("__toxic = 0").agg(F.sum(F.size(F.split("__text", " ")))).first()[0] or 1)
+    clean_words = max(1, train.where("__toxic = 0").agg(F.sum("__words")).first()[0] or 1)
 
     model, positive = ToxicityModel(), []
     for r in top:
