@@ -343,7 +343,7 @@ def cut(text: bytes, first: list[int] | None, last: list[int] | None, length: in
 
 
 def _stored_texts(df: DataFrame, id_col: str, text_col: str, payload: list[str] | None) -> DataFrame:
-    """The texts, bucketed by row in an external table of the shared folder."""
+    """The texts, bucketed by row in an external table of the shared folder, whose name leaves the catalog again."""
     spark = bounded(df).sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -353,7 +353,10 @@ def _stored_texts(df: DataFrame, id_col: str, text_col: str, payload: list[str]
     name = f"docgraph_texts_{uuid.uuid4().hex}"
     writer = df.select(*columns).repartition(parts, "rid").write.format("parquet").option("compression", "zstd")
     writer.bucketBy(parts, "rid").option("path", new_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018 - resolved while the name is known; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, payload: list[str] | None = None) -> RepeatedSpans:

@@ -147,3 +147,11 @@ def test_the_join_of_a_hot_trigger_is_split(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert "skew=true" in plans[0]
+
+
+def test_no_table_stays_in_the_catalog(spark):
+    df = spark.createDataFrame([(1, "abcdefgh" * 60), (2, "abcdefgh" * 60), (3, "x")], "doc_id long, text string")
+    found = repeated_spans(df)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("docgraph_texts")]
+    assert {r.doc_id: r.n_removed for r in found.digests().collect()} == {1: 480, 2: 480, 3: 0}
+    assert "SelectedBucketsCount" in found.digests()._jdf.queryExecution().toString()
