@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docgraph.llm.exact_dedup import drop_exact_duplicates
 from docgraph.llm.near_dedup import drop_similar
 from docgraph.llm.packing import pack_documents
-from docgraph.llm.shared import documents, save
+from docgraph.llm.shared import discard, documents, save
 from docgraph.llm.suffix_dedup import remove_repeated
 from docgraph.llm.toxicity import drop_toxic, fit
 
@@ -58,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's table is deleted once the next one is stored, all but the last."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        kept = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        if number:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
