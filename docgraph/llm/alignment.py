@@ -33,6 +33,7 @@ A_END, B_END, BOTH = 1, 2, 3
 BLOCK_BYTES = 4 << 20
 CACHED = 500_000
 GROUP_BYTES = 1 << 20  # of texts aligned side by side
+GROUP_ROWS = 1  # blocks that a reader of the stored blocks decodes at once
 _SPAN = re.compile(rb"[^\x03]*\x03")
 
 
@@ -238,7 +239,7 @@ def alignment_counts(df: DataFrame, a_path: str | None = None, b_path: str | Non
     id_type = source.schema["doc_id"].dataType
     arrow_id = to_arrow_type(id_type)
     schema = T.StructType([*T._parse_datatype_string(_BLOCK).fields, T.StructField("doc_ids", T.ArrayType(id_type))])
-    blocks = save(source.mapInArrow(_blocks(a_path, b_path, arrow_id), schema), "alignment-blocks")
+    blocks = save(source.mapInArrow(_blocks(a_path, b_path, arrow_id), schema), "alignment-blocks", GROUP_ROWS)
     uses = blocks.select("block", F.explode(F.arrays_zip("pairs", "holders")).alias("u")).select("block", F.col("u.pairs").alias("pair"), F.col("u.holders").alias("n"))
     totals = save(uses.groupBy("pair").agg(F.sum("n").alias("total")), "alignment-pairs")
     a_id = F.shiftright("pair", 32).alias("a")

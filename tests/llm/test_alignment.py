@@ -14,6 +14,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from docgraph.llm import alignment  # noqa: E402
 from docgraph.llm.alignment import aligned, alignment_counts  # noqa: E402
 from docgraph.llm.queries import QUERIES  # noqa: E402
+from docgraph.llm.shared import arrow_rows  # noqa: E402
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
@@ -106,3 +107,18 @@ def test_the_query_equals_brute_force_on_the_smallest_tables(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(str(DATA / "documents.parquet")).collect()]
     found = QUERIES["op12_byte_label_alignment"](spark, str(DATA)).select(*COLUMNS)
     assert sorted(map(tuple, found.collect()), key=repr) == brute(rows)[0]
+
+
+def test_a_reader_decodes_one_block_at_a_time(spark, monkeypatch):
+    """Blocks are rows of megabytes, and a reader decodes a row group at once, so each has a group of its own."""
+    import pyarrow.parquet as pq
+
+    saved = []
+    save = alignment.save
+    monkeypatch.setattr(alignment, "save", lambda *a, **b: saved.append(save(*a, **b)) or saved[-1])
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 200)
+    docs = spark.createDataFrame([(i, f"words of text {i} " * 12) for i in range(40)], "doc_id long, text string").coalesce(1)
+    with arrow_rows(spark, 2):
+        assert alignment_counts(docs).count() == 40
+    groups = [m.row_group(k).num_rows for f in saved[0].inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for k in range(m.num_row_groups)]
+    assert len(groups) > 10 and set(groups) == {1}
