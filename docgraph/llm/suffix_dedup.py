@@ -268,7 +268,7 @@ def _suffix_order(length: int):
                 if not cut:  # the bucket began in earlier batches
                     earlier = pa.Table.from_batches(held[:-1]).combine_chunks().to_batches()[0]
                     begin = int(np.searchsorted(earlier.column("trig").to_numpy(), triggers[-1]))
-                    whole, held = [earlier.slice(0, begin)], [earlier.slice(begin), batch]
+                    whole, held = [earlier.slice(0, begin)], [b for b in (earlier.slice(begin), batch) if b.num_rows]
                 else:
                     held = [batch.slice(cut)]
                 count = sum(b.num_rows for b in held)

@@ -155,3 +155,20 @@ def test_no_table_stays_in_the_catalog(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("docgraph_texts")]
     assert {r.doc_id: r.n_removed for r in found.digests().collect()} == {1: 480, 2: 480, 3: 0}
     assert "SelectedBucketsCount" in found.digests()._jdf.queryExecution().toString()
+
+
+def test_a_bucket_may_begin_with_a_batch_and_fill_the_next():
+    """Two whole batches of one trigger, behind a batch of others: the strings that the two share are found across them."""
+    import pyarrow as pa
+
+    def batch(first, triggers):
+        texts = [b"%08d" % (first + k) for k in range(2000)]
+        if first == 4000:
+            texts[7] = b"%08d" % 2003
+        columns = [range(first, first + 2000), [0] * 2000, [1] * 2000, [2] * 2000, triggers, [True] * 2000, texts]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["rid", "lo", "n", "dist", "trig", "once", "bytes"])
+
+    batches = [batch(0, list(range(2000))), batch(2000, [5000] * 2000), batch(4000, [5000] * 2000)]
+    found = [r for b in suffix_dedup._suffix_order(8)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(r["rid"] for r in found) == [2003, 4007]
