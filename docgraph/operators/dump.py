@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import json_string
 from .catalog import LEASE_SECONDS, Database, complete_views
-from .export import MANIFEST_VERSION, delete, encode_parts, exists, get, put, read_parts, relative, store_parts
+from .export import MANIFEST_VERSION, Parts, delete, encode_parts, exists, get, put, read_parts, relative, store_parts
 
 MARKER = 2300
 CLAIM, MANIFEST = "dump.in-progress.json", "dump.manifest.json"
@@ -91,7 +91,7 @@ def views_left_out(db: Database, include: str | None = None, exclude: str | None
     return sorted(set(views) - kept)
 
 
-def _stored(parts: DataFrame, folder: str) -> list[dict]:
+def _stored(parts: Parts, folder: str) -> list[dict]:
     """Writes parts and describes them, in order; no rows is no data artifact."""
     return [
         {"kind": "data", **{k: r[k] for k in ("path", "format", "compression", "part", "byte_size")}, "encryption": "none", "checksum": {"algorithm": "sha256", "value": r["sha256"]}}

@@ -6,10 +6,14 @@ import gzip
 import hashlib
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,7 @@ FORMATS = {"jsonl": "jsonl", "json": "json", "csv": "csv"}
 SUFFIX = {None: "", "gzip": ".gz", "zstd": ".zst"}
 MANIFEST_VERSION = 1
 FRAME_DOCS, FRAME_BYTES = 4096, 4 << 20
+READ_BYTES = 1 << 20  # of a part's text that are split into documents at once
 
 
 def csv_lines(df: DataFrame, fields: list[str], doc_col: str = "doc", order: str | None = None) -> DataFrame:
@@ -181,21 +186,53 @@ def _single_of_frames(df: DataFrame, path: str, kind: str, order: str, fields: l
 PARTS = "part int, path string, format string, compression string, byte_size long, sha256 string"
 
 
-def encode_parts(df: DataFrame, base: str, kind: str = "jsonl", order: str = "ordinal", fields: list[str] | None = None, codec: str | None = None, threshold: int = PART_BYTES) -> DataFrame:
-    """(part, path, ..., sha256, content): each part's stored bytes.  A part is bounded by its threshold and one record."""
+@dataclass
+class Parts:
+    """``rows`` (part, doc), in a task one part after another and each in its order, and how they are stored."""
+
+    rows: DataFrame
+    base: str
+    kind: str
+    fields: list[str] | None
+    codec: str | None
+
+
+def encode_parts(df: DataFrame, base: str, kind: str = "jsonl", order: str = "ordinal", fields: list[str] | None = None, codec: str | None = None, threshold: int = PART_BYTES) -> Parts:
+    """The parts of ``df``'s documents, for ``store_parts``.  A part is bounded by its threshold and one record."""
     if kind not in FORMATS:
         raise OptionError(f"unknown export format '{kind}'")
     rows = csv_lines(df, fields or [], order=order) if kind == "csv" else df.select(order, "doc")
     opening = len(_frame(kind, fields)[0].encode())
     parted = assign_parts(rows, order, threshold, opening)
-    ending = f".{FORMATS[kind]}{SUFFIX[codec]}"
+    return Parts(parted.repartition("part").sortWithinPartitions("part", order).select("part", "doc"), base, kind, fields, codec)
 
-    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        number = int(key[0])
-        content = part_bytes_of(group.sort_values(order)["doc"].tolist(), kind, fields, codec)
-        return pd.DataFrame([(number, f"{base}.part-{number:05d}{ending}", kind, codec or "none", len(content), hashlib.sha256(content).hexdigest(), content)], columns=[*[c.split()[0] for c in PARTS.split(", ")], "content"])
 
-    return parted.groupBy("part").applyInPandas(build, PARTS + ", content binary")
+class _PartFile:
+    """A part that a task writes piece by piece, and what describes it in the end."""
+
+    def __init__(self, path: str, codec: str | None):
+        self._out, self._sum, self._size, self._packer = _output(path), hashlib.sha256(), 0, None
+        if codec == "gzip":
+            self._packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+        elif codec == "zstd":
+            import zstandard
+
+            self._packer = zstandard.ZstdCompressor().compressobj()
+
+    def _store(self, piece: bytes) -> None:
+        self._sum.update(piece)
+        self._size += len(piece)
+        self._out.write(piece)
+
+    def write(self, text: str) -> None:
+        self._store(self._packer.compress(text.encode()) if self._packer else text.encode())
+
+    def close(self) -> tuple[int, str]:
+        """(bytes, checksum) of what is stored."""
+        if self._packer:
+            self._store(self._packer.flush())
+        self._out.close()
+        return self._size, self._sum.hexdigest()
 
 
 def write_parts(df: DataFrame, folder: str, base: str, database: str | None = None, created_at: str | None = None, **options) -> dict:
@@ -218,22 +255,40 @@ def write_parts(df: DataFrame, folder: str, base: str, database: str | None = No
     return manifest
 
 
-def store_parts(parts: DataFrame, folder: str) -> list[dict]:
-    """Each task writes its own parts; what describes them comes back, in order."""
+def store_parts(parts: Parts, folder: str) -> list[dict]:
+    """Each task writes its own parts, as streams; what describes them comes back, in order."""
+    base, kind, codec = parts.base, parts.kind, parts.codec
+    opening, between, closing = _frame(kind, parts.fields)
+    ending = f".{FORMATS[kind]}{SUFFIX[codec]}"
+    names = [c.split()[0] for c in PARTS.split(", ")]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as fs
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, path, out = None, "", None
 
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                target = f"{root}/{path}"
-                system.create_dir(target.rpartition("/")[0])
-                with system.open_output_stream(target, compression=None) as out:
-                    out.write(content)
-            yield batch.drop(columns="content")
+        def closed() -> pa.RecordBatch:
+            out.write(closing)
+            row = (number, path, kind, codec or "none", *out.close())
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=names)
 
-    return [r.asDict() for r in parts.mapInPandas(store, PARTS).orderBy("part").collect()]
+        for batch in batches:
+            numbers, docs = batch.column(0).to_numpy(), batch.column(1)
+            cuts = (np.flatnonzero(np.diff(numbers)) + 1).tolist() if len(numbers) else []
+            for first, stop in zip([0, *cuts], [*cuts, len(numbers)] if len(numbers) else []):
+                if numbers[first] != number:
+                    if out:
+                        yield closed()
+                    number = int(numbers[first])
+                    path = f"{base}.part-{number:05d}{ending}"
+                    out = _PartFile(f"{folder}/{path}", codec)
+                    out.write(opening)
+                else:
+                    out.write(between)
+                out.write(between.join(docs.slice(first, stop - first).to_pylist()))
+        if out:
+            yield closed()
+
+    return [r.asDict() for r in parts.rows.mapInArrow(store, PARTS).orderBy("part").collect()]
 
 
 def put(spark: SparkSession, path: str, content: bytes | Iterator[bytes], overwrite: bool = True) -> bool:
@@ -361,17 +416,44 @@ def read_parts(spark: SparkSession, folder: str, manifest: dict, verify: bool =
     paths = [f"{folder}/{relative(a['path'])}" for a in data]
     files = spark.read.format("binaryFile").load(paths).select("content", F.element_at(F.split("path", "/"), -1).alias("name"))
     table = spark.createDataFrame([(a["path"].split("/")[-1], a["part"], a["compression"], (a.get("checksum") or {}).get("value")) for a in data], "name string, part int, codec string, sha string")
-    joined = files.join(F.broadcast(table), "name")
+    joined = files.join(F.broadcast(table), "name").select("part", "name", "codec", "sha", "content")
+    names, kinds = ["part", "ordinal", "doc"], [pa.int32(), pa.int64(), pa.string()]
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples():
-                if verify and row.sha and hashlib.sha256(row.content).hexdigest() != row.sha:
-                    raise ValueError(f"checksum of {row.name} does not match the manifest")
-                docs = [d for d in decompressed(row.content, row.codec).decode().split("\n") if d.strip()]
-                yield pd.DataFrame({"part": row.part, "ordinal": range(len(docs)), "doc": docs})
+            for k, (part, name, codec, sha) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+                content, at = batch.column(4)[k].as_buffer(), 0
+                if verify and sha and hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"checksum of {name} does not match the manifest")
+                for docs in _documents(content, codec):
+                    columns = [np.full(len(docs), part), np.arange(at, at + len(docs)), docs]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+                    at += len(docs)
+
+    return joined.mapInArrow(lines, T.StructType.fromDDL("part int, ordinal long, doc string"))
+
+
+def _documents(content: pa.Buffer, codec: str) -> Iterator[list[str]]:
+    """The lines of a part that are not blank, some at a time."""
+    rest = b""
+    with _unpacked(content, codec) as stream:
+        while piece := stream.read(READ_BYTES):
+            *whole, rest = (rest + piece).split(b"\n")
+            docs = [d for d in map(bytes.decode, whole) if d.strip()]
+            if docs:
+                yield docs
+    if rest.decode().strip():
+        yield [rest.decode()]
+
+
+def _unpacked(content: pa.Buffer, codec: str):
+    if codec == "gzip":
+        return gzip.GzipFile(fileobj=pa.BufferReader(content))
+    if codec == "zstd":
+        import zstandard
 
-    return joined.mapInPandas(lines, T.StructType.fromDDL("part int, ordinal long, doc string"))
+        return zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True)
+    return pa.BufferReader(content)
 
 
 def decompressed(content: bytes, codec: str) -> bytes:

@@ -205,3 +205,20 @@ def test_views_and_streams(spark, tmp_path):
     (folder / "2.jsonl").write_text('{"_key":"c"}\n')
     import_new_files(spark, str(folder), db, "docs", mark)
     assert db.count("docs") == 3
+
+
+@pytest.mark.parametrize("codec", [None, "gzip", "zstd"])
+def test_a_part_is_written_and_read_in_pieces(spark, tmp_path, codec):
+    """No task holds a whole part's documents: they come to its writer as sorted rows, and leave its reader some at a time."""
+    import pyarrow as pa
+
+    docs = [f'{{"_key":"{i}","text":"{str(i) * 40}"}}' for i in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(docs)), "ordinal long, doc string").repartition(5)
+    parts = export.encode_parts(df, "big", codec=codec)
+    assert "InPandas" not in parts.rows._jdf.queryExecution().executedPlan().toString()
+    (part,) = export.store_parts(parts, str(tmp_path))
+    stored = export.get(spark, f"{tmp_path}/{part['path']}")
+    assert len(stored) == part["byte_size"] and hashlib.sha256(stored).hexdigest() == part["sha256"]
+    pieces = list(export._documents(pa.py_buffer(stored), codec or "none"))
+    assert [d for p in pieces for d in p] == docs and len(pieces) > 2
+    assert max(sum(map(len, p)) for p in pieces) <= export.READ_BYTES + max(map(len, docs))
